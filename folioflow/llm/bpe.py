@@ -23,7 +23,7 @@ import regex
 from folioflow.llm.textkit import slices
 
 LONG = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 #: The usual pattern, and the same one with its classes written out for texts below U+0100, which the
 #: standard library matches faster.
@@ -31,21 +31,25 @@ USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
+#: word_bytes holds a row per byte: k = 512 * word + position, its token, and the next row's k and token.
+#: A step finds each word's least (rank, position) pair; the row there takes the merged token and the
+#: following row's links, that row goes, and the row before learns the new token. A word without a
+#: pair ends its rows (live is false).
 ENCODE = """
-WITH RECURSIVE step(w, pos, id, live) AS (
-  SELECT w, pos, id, true FROM word_bytes
+WITH RECURSIVE step(k, id, nk, nid, live) AS (
+  SELECT k, id, nk, nid, true FROM word_bytes
   UNION ALL
-  SELECT w, pos, new_id, best IS NOT NULL FROM (
-    SELECT w, pos, best, cut, CASE WHEN pos = cut THEN best ELSE id END AS new_id FROM (
-      SELECT w, pos, id, prev_pos, min(rank) OVER part AS best, min(CASE WHEN rank = low THEN pos END) OVER part AS cut FROM (
-        SELECT p.w, p.pos, p.id, p.prev_pos, m.id AS rank, min(m.id) OVER (PARTITION BY p.w) AS low FROM (
-          SELECT w, pos, id, lead(id) OVER o AS next_id, lag(pos) OVER o AS prev_pos FROM step WHERE live WINDOW o AS (PARTITION BY w ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.a = p.id AND m.b = p.next_id
-      ) WINDOW part AS (PARTITION BY w)
-    ) WHERE prev_pos IS NULL OR cut IS NULL OR prev_pos <> cut
-  )
+  SELECT r.k, CASE WHEN r.k = b.cut THEN b.new ELSE r.id END, CASE WHEN r.k = b.cut THEN t.nk ELSE r.nk END,
+         CASE WHEN r.k = b.cut THEN t.nid WHEN r.nk = b.cut THEN b.new ELSE r.nid END, b.cut IS NOT NULL
+  FROM (SELECT * FROM step WHERE live) r LEFT JOIN (
+    SELECT w, w * 512 + best % 512 AS cut, (best // 512)::INT AS new, gone FROM (
+      SELECT p.k // 512 AS w, min(m.id::BIGINT * 512 + p.k % 512) AS best, arg_min(p.nk, m.id::BIGINT * 512 + p.k % 512) AS gone
+      FROM step p JOIN merges m ON m.a = p.id AND m.b = p.nid WHERE p.live GROUP BY 1)
+  ) b ON b.w = r.k // 512 LEFT JOIN step t ON t.k = b.gone AND t.live AND r.k = b.cut
+  WHERE b.gone IS NULL OR r.k <> b.gone
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY w
+SELECT k // 512 AS w, string_agg(id, ',' ORDER BY k) AS ids, string_agg(v.chars, '' ORDER BY k) AS chars
+FROM step JOIN vocab v USING (id) WHERE NOT live GROUP BY 1
 """
 
 DECODE = """
@@ -79,8 +83,9 @@ class Codec:
         merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "id": pa.array(rank, pa.int32())})  # noqa: F841
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.tokens = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
 
     def split(self, text: str | None) -> list[str]:
         if not text:
@@ -91,23 +96,29 @@ class Codec:
             return self.pattern.findall(text)
         return self.latin.findall(text)
 
-    def encode_words(self, raws: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        out: list[list[int]] = [[self.ranks[r]] if r in self.ranks else [] for r in raws]
-        todo = [i for i, r in enumerate(raws) if r not in self.ranks and r]
-        step = 20_000
-        short = [i for i in todo if len(raws[i]) <= LONG]
+    def encode_words(self, raws: list[bytes], step: int = 20_000) -> list[tuple[str, bytes]]:
+        """The comma-joined token ids of each word, and the bytes decoded from them."""
+        out: list[tuple[str, bytes]] = [("", b"")] * len(raws)
+        short = []
+        for i, r in enumerate(raws):
+            if r in self.ranks:
+                out[i] = (str(self.ranks[r]), r)
+            elif len(r) > LONG:
+                ids = self._encode_long(r)
+                out[i] = (",".join(map(str, ids)), b"".join([self.tokens[x] for x in ids]))
+            elif r:
+                short.append(i)
         for at in range(0, len(short), step):
             part = short[at : at + step]
             sizes = np.array([len(raws[i]) for i in part])
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.cumsum(sizes)
             ids = self.byte_ids[np.frombuffer(b"".join([raws[i] for i in part]), np.uint8)]
-            word_bytes = pa.table({"w": np.repeat(np.array(part, np.int32), sizes), "pos": pos.astype(np.int32), "id": ids})  # noqa: F841
-            for w, ids in self.db.execute(ENCODE).fetchall():
-                out[w] = ids
-        for i in todo:
-            if len(raws[i]) > LONG:
-                out[i] = self._encode_long(raws[i])
+            k = np.repeat(np.arange(len(part), dtype=np.int64), sizes) * 512 + np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            nk, nid = np.append(k[1:], -1), np.append(ids[1:], -1).astype(np.int32)
+            nk[ends - 1] = nid[ends - 1] = -1
+            self.db.register("word_bytes", pa.table({"k": k, "id": ids, "nk": nk, "nid": nid}))
+            for w, found, chars in self.db.execute(ENCODE).fetchall():
+                out[part[w]] = (found, chars.encode("latin-1"))
         return out
 
     def _encode_long(self, raw: bytes) -> list[int]:
@@ -151,9 +162,7 @@ class Codec:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            ids = self.encode_words([w.encode() for w in new])
-            for w, i, raw in zip(new, ids, self.decode_rows(ids)):
-                self.known[w] = (",".join(map(str, i)), len(i), raw)
+            self.known.update(zip(new, self.encode_words([w.encode() for w in new])))
 
 
 def digests(batches, vocabulary: str, pattern: str):
@@ -165,9 +174,10 @@ def digests(batches, vocabulary: str, pattern: str):
         c.learn(set().union(*words))
         for ws in words:
             found = [c.known[w] for w in ws]
-            rows[0].append(sum(f[1] for f in found))
-            rows[1].append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-            rows[2].append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+            ids = ",".join([f[0] for f in found])
+            rows[0].append(ids.count(",") + 1 if found else 0)
+            rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
+            rows[2].append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
