@@ -188,7 +188,8 @@ def encoded(batches, vocabulary: str, pattern: str):
         words = [c.split(t) for t in b.column("text").to_pylist()]
         c.learn(set().union(*words))
         ids = [[int(x) for w in ws for x in c.known[w][0].split(",")] for ws in words]
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+        back = [b"".join([c.known[w][1] for w in ws]) == (t or "").encode() for ws, t in zip(words, b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], names=["row", "ids", "decodes"])
 
 
 def decoded(batches, vocabulary: str, pattern: str):
@@ -206,7 +207,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode(df, text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None):
-    """df as a struct ``row`` and the ``ids`` of its whole text."""
+    """df as a struct ``row``, the ``ids`` of its whole text, and whether their decoding is the text."""
     from functools import partial
 
     from pyspark.sql import functions as F
@@ -214,7 +215,7 @@ def encode(df, text_col: str = "text", vocabulary: str | None = None, pattern: s
     path, pat = default_vocabulary()
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(partial(encoded, vocabulary=vocabulary or path, pattern=pattern or pat), f"row {kind}, ids array<int>")
+    return src.mapInArrow(partial(encoded, vocabulary=vocabulary or path, pattern=pattern or pat), f"row {kind}, ids array<int>, decodes boolean")
 
 
 def decode(df, vocabulary: str | None = None, pattern: str | None = None):

@@ -425,7 +425,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 def _cut(batches, length: int):
     for b in batches:
         texts, found, copies = b.column("text"), b.column("found").to_pylist(), b.column("copies").to_pylist()
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         for i in range(b.num_rows):
             raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
             if (copies[i] or 0) > 1 and len(raw) >= length:
@@ -436,11 +436,11 @@ def _cut(batches, length: int):
             for a, z in spans:
                 left.append(raw[at:a])
                 at = z
-            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join([*left, raw[at:]]))):
+            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join([*left, raw[at:]]), "".join([x.decode("utf-8", "ignore") for x in (*left, raw[at:])]))):
                 col.append(v)
         yield pa.RecordBatch.from_arrays(
-            [b.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))],
-            names=["row", "n_bytes", "n_removed", "spans", "kept_bytes"],
+            [b.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())))],
+            names=["row", "n_bytes", "n_removed", "spans", "kept_bytes", "kept_text"],
         )
 
 
@@ -473,12 +473,12 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_b
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 400, **options) -> DataFrame:
-    """df with n_bytes, n_removed, spans (from, to pairs) and kept_bytes beside a struct ``row`` of its
-    own columns. Every byte under a ``length``-byte string that also starts elsewhere goes."""
+    """df with n_bytes, n_removed, spans (from, to pairs), kept_bytes and kept_text (without characters
+    that lost a byte) beside a struct ``row`` of its own columns, the text left out. Every byte under a ``length``-byte string that also starts elsewhere goes."""
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.md5("text")))
     found = repeated_spans(keyed.select("key", "text"), length, **options)
     slim = keyed.withColumn("row", F.col("row").dropFields(text_col)) if len(df.columns) > 1 else keyed
     joined = slim.join(found, "key", "left").select("row", "text", "copies", "found")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(partial(_cut, length=length), f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary")
+    return joined.mapInArrow(partial(_cut, length=length), f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary, kept_text string")

@@ -248,3 +248,17 @@ def near_duplicates(
         F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.col("component_id").isNull()).alias("kept"),
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df of which no near-duplicate has a smaller (id, text's hash); of equal rows one.
+    Rows without words have no near-duplicates and all stay."""
+    th = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "id", "text", **options)
+    first = found.where("kept and n_shingles > 0").select(F.col("id.id").alias("__id"), F.col("id.th").alias("__th")).distinct()
+    mine = df.withColumn("__mine", th)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__th"))
+    worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = mine.where(worded).join(first, same, "left_semi").dropDuplicates([id_col, "__mine"])
+    return kept.unionByName(mine.where(~worded)).drop("__mine")
