@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioflow.functions import text as T
 
@@ -68,7 +69,7 @@ def fold_laws(events: DataFrame, law: str, order: list[str], laws: DataFrame | N
     return by_law.select(law, apply_amendments(text, F.col("am")).alias("r")).select(law, "r.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Unified diff of two texts, '' where they are equal."""
 

@@ -61,7 +61,7 @@ def repair(raw: str | None, compat: bool = True) -> str | None:
         return None
     text = text[start:]
     cuts = [text, *(re.sub(p, "", text.rstrip()) for p in (r",\s*\"[^\"]+\"\s*:\s*[^,\n]*\Z", r",\s*\{[^}]*\Z"))]
-    for candidate in cuts if compat else [x for c in cuts for x in (c,)]:
+    for candidate in cuts:
         for nested in (False,) if compat else (False, True):
             try:
                 got = json.loads(balance(candidate, nested))

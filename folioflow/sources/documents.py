@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from folioflow.functions import text as T
 
@@ -59,7 +60,7 @@ def structured(chunks: DataFrame, provider: Callable[[str], str], retry_chars: i
     return chunks.mapInPandas(run, f"{', '.join(f'`{c}` {t}' for c, t in chunks.dtypes)}, reply string")
 
 
-@F.pandas_udf("struct<two_columns:boolean,column_x:int>")
+@F.pandas_udf(StructType([StructField("two_columns", BooleanType()), StructField("column_x", IntegerType())]))
 def column_divider(width: pd.Series, pixels: pd.Series) -> pd.DataFrame:
     """The whitest pixel column between 40 and 60 % of a half-scale grey raster (bytes, row by row), in
     full-scale pixels, if at least 85 % of it is over 240; the leftmost of equals."""
