@@ -6,10 +6,12 @@ has not written before. Steps are taken level by level for all documents of a sl
 stops once all of its slots hold ranks of finished levels, since later ranks are larger.
 
 Scale: identical sets are one node. A bucket (equal band) compares its members with a leader only,
-in rounds: verified links become components, a leader that met all members leaves, and what still
-stands in different components meets a new leader; after the rounds the remaining cross-component
-pairs of a bucket are compared exactly, so no candidate is capped. All joins are equi-joins that
-the engine can split, all counts are combined before the shuffle.
+the member that meets most others. Verified links become components. Where a bucket still holds
+several components, the buckets that share members form a group, which is cut into blocks of a bounded
+number of elements; each pair of blocks is one cell, whose inverted index compares every set outside the
+cell's most frequent component with all others and gives back the links that join components. So no
+candidate is capped, no pair is a row unless it is compared with a leader or is a link, and no task
+holds a group. All joins are equi-joins that the engine can split; counts are combined before shuffles.
 
 Null or empty texts have no set and are linked with nothing. Rows with equal ids count as rows of
 their own; a null id is never a component's name unless all rows of it have none.
@@ -158,6 +160,49 @@ def _confirm(batches, percent: int):
         yield b.select(["a", "b"]).filter(pa.array(linked))
 
 
+def _cell_links(keys: list[bytes], labels: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join different components among these sets, a spanning set of them: every set outside
+    the most frequent component meets all others through an inverted index over the elements."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    comp = np.array([number[x] for x in labels])
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    postings, ends = row[order], np.cumsum(np.bincount(code))
+    starts, cut = ends - np.bincount(code), np.cumsum(sizes) - sizes
+    out, biggest = [], np.bincount(comp).argmax()
+    for x in np.flatnonzero(comp != biggest):
+        mine = code[cut[x] : cut[x] + sizes[x]]
+        common = np.bincount(np.concatenate([postings[starts[c] : ends[c]] for c in mine]), minlength=len(sets))
+        for y in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common)):
+            if comp[y] != comp[x]:
+                out.append((keys[x], keys[y]))
+                comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def _cells(batches, percent: int):
+    """Rows sorted by cell; each cell holds two blocks of a group, of a bounded number of elements."""
+    cell, keys, labels, sets = None, [], [], []
+
+    def solve():
+        found = _cell_links(keys, labels, sets, percent) if len(set(labels)) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        for *at, key, label, raw in zip(*(b.column(k).to_pylist() for k in ("g", "lo", "hi", "key", "label", "elements"))):
+            if at != cell:
+                if keys:
+                    yield solve()
+                cell, keys, labels, sets = at, [], [], []
+            keys.append(key)
+            labels.append(label)
+            sets.append(np.frombuffer(raw, np.uint64))
+    if keys:
+        yield solve()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, label) of every vertex of edges (a, b): union-find as min-label exchange with pointer
     jumping; label is the least key of the component. Rounds grow with the log of its width."""
@@ -184,7 +229,8 @@ def near_duplicates(
     percent: int = 80,
     slots: int = 252,
     band_rows: int = 6,
-    leader_rounds: int = 3,
+    block_rows: int = 2_000,
+    block_elements: int = 500_000,
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links reach), kept (it is that id).
 
@@ -208,33 +254,25 @@ def near_duplicates(
         return keep(full.select("a", "b", "ea", "eb").mapInArrow(partial(_confirm, percent=percent), "a binary, b binary"))
 
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    links, tables = None, [now]
-    labels = None
-    for round_no in range(leader_rounds + 1):
-        if labels is None:
-            cast = now.withColumn("label", F.col("key"))
-        else:
-            cast = now.join(labels.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-            mixed = cast.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-            cast = keep(cast.join(mixed, "h"))
-            tables.append(cast)
-            if not cast.limit(1).count():
-                break
-        if round_no < leader_rounds:
-            leaders = cast.groupBy("h").agg(F.max(F.struct("mass", "key", "n", "label")).alias("top"))
-            led = cast.join(leaders, "h").where("key <> top.key")
-            pairs = led.where("label <> top.label").select(F.col("key").alias("a"), F.col("top.key").alias("b"), F.col("n").alias("na"), F.col("top.n").alias("nb"))
-            now = keep(led.select("h", "key", "n", "mass"))
-            tables.append(now)
-        else:
-            other = cast.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = cast.join(other, "h").where("label < lb").select(F.col("key").alias("a"), "b", F.col("n").alias("na"), "nb")
-        found = confirm(pairs.where(fits).select("a", "b").distinct())
-        links = found if links is None else keep(links.union(found))
-        tables.append(links)
-        if labels is not None:
-            tables.append(labels)
-        labels = components(links)
+    leaders = now.groupBy("h").agg(F.max(F.struct("mass", "key", "n")).alias("top"))
+    pairs = now.join(leaders, "h").where("key <> top.key").select(F.col("key").alias("a"), F.col("top.key").alias("b"), F.col("n").alias("na"), F.col("top.n").alias("nb"))
+    links = confirm(pairs.where(fits).select("a", "b").distinct())
+    labels = components(links)
+    tables = [now, links, labels]
+    cast = now.join(labels.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = cast.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("key").alias("hub")).where("lo <> hi").select("h", "hub")
+    left = keep(cast.join(mixed, "h").select("key", "label", "hub", "n").distinct())
+    tables.append(left)
+    if left.limit(1).count():
+        groups = components(left.select(F.col("key").alias("a"), F.col("hub").alias("b")))
+        member = left.select("key", "label", "n").distinct().join(groups.select("key", F.col("label").alias("g")), "key")
+        size = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).alias("blocks"))
+        placed = member.join(size, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("key", "label", "g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+        filled = cells.join(sets, "key").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "key")
+        more = keep(filled.select("g", "lo", "hi", "key", "label", "elements").mapInArrow(partial(_cells, percent=percent), "a binary, b binary"))
+        tables += [groups, more, labels]
+        labels = components(links.union(more))
     named = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(labels.select("key", "label"), "key")
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = keep(named.join(heads, "label").select("key", "component_id"))

@@ -58,11 +58,12 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
-def test_chain_beyond_the_leader_rounds(spark):
-    """Texts that shift step by step: many are linked only through others."""
+@pytest.mark.parametrize("block", [3, 2_000])
+def test_chain_beyond_the_leaders(spark, block):
+    """Texts that shift step by step: many are linked only through others, in one block or several."""
     words = [f"v{i}" for i in range(150)]
     rows = [(i, " ".join(words[i * 4 : i * 4 + 90])) for i in range(15)]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2, leader_rounds=1)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2, block_rows=block)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
@@ -86,3 +87,12 @@ def test_signature_is_superminhash(n):
         b = np.concatenate([a[:630], rng.integers(1, 1 << 63, 70).astype(np.uint64)])
         two = signatures(np.zeros(n, np.int64), np.sort(b), 1)
         assert abs((one == two).mean() - 630 / 770) < 0.08
+
+
+def test_group_of_borderline_copies(spark):
+    """Copies of one text with edits of their own: some pairs are links, many just aren't."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(f"e{rnd.randrange(30)}" if rnd.random() < 0.02 + 0.08 * (i % 4) / 3 else w for w in base)) for i in range(80)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2, block_rows=30)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
