@@ -204,13 +204,16 @@ def _cells(batches, percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, label) of every vertex of edges (a, b): union-find as min-label exchange with pointer
-    jumping; label is the least key of the component. Rounds grow with the log of its width."""
+    """(key, label) of every vertex of edges (a, b): union-find in rounds: each vertex and the
+    root it names hook to the least label around, then labels jump to their labels' labels. label is the
+    least key of the component; rounds grow with the log of its width."""
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = keep(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        met = labels.join(near, "key")
+        hooks = met.select("key", "near").union(met.select("label", "near")).groupBy("key").agg(F.min("near").alias("near"))
+        step = labels.join(hooks, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("key").alias("via"), F.col("label").alias("far"))
         new = keep(step.join(jump, "via", "left").select("key", F.least("via", F.coalesce("far", "via")).alias("label"), "old"))
         changed = new.where("label <> old").limit(1).count()
