@@ -7,7 +7,7 @@ stops once all of its slots hold ranks of finished levels, since later ranks are
 
 Scale: identical sets are one node. A bucket (equal band) compares its members with a leader only,
 the member that meets most others. Verified links become components. Where a bucket still holds
-several components, the buckets that share members form a group, which is cut into blocks of a bounded
+several components, the components that share buckets form a group, which is cut into blocks of a bounded
 number of elements; each pair of blocks is one cell, whose inverted index compares every set outside the
 cell's most frequent component with all others and gives back the links that join components. So no
 candidate is capped, no pair is a row unless it is compared with a leader or is a link, and no task
@@ -263,12 +263,13 @@ def near_duplicates(
     labels = components(links)
     tables = [now, links, labels]
     cast = now.join(labels.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = cast.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("key").alias("hub")).where("lo <> hi").select("h", "hub")
-    left = keep(cast.join(mixed, "h").select("key", "label", "hub", "n").distinct())
+    mixed = cast.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lo")
+    left = keep(cast.join(mixed, "h").select("key", "label", "lo", "n").distinct())
     tables.append(left)
     if left.limit(1).count():
-        groups = components(left.select(F.col("key").alias("a"), F.col("hub").alias("b")))
-        member = left.select("key", "label", "n").distinct().join(groups.select("key", F.col("label").alias("g")), "key")
+        # groups of components that share mixed buckets: far fewer edges than members
+        groups = components(left.where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
+        member = left.select("key", "label", "n").distinct().join(groups.select(F.col("key").alias("label"), F.col("label").alias("g")), "label")
         size = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).alias("blocks"))
         placed = member.join(size, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
         cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("key", "label", "g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
