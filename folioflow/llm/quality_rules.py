@@ -14,7 +14,6 @@ Null texts have no words; a null language is the stratum ''.
 
 from __future__ import annotations
 
-from functools import partial
 from math import lgamma, log
 
 import numpy as np
@@ -22,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import keep
 from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, slices, span_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -142,71 +142,72 @@ def choose(good: dict[str, np.ndarray], bad: dict[str, np.ndarray], alpha: float
     return out
 
 
-def _count(batches):
-    """Labelled texts to (stratum, label, rule, bucket, count) rows."""
-    tally: dict[tuple, int] = {}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _measure(batches):
     for b in slices(batches):
         m = measures(b.column("text"))
-        ok = ~base_failed(m)
-        values = metrics(m)
-        strata, labels = b.column("stratum").to_pylist(), b.column("label").to_pylist()
-        for rule, grid in GRIDS.items():
-            bucket = np.searchsorted(np.array(grid), values[rule], "left")
-            for i in np.flatnonzero(ok):
-                key = (strata[i], labels[i], rule, int(bucket[i]))
-                tally[key] = tally.get(key, 0) + 1
-    rows = list(tally)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32()), pa.array(list(tally.values()), pa.int64())],
-        names=["stratum", "label", "rule", "bucket", "n"],
-    )
+        values = np.stack(list(metrics(m).values()), axis=1)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("stratum"), *(pa.array(m[k]) for k in COUNTS), pa.array(base_failed(m)), rows], names=["row", "stratum", *COUNTS, "base_failed", "values"])
 
 
-def cutoffs(texts: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1_000) -> dict[str, dict[str, float]]:
-    """Cutoffs per stratum from rows (stratum, text, label). A stratum whose good texts are too few for
-    any cutoff is left out before counts are gathered; of more than ``max_strata`` others an error
-    tells, since the counts (41 per stratum and label) and the cutoffs go through the driver."""
-    labelled = texts.where("label in (0, 1)")
+def measured(df: DataFrame, text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """(row, stratum, counts, base_failed, values) per row of df: ``row`` has the columns ``carry`` (all
+    by default), values the rules' numbers in the order of ``GRIDS``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in (df.columns if carry is None else carry))).alias("row")
+    src = df.select(row, F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
+    counts = ", ".join(f"{k} bigint" for k in COUNTS)
+    return src.mapInArrow(_measure, f"row {src.schema['row'].dataType.simpleString()}, stratum string, {counts}, base_failed boolean, values array<double>")
+
+
+def cutoffs_of(known: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1_000) -> dict[str, dict[str, float]]:
+    """Cutoffs per stratum from rows (stratum, base_failed, values, label). A stratum whose good texts are
+    too few for any cutoff is left out before counts are gathered; of more than ``max_strata`` others an
+    error tells, since the counts (41 per stratum and label) and the cutoffs go through the driver."""
+    labelled = known.where("label in (0, 1)").select("stratum", F.col("label").cast("int").alias("label"), "base_failed", "values")
     tests = sum(map(len, GRIDS.values()))
     need = log(1 / (delta / tests)) / (alpha / len(GRIDS))  # fewer can't pass even without rejections
-    counts = labelled.groupBy("stratum").agg(F.sum("label").alias("good")).where(F.col("good") >= need / 2)
-    if counts.limit(max_strata + 1).count() > max_strata:
+    counts = labelled.groupBy("stratum").agg(F.sum("label").alias("good")).where(F.col("good") >= need / 2).select("stratum").limit(max_strata + 1).collect()
+    if len(counts) > max_strata:
         raise ValueError(f"more than {max_strata} strata; choose a coarser stratum")
-    tally = labelled.join(counts.select("stratum"), "stratum").select("stratum", F.col("label").cast("int"), "text")
-    rows = tally.mapInArrow(_count, "stratum string, label int, rule string, bucket int, n bigint").groupBy("stratum", "label", "rule", "bucket").agg(F.sum("n").alias("n")).collect()
-    held: dict[str, tuple[dict, dict]] = {}
-    for r in rows:
-        pair = held.setdefault(r.stratum, tuple({k: np.zeros(len(g) + 1, np.int64) for k, g in GRIDS.items()} for _ in range(2)))
-        pair[r.label][r.rule][r.bucket] += r.n
+    held = {r.stratum: tuple({k: np.zeros(len(g) + 1, np.int64) for k, g in GRIDS.items()} for _ in range(2)) for r in counts}
+    grids = F.array(*(F.array(*map(F.lit, g)) for g in GRIDS.values()))
+    above = F.transform("values", lambda v, i: F.size(F.filter(F.get(grids, i), lambda c: c < v)))
+    passed = labelled.where(~F.col("base_failed") & F.col("stratum").isin(list(held)))
+    tally = passed.select("stratum", "label", F.posexplode(above).alias("rule", "bucket")).groupBy("stratum", "label", "rule", "bucket").agg(F.count("*").alias("n"))
+    names = list(GRIDS)
+    for r in tally.collect():
+        held[r.stratum][r.label][names[r.rule]][r.bucket] += r.n
     shared = delta / (tests * max(1, len(held)))
     return {s: choose(good, bad, alpha / len(GRIDS), shared) for s, (bad, good) in held.items()}
 
 
-def _apply(batches, rules: dict[str, dict[str, float]]):
-    for b in slices(batches):
-        m = measures(b.column("text"))
-        values = metrics(m)
-        failed = base_failed(m)
-        strata = np.array([s or "" for s in b.column("stratum").to_pylist()], object)
-        rejected = np.zeros(b.num_rows, bool)
-        for stratum, own in rules.items():
-            mine = strata == stratum
-            if mine.any():
-                for rule, cutoff in own.items():
-                    rejected |= mine & (values[rule] > cutoff)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(m[k]) for k in names), pa.array(failed), pa.array(~failed & ~rejected)], names=["row", *names, "base_failed", "kept"])
+def cutoffs(texts: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1_000) -> dict[str, dict[str, float]]:
+    """``cutoffs_of`` from rows (stratum, text, label)."""
+    return cutoffs_of(measured(texts, "text", "stratum", ["label"]).withColumn("label", F.col("row.label")), alpha, delta, max_strata)
+
+
+def verdicts(rows: DataFrame, rules: dict[str, dict[str, float]]) -> DataFrame:
+    """Rows of ``measured`` with ``kept`` instead of values; the rules are broadcast, which their bound on
+    strata keeps small."""
+    table = [(s, [float(own.get(k, "inf")) for k in GRIDS]) for s, own in rules.items()]
+    limits = rows.sparkSession.createDataFrame(table, "__stratum string, __limits array<double>")
+    met = rows.join(F.broadcast(limits), F.col("stratum") == F.col("__stratum"), "left")
+    rejected = F.coalesce(F.exists(F.zip_with("values", "__limits", lambda v, c: v > c), lambda x: x), F.lit(False))
+    return met.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", "values", "__stratum", "__limits")
 
 
 def judge(df: DataFrame, rules: dict[str, dict[str, float]], text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """(row, counts, base_failed, kept) for every row of df."""
-    src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
-    kind = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(partial(_apply, rules=rules), f"row {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean")
+    return verdicts(measured(df, text_col, stratum_col), rules)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Thresholds from all labelled documents, applied to all documents."""
-    known = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum")).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    rules = cutoffs(known.select("stratum", "text", "label"), alpha, delta)
-    return judge(docs.select("doc_id", "text", "lang"), rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """Thresholds from all labelled documents, applied to all documents. Texts are measured once, where
+    they are read; only their numbers meet the labels."""
+    rows = keep(measured(docs, carry=["doc_id"]))
+    known = rows.withColumn("__id", F.col("row.doc_id")).join(labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("label")), "__id")
+    rules = cutoffs_of(known, alpha, delta)
+    return verdicts(rows, rules).select("row.doc_id", *COUNTS, "base_failed", "kept")
