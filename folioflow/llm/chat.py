@@ -94,6 +94,8 @@ class Rendered:
             self.length = len(now)
             return now[same:], None
         span = now[len(before) :]
+        if self.local and self.n <= CHECKED and self.template([turn]) != self.template([]) + span:
+            self.local = False  # declared wrongly: all turns are here still, so prefixes stay whole
         self.length += len(span)
         if turn[0] != "assistant" or bare is None or not bare.startswith(before):
             return span, None

@@ -54,3 +54,13 @@ def test_spans_join_to_the_output(spark):
         assert (r.mask_start is not None) == (role == "assistant")
         assert role == "user" or unescape(r.span[r.mask_start : r.mask_end]) == t
     assert chat_digests(df.limit(0)).count() == 0
+
+
+def test_a_wrong_declaration_of_local_is_found():
+    def numbered(turns):
+        return "".join(f"{k}. {role}: {text}\n" for k, (role, text) in enumerate(turns))
+
+    numbered.local = True
+    state, turns = Rendered(numbered), [("assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    assert "".join(state.feed(t)[0] for t in turns) == numbered(turns)
+    assert state.rewrites_at is None
