@@ -1,9 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut after every sentence end (``. ! ?`` and what closes it, before white space) and at line
-ends. Every run of ``run`` consecutive sentences is hashed (128 bits, lower case, white space collapsed)
-and the hashes are joined globally: the first place of a repeated run, by (id, position), stays, and the
-sentences of every other place go. A run must hold at least ``min_words`` words, so stock phrases stay.
+A text is cut after every sentence end (``. ! ?`` and what closes it, before white space; the full-width
+ends also without it) and at line ends. A run is at least ``run`` consecutive sentences that hold at least
+``min_words`` words, so stock phrases stay; a text of fewer sentences is one run if it holds the words. The
+first place of a repeated run, by (id, position), stays, and the sentences of every other place go.
+
+Hashed (128 bits, lower case, white space collapsed) and joined globally are, from every sentence on and up
+to every sentence, the shortest run: they cover a repeated run of any length from its first sentence to its
+last, however short its sentences are. Han and kana characters, which no space parts, are a word each.
 
 Native DataFrame operations only. The first place of a hash is a minimum, combined before the shuffle,
 so a run that a third of all texts hold costs one row per task; the join back is an equi-join that the
@@ -21,31 +25,75 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.shared import keep
 
-ENDS = r"(?<=[.!?…][\"')\]»”’]{0,3})[ \t\x0B\f\r]+|\n+"
+SPACE = r"[ \t\x0B\f\r]"
+SPACED = rf"(?={SPACE})(?<=[.!?…][\"')\]»”’]{{0,3}}){SPACE}+|\n+"
+WIDE = r"[。！？｡]"
+ENDS = rf"{SPACED}|(?<={WIDE}[\"')\]»”’」』）】]{{0,3}})(?![。！？｡\"')\]»”’」』）】]){SPACE}*"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: F.trim(s) != "")
+    text = F.coalesce(text, F.lit(""))
+    return F.filter(F.when(text.rlike(WIDE), F.split(text, ENDS)).otherwise(F.split(text, SPACED)), lambda s: F.trim(s) != "")
+
+
+def _with(value: Column, made) -> Column:
+    """made(value), with value computed once however often a lambda of ``made`` reads it."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _n_words(s: Column) -> Column:
+    spaced = lambda x: F.size(F.split(x, " "))
+    return F.when(F.octet_length(s) == F.length(s), spaced(s)).otherwise(spaced(F.trim(F.regexp_replace(F.regexp_replace(s, UNSPACED, " x "), " +", " "))))
+
+
+def _shortest(words: Column, run: int, min_words: int) -> Column:
+    """How many of the first sentences are a run, 0 if all of them aren't; words: words per sentence."""
+    enough = lambda a: (a["n"] >= run) & (a["w"] >= min_words)
+    pair = lambda n, w: F.struct(n.alias("n"), w.alias("w"))
+    add = lambda a, x: F.when(enough(a), a).otherwise(pair(a["n"] + 1, a["w"] + x))
+    return F.aggregate(words, pair(F.lit(0), F.lit(0)), add, lambda a: F.when(enough(a), a["n"]).otherwise(0))
 
 
 def runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(id, th, pos, h1, h2) per run, th naming the text."""
-    parts = docs.select("id", "th", F.transform("sents", lambda s: F.regexp_replace(F.lower(F.trim(s)), r"\s+", " ")).alias("s"))
-    each = parts.where(F.size("s") >= run).select("id", "th", "s", F.posexplode(F.expr(f"slice(s, 1, size(s) - {run - 1})")).alias("pos", "head"))
-    text = F.array_join(F.slice("s", F.col("pos") + 1, run), "\n")
-    return each.select("id", "th", "pos", text.alias("t")).where(F.size(F.split("t", r"\s")) >= min_words).select("id", "th", "pos", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(11), "t").alias("h2"))
+    """(id, th, pos, n, h1, h2) per run of n sentences from pos on, th naming the text."""
+    most = max(run, min_words)  # a sentence counts as a word at least
+    least = lambda w: F.least(F.lit(run), F.size(w))
+    norm = F.transform("sents", lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")))
+    each = F.transform(norm, lambda s: F.struct(_n_words(s).alias("w"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b")))
+
+    def found(e: Column) -> Column:
+        return _with(F.struct(e["w"].alias("w"), e["a"].alias("a"), e["b"].alias("b")), ends)
+
+    def ends(v: Column) -> Column:
+        ahead = F.transform(v["w"], lambda _, p: _shortest(F.slice(v["w"], p + 1, most), least(v["w"]), min_words))
+        return _with(F.struct(v.alias("v"), ahead.alias("ahead")), hashed)
+
+    def hashed(x: Column) -> Column:
+        v, ahead = x["v"], x["ahead"]
+        back = lambda p: _shortest(F.reverse(F.slice(v["w"], F.greatest(p + 2 - most, F.lit(1)), F.least(p + 1, F.lit(most)))), least(v["w"]), min_words)
+        place = lambda p, n: F.struct(p.alias("pos"), n.alias("n"))
+        forth = F.transform(ahead, lambda n, p: place(p, n))
+        other = F.filter(F.transform(ahead, lambda _, p: _with(back(p), lambda n: place(p + 1 - n, n))), lambda r: (r["n"] > 0) & (F.get(ahead, r["pos"]) != r["n"]))
+        both = F.filter(F.concat(forth, other), lambda r: r["n"] > 0)
+        part = lambda c, r: F.slice(c, r["pos"] + 1, r["n"])
+        return F.transform(both, lambda r: F.struct(r["pos"].alias("pos"), r["n"].alias("n"), F.xxhash64(part(v["a"], r)).alias("h1"), F.xxhash64(F.lit(11), part(v["b"], r)).alias("h2")))
+
+    return docs.select("id", "th", F.inline(_with(each, found)))
 
 
 def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 20) -> DataFrame:
     """(id, n_sentences, gone, kept_text): per row of df the positions of the sentences removed and the
     rest, joined by line ends where any went and whole otherwise."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("sents", sentences(F.col("text"))).withColumn("th", F.xxhash64("text"))
-    every = keep(runs(docs.select("id", "th", "sents"), run, min_words))
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    every = keep(runs(docs.select("id", "th", sentences(F.col("text")).alias("sents")), run, min_words))
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n_places")).where("n_places > 1").drop("n_places")
     later = every.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-    gone = later.select("id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + (run - 1))).alias("p")).distinct().groupBy("id", "th").agg(F.array_sort(F.collect_list("p")).alias("gone"))
-    out = docs.join(gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
-    gone_or = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.filter("sents", lambda s, i: ~F.array_contains(gone_or, i))
-    return out.select(F.col("id").alias(id_col), F.size("sents").cast("bigint").alias("n_sentences"), gone_or.alias("gone"), F.when(F.size(gone_or) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n")).alias("kept_text"))
+    places = later.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
+    gone = places.select("id", "th", F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1))))).alias("gone"))
+    out = docs.join(gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.col("gone").alias("went")), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
+    gone_or = F.coalesce("went", F.array().cast("array<int>"))
+    left = lambda s: F.array_join(F.filter(s, lambda _, i: ~F.array_contains(gone_or, i)), "\n")
+    kept = lambda s: F.struct(F.size(s).cast("bigint").alias("n_sentences"), F.when(F.size(gone_or) == 0, F.coalesce("text", F.lit(""))).otherwise(left(s)).alias("kept_text"))
+    out = out.select(F.col("id").alias(id_col), gone_or.alias("gone"), F.inline(F.array(_with(sentences(F.col("text")), kept))))
+    return out.select(id_col, "n_sentences", "gone", "kept_text")

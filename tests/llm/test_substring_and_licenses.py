@@ -66,3 +66,32 @@ def test_scan_keeps_rows(spark):
     got = [(r.row.doc_id, [x.license for x in r.found]) for r in scan_licenses(df).collect()]
     assert sorted(got, key=str) == sorted([(1, ["MIT"]), (1, ["MIT"]), (None, []), (3, [])], key=str)
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_repeated_passages_of_short_sentences_go(spark):
+    rnd = random.Random(9)
+    some = lambda lens, end=".": " ".join(" ".join(f"w{rnd.randrange(9000)}" for _ in range(n)) + end for n in lens)
+    passage = some([5, 8, 6, 7, 5, 5, 3, 2])
+    lone = some([30])
+    han = "".join("".join(chr(0x4E00 + rnd.randrange(9000)) for _ in range(9)) + "。" for _ in range(5))
+    rows = [(i, f"{some([6, 6, 6])} {passage} {some([4, 4, 4])}") for i in range(4)]
+    rows += [(10, lone), (11, lone), (20, "甲。" + han + "乙。"), (21, "丙。" + han + "丁。"), (30, "So it is. Yes."), (31, "So it is. Yes.")]
+    rows += [(40, some([9, 9, 3]) + "\n" + passage.replace(". ", ".\n"))]
+    got = {r.doc_id: (list(r.gone), r.n_sentences) for r in repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    mid = list(range(3, 11))
+    assert got == {0: ([], 14), 1: (mid, 14), 2: (mid, 14), 3: (mid, 14), 10: ([], 1), 11: ([0], 1), 20: ([], 7), 21: ([1, 2, 3, 4, 5], 7), 30: ([], 2), 31: ([], 2), 40: (mid, 11)}
+
+
+def test_every_repeated_run_of_the_word_bound_goes(spark):
+    rnd = random.Random(10)
+    bank = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 5))) + "." for _ in range(12)]
+    rows = [(i, "\n".join(rnd.choice(bank) for _ in range(rnd.randrange(2, 14)))) for i in range(60)]
+    split = {i: t.split("\n") for i, t in rows}
+    seen, want = {}, {i: set() for i in split}
+    for i, s in split.items():
+        for p in range(len(s)):
+            for n in range(2, len(s) - p + 1):
+                if len(" ".join(s[p : p + n]).split()) >= 7 and seen.setdefault(tuple(s[p : p + n]), (i, p)) != (i, p):
+                    want[i] |= set(range(p, p + n))
+    got = {r.doc_id: set(r.gone) for r in repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=7).collect()}
+    assert got == want and any(want.values())
