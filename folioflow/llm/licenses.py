@@ -3,8 +3,9 @@
 Candidate blocks are the paragraphs (runs of lines without an empty one, cut every ``BLOCK_LINES``
 lines) around a line that holds a word of license texts. Each block is compressed alone and with every
 template as a zstandard raw dictionary; templates are ranked by how much of the block's size the
-dictionary takes away. The winners are confirmed by exact wording: the words of the template's clause
-that are missing, and the words put in, found by a longest-matching-blocks difference.
+dictionary takes away. Every clause of every template is confirmed by exact wording, at each place where
+it stands: the words of the clause that are missing, and the words put in, found by a
+longest-matching-blocks difference. Where confirmed clauses share words, the best one counts.
 
 Every line of every whole text is looked at; a text's blocks are a row each. Null texts have no blocks.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import difflib
 import re
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,38 +100,80 @@ def ranking(passage: str) -> list[tuple[str, float]]:
     return sorted(((n, (alone - len(c.compress(raw))) / alone) for n, c in own.items()), key=lambda x: (-x[1], x[0]))
 
 
-def confirm(name: str, passage: str) -> tuple[float, str, list[str], list[str]]:
-    """(share of the clause's words found in order, clause, missing, put in) of the best clause."""
-    best = (-1.0, "", [], [])
-    words = _WORD.findall(passage.lower())
-    for clause in TEMPLATES[name]:
-        want = _WORD.findall(clause.lower())
-        match = difflib.SequenceMatcher(None, want, words, autojunk=False)
-        found = [b for b in match.get_matching_blocks() if b.size]
-        if not found:
+@lru_cache(maxsize=1)
+def _clauses() -> list[tuple[str, str, list[str]]]:
+    return [(n, c, _WORD.findall(c.lower())) for n, cs in TEMPLATES.items() for c in cs]
+
+
+def _regions(want: list[str], words: list[str], need: float, room: int) -> list[tuple[int, int]]:
+    """Stretches of words outside which no ``len(want) + room`` words hold ``need`` words of the clause."""
+    known, wide = set(want), len(want) + room
+    before = [0, *accumulate(w in known for w in words)]
+    out: list[list[int]] = []
+    for lo in range(max(1, len(words) - wide + 1)):
+        hi = min(lo + wide, len(words))
+        if before[hi] - before[lo] >= need:
+            if out and lo <= out[-1][1]:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
+def places(want: list[str], words: list[str], least: float, room: int = 10) -> list[tuple[float, int, int, list[str], list[str]]]:
+    """(share of the clause's words found in order, first word, end, missing, put in) of every disjoint
+    place at or over ``least``."""
+    need, out = least * len(want), []
+    todo, seen = _regions(want, words, need, room), set()
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < need or (lo, hi) in seen:
+            continue
+        seen.add((lo, hi))
+        core = difflib.SequenceMatcher(None, want, words[lo:hi], autojunk=False).find_longest_match()
+        if not core.size:
             continue
-        core = max(found, key=lambda b: b.size)
-        lo = max(0, core.b - core.a - 5)
-        near = words[lo : core.b + len(want) - core.a + 5]
+        at = max(lo, lo + core.b - core.a - room // 2)
+        near = words[at : min(hi, lo + core.b + len(want) - core.a + room // 2)]
         ops = difflib.SequenceMatcher(None, want, near, autojunk=False).get_opcodes()
-        same = sum(i2 - i1 for tag, i1, i2, _, _ in ops if tag == "equal")
-        missing = [w for tag, i1, i2, _, _ in ops if tag in ("delete", "replace") for w in want[i1:i2]]
-        added = [w for k, (tag, _, _, j1, j2) in enumerate(ops) if tag in ("insert", "replace") and 0 < k < len(ops) - 1 for w in near[j1:j2]]
-        if (same / len(want), len(want)) > (best[0], len(_WORD.findall(best[1].lower()))):
-            best = (same / len(want), clause, missing, added)
-    return best
+        same = [op for op in ops if op[0] == "equal"]
+        cover = sum(op[2] - op[1] for op in same) / len(want)
+        a, z = lo + core.b, lo + core.b + core.size
+        if cover >= least:
+            a, z = at + same[0][3], at + same[-1][4]
+            missing = [w for tag, i1, i2, _, _ in ops if tag in ("delete", "replace") for w in want[i1:i2]]
+            added = [w for k, (tag, _, _, j1, j2) in enumerate(ops) if tag in ("insert", "replace") and 0 < k < len(ops) - 1 for w in near[j1:j2]]
+            out.append((cover, a, z, missing, added))
+            todo += [(lo, a), (z, hi)]
+        else:  # the core belongs to no place; one of its ends may
+            todo += [(lo, z - 1), (a + 1, hi)]
+    return out
 
 
-def scan(text: str | None, tries: int = 3, least: float = 0.9) -> list[tuple[str, int, float, float, str, list[str], list[str]]]:
-    """(license, line, saved, coverage, clause, missing, put in) of every confirmed passage."""
+def confirm(passage: str, saved: dict[str, float], least: float) -> list[tuple[int, float, str, str, list[str], list[str]]]:
+    """(offset, coverage, license, clause, missing, put in) of the confirmed clauses by place; where
+    some share words, the best of them."""
+    found = list(_WORD.finditer(passage.lower()))
+    words = [m.group() for m in found]
+    every = [(p, n, c, len(want)) for n, c, want in _clauses() if n in saved for p in places(want, words, least)]
+    every.sort(key=lambda x: (x[0][0] - 0.01 * len(x[0][4]), saved[x[1]], x[3]), reverse=True)
+    taken, out = bytearray(len(words)), []
+    for (cover, a, z, missing, added), name, clause, _ in every:
+        if not any(taken[a:z]):
+            taken[a:z] = b"\1" * (z - a)
+            out.append((found[a].start(), cover, name, clause, missing, added))
+    return sorted(out)
+
+
+def scan(text: str | None, tries: int | None = None, least: float = 0.9) -> list[tuple[str, int, float, float, str, list[str], list[str]]]:
+    """(license, line, saved, coverage, clause, missing, put in) of every confirmed notice; of all
+    templates, or of the ``tries`` ranked best."""
     out = []
     for line, block in blocks(text):
         for at, passage in passages(block):
-            tried = [(*confirm(n, passage), saved, n) for n, saved in ranking(passage)[:tries]]
-            good = [x for x in tried if x[0] >= least]
-            if good:
-                cover, clause, missing, added, saved, name = max(good, key=lambda x: (x[0] - 0.01 * len(x[3]), x[4]))
-                out.append((name, line + block[:at].count("\n"), saved, cover, clause, missing, added))
+            saved = dict(ranking(passage)[:tries])
+            for offset, cover, name, clause, missing, added in confirm(passage, saved, least):
+                out.append((name, line + block[: at + offset].count("\n"), saved[name], cover, clause, missing, added))
     return out
 
 
@@ -137,14 +181,14 @@ FOUND = "array<struct<license:string,line:bigint,saved:double,coverage:double,cl
 _NAMES = ("license", "line", "saved", "coverage", "clause", "missing", "added")
 
 
-def _scan(batches, tries: int, least: float):
+def _scan(batches, tries: int | None, least: float):
     kind = pa.list_(pa.struct([("license", pa.string()), ("line", pa.int64()), ("saved", pa.float64()), ("coverage", pa.float64()), ("clause", pa.string()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
     for b in slices(batches):
         found = [[dict(zip(_NAMES, x)) for x in scan(t, tries, least)] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, kind)], names=["row", "found"])
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", tries: int = 3, least: float = 0.9) -> DataFrame:
+def scan_licenses(df: DataFrame, text_col: str = "text", tries: int | None = None, least: float = 0.9) -> DataFrame:
     """(row, found) per row of df."""
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()

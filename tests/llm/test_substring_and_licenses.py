@@ -95,3 +95,12 @@ def test_every_repeated_run_of_the_word_bound_goes(spark):
                     want[i] |= set(range(p, p + n))
     got = {r.doc_id: set(r.gone) for r in repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=7).collect()}
     assert got == want and any(want.values())
+
+
+def test_every_notice_of_a_passage_is_found():
+    short = {n: c[0] for n, c in TEMPLATES.items()}
+    names = lambda t: [x[0] for x in scan(t)]
+    assert names(short["MIT"] + "\n" + short["Apache-2.0"]) == ["MIT", "Apache-2.0"]
+    assert names(" ".join(short.values())) == list(short)
+    got = scan("\n".join(["intro", short["MIT"], "and again:", short["MIT"], *TEMPLATES["Apache-2.0"][1:]]))
+    assert [(x[0], x[1], x[3]) for x in got] == [("MIT", 1, 1.0), ("MIT", 3, 1.0), ("Apache-2.0", 4, 1.0)]
