@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are the paragraphs (runs of lines without an empty one, cut every ``BLOCK_LINES``
-lines) around a line that holds a word of license texts. Each block is compressed alone and with every
+Candidate blocks are the paragraphs (runs of lines without an empty one) around a line that holds a word
+of license texts; of long ones, the stretches around such words. Each is compressed alone and with every
 template as a zstandard raw dictionary; templates are ranked by how much of the block's size the
 dictionary takes away. Every clause of every template is confirmed by exact wording, at each place where
 it stands: the words of the clause that are missing, and the words put in, found by a
@@ -53,14 +53,14 @@ BLOCK_LINES = 40
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 
-def blocks(text: str | None) -> list[tuple[int, str]]:
-    """(first line, block) of the paragraphs with a candidate line; a block ends at an empty line, after
-    BLOCK_LINES lines."""
+def blocks(text: str | None, most: int | None = BLOCK_LINES) -> list[tuple[int, str]]:
+    """(first line, block) of the paragraphs with a candidate line; a block ends at an empty line and,
+    unless ``most`` is None, after that many lines."""
     if not text or not CANDIDATE.search(text):
         return []
     out, start, lines = [], 0, []
     for k, line in enumerate([*text.split("\n"), ""]):
-        if not line.strip() or len(lines) == BLOCK_LINES:
+        if not line.strip() or len(lines) == most:
             if any(map(CANDIDATE.search, lines)):
                 out.append((start, "\n".join(lines)))
             lines = []
@@ -169,7 +169,7 @@ def scan(text: str | None, tries: int | None = None, least: float = 0.9) -> list
     """(license, line, saved, coverage, clause, missing, put in) of every confirmed notice; of all
     templates, or of the ``tries`` ranked best."""
     out = []
-    for line, block in blocks(text):
+    for line, block in blocks(text, None):
         for at, passage in passages(block):
             saved = dict(ranking(passage)[:tries])
             for offset, cover, name, clause, missing, added in confirm(passage, saved, least):

@@ -104,3 +104,12 @@ def test_every_notice_of_a_passage_is_found():
     assert names(" ".join(short.values())) == list(short)
     got = scan("\n".join(["intro", short["MIT"], "and again:", short["MIT"], *TEMPLATES["Apache-2.0"][1:]]))
     assert [(x[0], x[1], x[3]) for x in got] == [("MIT", 1, 1.0), ("MIT", 3, 1.0), ("Apache-2.0", 4, 1.0)]
+
+
+def test_notices_across_line_40_are_found():
+    import textwrap
+
+    for name, clause in (("MIT", TEMPLATES["MIT"][1]), ("Apache-2.0", TEMPLATES["Apache-2.0"][1]), ("GPL-3.0", TEMPLATES["GPL-3.0"][1])):
+        for before in range(34, 42):
+            got = scan("line of code\n" * before + "\n".join(textwrap.wrap(clause, 60)) + "\nline of code" * 50)
+            assert [(x[0], x[1], x[3]) for x in got] == [(name, before, 1.0)]
