@@ -121,7 +121,9 @@ def missing_keys(json_text: Column) -> Column:
 def merge_chunks(chunks: DataFrame, doc: str, index: str) -> DataFrame:
     """Rows (title, sections, signatures, publication_date, confidence) per chunk to one per document:
     the first chunk's title, lists joined in order, the union of signatures in order of name, the first
-    date that is not empty, the largest confidence."""
+    date that is not empty, the largest confidence. Amendments, where the rows have them, are joined in
+    order like sections; any other column is the first chunk's."""
+    joined = lambda c: F.flatten(F.transform(F.filter(F.array_sort(F.collect_list(F.struct(F.col(index).alias("at"), c))), lambda x: x[c].isNotNull()), lambda x: x[c])).alias(c)
     dated = F.when(F.coalesce(F.col("publication_date"), F.lit("")) != "", F.col("publication_date"))
     return chunks.groupBy(doc).agg(
         F.min_by("title", index).alias("title"),
@@ -129,6 +131,7 @@ def merge_chunks(chunks: DataFrame, doc: str, index: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("signatures")))).alias("signatures"),
         F.min_by(dated, F.when(dated.isNotNull(), F.col(index))).alias("publication_date"),
         F.max("confidence").alias("confidence"),
+        *(joined(c) if c == "amendments" else F.min_by(c, index).alias(c) for c in chunks.columns if c not in (doc, index, "title", "sections", "signatures", "publication_date", "confidence")),
     )
 
 

@@ -133,3 +133,13 @@ def test_catalogue_is_whole():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 40
+
+
+def test_merged_chunks_keep_amendments_and_the_first_chunks_fields(spark):
+    from folioflow.operators import payload
+
+    kind = "doc int, i int, title string, sections array<string>, signatures array<string>, publication_date string, confidence double, amendments array<struct<operation:string,old_text:string>>, document_id string, document_type string"
+    rows = [(1, 2, "b", ["s2"], [], "d", 0.9, [("delete", "y"), ("insert", "z")], "id2", "other"), (1, 1, "a", ["s1"], ["n"], "", 0.5, [("replace", "x")], "id1", "act"), (1, 3, "c", ["s3"], [], "", 0.1, None, "id3", "act")]
+    got = payload.merge_chunks(spark.createDataFrame(rows, kind), "doc", "i").collect()[0]
+    assert [tuple(a) for a in got.amendments] == [("replace", "x"), ("delete", "y"), ("insert", "z")]
+    assert (got.document_id, got.document_type, got.title, got.publication_date, got.sections) == ("id1", "act", "a", "d", ["s1", "s2", "s3"])
