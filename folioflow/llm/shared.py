@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset in local mode (tests), a folder of our own.
+    Elsewhere that is an error: executors can't see a machine's own folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -422,7 +422,22 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _cut(batches, length: int):
+#: first bytes of the UTF-8 letters that no white space parts: Han and kana
+_UNSPACED = bytes([*range(0xE4, 0xEA)])
+
+
+def _n_words(raw: bytes, a: int, z: int) -> int:
+    """Words wholly inside raw[a:z]; Han and kana characters are a word each."""
+    part = raw[a:z]
+    words = part.split()
+    if not words:
+        return 0
+    cut = a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace()
+    cut_end = z < len(raw) and not raw[z : z + 1].isspace() and not part[-1:].isspace()
+    return len(words) - cut - (cut_end and len(words) > cut) + len(part) - len(part.translate(None, _UNSPACED))
+
+
+def _cut(batches, length: int, min_words: int):
     for b in batches:
         texts, found, copies = b.column("text"), b.column("found").to_pylist(), b.column("copies").to_pylist()
         cols: list[list] = [[], [], [], [], []]
@@ -432,11 +447,13 @@ def _cut(batches, length: int):
                 spans = [[0, len(raw)]]
             else:
                 spans = _merge([(x["at"] + a, x["at"] + z) for x in found[i] or () for a, z in zip(x["spans"][::2], x["spans"][1::2])])
+            if min_words:
+                spans = [x for x in spans if _n_words(raw, *x) >= min_words]
             at, left = 0, []
             for a, z in spans:
                 left.append(raw[at:a])
                 at = z
-            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join([*left, raw[at:]]), "".join([x.decode("utf-8", "ignore") for x in (*left, raw[at:])]))):
+            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join([*left, raw[at:]]), "".join([x.decode("utf-8", "ignore") for x in (*left, raw[at:])]) if texts[i].is_valid else None)):
                 col.append(v)
         yield pa.RecordBatch.from_arrays(
             [b.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())))],
@@ -472,13 +489,15 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_b
     return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 400, **options) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 400, min_words: int = 0, **options) -> DataFrame:
     """df with n_bytes, n_removed, spans (from, to pairs), kept_bytes and kept_text (without characters
-    that lost a byte) beside a struct ``row`` of its own columns, the text left out. Every byte under a ``length``-byte string that also starts elsewhere goes."""
-    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("key", F.unhex(F.md5("text")))
+    that lost a byte; null for a null text) beside a struct ``row`` of its own columns, the text left out. Every byte under a
+    ``length``-byte string that also starts elsewhere goes; with ``min_words``, only whole runs of such
+    bytes that hold as many words."""
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    keyed = keyed.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     found = repeated_spans(keyed.select("key", "text"), length, **options)
     slim = keyed.withColumn("row", F.col("row").dropFields(text_col)) if len(df.columns) > 1 else keyed
     joined = slim.join(found, "key", "left").select("row", "text", "copies", "found")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(partial(_cut, length=length), f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary, kept_text string")
+    return joined.mapInArrow(partial(_cut, length=length, min_words=min_words), f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary, kept_text string")

@@ -4,20 +4,44 @@ Everything here works on whole texts, one slice of documents at a time (``slices
 the bytes held at once; a text longer than the bound is a slice of its own). Words are found
 and hashed with numpy on the UTF-8 buffer; no Python object is made per word.
 
+A span's hash joins two polynomials over its bytes, one modulo 2 ** 64 and one modulo the prime
+2 ** 31 - 1: the first alone has equal values for some structured strings (Thue-Morse words).
+
 Null texts count as empty texts throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+#: some 20 arrays of 8 bytes a text byte are alive in a kernel, so a worker holds about 100 MB
+SLICE_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME = np.uint64((1 << 31) - 1)
+_FIELD = 1_220_703_125  # a multiplier of this field's congruential generators
+_one = np.ones(1, np.uint64)
+
+
+class Powers(NamedTuple):
+    up: np.ndarray
+    down: np.ndarray
+    up_prime: np.ndarray
+    down_prime: np.ndarray
+
+
+class Prefix(NamedTuple):
+    """Running sums of a text's bytes times powers, modulo 2 ** 64 and in the prime field (unreduced)."""
+
+    wide: np.ndarray
+    prime: np.ndarray
+
+
+_powers = Powers(_one, _one, _one, _one)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,20 +63,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BYTE_LOWER = _BYTE[LOWER]
+_CODE = np.arange(1, 257, dtype=np.uint64)
+_CODE_LOWER = _CODE[LOWER]
+
 
+def fold(x: np.ndarray) -> np.ndarray:
+    """The same residue modulo 2 ** 31 - 1 in about 32 bits; twice it is in 31 bits and the prime's excess."""
+    return (x & _PRIME) + (x >> np.uint64(31))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse; kept up to 4 slices long."""
-    if len(_powers[0]) > n:
-        return _powers[0], _powers[1]
+
+def _field_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = np.uint64(pow(base, done, int(_PRIME)))
+        part = out[: min(done, n - done)] * step
+        out[done : done + len(part)] = part % _PRIME
+        done += len(part)
+    return out
+
+
+def powers(n: int) -> Powers:
+    """Powers 0..n of the hash bases and of their inverses; kept up to 4 slices long."""
+    global _powers
+    if len(_powers.up) > n:
+        return _powers
     both = []
     for base in (_BASE, _INVERSE):
         p = np.full(n + 1, base, np.uint64)
         p[0] = 1
         both.append(np.multiply.accumulate(p))
+    found = Powers(*both, _field_powers(_FIELD, n + 1), _field_powers(pow(_FIELD, -1, int(_PRIME)), n + 1))
     if n <= 4 * SLICE_BYTES:
-        _powers[:] = both
-    return both[0], both[1]
+        _powers = found
+    return found
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +154,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=out[1:])
-    return out
+def prefix_hash(data: np.ndarray, lower: bool = False) -> Prefix:
+    p = powers(len(data))
+    wide, prime = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * p.up[: len(data)], out=wide[1:])
+    np.cumsum(fold((_CODE_LOWER if lower else _CODE)[data] * p.up_prime[: len(data)]), out=prime[1:])
+    return Prefix(wide, prime)
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte span; equal spans have equal hashes wherever they stand."""
-    _, down = powers(len(prefix) - 1)
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    p = powers(len(prefix.wide) - 1)
+    size = (end - start).astype(np.uint64)
+    field = fold(fold(prefix.prime[end] - prefix.prime[start])) * p.down_prime[start]
+    wide = (prefix.wide[end] - prefix.wide[start]) * p.down[start] + size
+    return mix(wide ^ mix(fold(fold(field)) % _PRIME + (size << np.uint64(32))))
 
 
 def word_hash(words: list[bytes], lower: bool = False) -> np.ndarray:
