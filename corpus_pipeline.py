@@ -1,7 +1,11 @@
 """Quality, near-dedup, repeated strings, decontamination, tokens: documents to training rows.
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept. Parameters are those of
-production: word shingles of five words, a similarity of 0.8, strings of 400 bytes, windows of 13 words.
+production: word shingles of five words, a similarity of 0.8, passages of 50 words found by strings of 200
+bytes, windows of 13 words.
+
+Nulls, empty texts, repeated rows and extra columns: every stage but the last returns the columns that it got.
+A null or empty text is scored by the classifier's bias, has no near-duplicates, repeats, benchmark words or tokens.
 """
 
 from __future__ import annotations
@@ -26,10 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that start in two places; n_chars follows."""
-    got = suffixarray.remove_repeats(docs)
-    rest = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
-    return got.select(*(rest.get(c) if rest.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """All documents, without passages of 50 words and more of which every 200 bytes also start elsewhere,
+    in all places where they stand; ``n_chars``, if there, counts what is left. Documents that lose
+    nothing keep their text and ``n_chars`` as they are, null ones too."""
+    got = suffixarray.remove_repeats(docs, length=200, gram=64, min_words=50)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return got.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
