@@ -1,99 +1,144 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut after every sentence end (``. ! ?`` and what closes it, before white space; the full-width
-ends also without it) and at line ends. A run is at least ``run`` consecutive sentences that hold at least
+ends also without it) and at line ends; a sentence of over ``long`` words is cut further at clause marks,
+and a piece that still is as long before every word whose hash is a multiple of 8, so the same words are
+cut alike wherever they stand. A run is at least ``run`` consecutive sentences that hold at least
 ``min_words`` words, so stock phrases stay; a text of fewer sentences is one run if it holds the words. The
-first place of a repeated run, by (id, position), stays, and the sentences of every other place go.
-
-Hashed (128 bits, lower case, white space collapsed) and joined globally are, from every sentence on and up
-to every sentence, the shortest run: they cover a repeated run of any length from its first sentence to its
-last, however short its sentences are. Han and kana characters, which no space parts, are a word each.
-
-Native DataFrame operations only. The first place of a hash is a minimum, combined before the shuffle,
-so a run that a third of all texts hold costs one row per task; the join back is an equi-join that the
-engine splits when a key is hot. Only hashes met twice or more are joined.
-
-Null or empty texts have no sentences and lose nothing. Null ids sort before all. Rows with equal ids
-and equal texts are told apart by nothing, so the copies of such a row repeat its first one only if
-``copies_go``; texts of equal ids that differ are told apart by their texts' hashes.
+first place of a repeated run, by (id, text's hash, position), stays, and the sentences of every other
+place go, with the white space behind them.
+
+Hashed (124 bits, over the words with A-Z in lower case, whatever white space parts them) and joined globally
+are, from every sentence on and up to every sentence, the shortest run: they cover a repeated run of any
+length from its first sentence to its last, however short its sentences are. Han and kana characters,
+which no space parts, count as words beside the words that white space parts.
+
+Sentences are found and hashed in numpy; counting, the first places and the join back are DataFrame
+operations. The first place of a hash is a minimum, combined before the shuffle, so a run that a third of
+all texts hold costs one row per task; the join back is an equi-join that the engine splits when a key is
+hot. Only hashes met twice or more are joined.
+
+Null or empty texts have no sentences, lose nothing and are kept as ''. Null ids sort before all. Rows
+with equal ids and equal texts are one place: none of them repeats another. Texts of equal ids that differ are
+told apart by their texts' hashes. Columns of df other than the two named don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import keep
-
-SPACE = r"[ \t\x0B\f\r]"
-SPACED = rf"(?={SPACE})(?<=[.!?…][\"')\]»”’]{{0,3}}){SPACE}+|\n+"
-WIDE = r"[。！？｡]"
-ENDS = rf"{SPACED}|(?<={WIDE}[\"')\]»”’」』）】]{{0,3}})(?![。！？｡\"')\]»”’」』）】]){SPACE}*"
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
-
-
-def sentences(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.filter(F.when(text.rlike(WIDE), F.split(text, ENDS)).otherwise(F.split(text, SPACED)), lambda s: F.trim(s) != "")
-
-
-def _with(value: Column, made) -> Column:
-    """made(value), with value computed once however often a lambda of ``made`` reads it."""
-    return F.transform(F.array(value), made)[0]
-
-
-def _n_words(s: Column) -> Column:
-    spaced = lambda x: F.size(F.split(x, " "))
-    return F.when(F.octet_length(s) == F.length(s), spaced(s)).otherwise(spaced(F.trim(F.regexp_replace(F.regexp_replace(s, UNSPACED, " x "), " +", " "))))
-
-
-def _shortest(words: Column, run: int, min_words: int) -> Column:
-    """How many of the first sentences are a run, 0 if all of them aren't; words: words per sentence."""
-    enough = lambda a: (a["n"] >= run) & (a["w"] >= min_words)
-    pair = lambda n, w: F.struct(n.alias("n"), w.alias("w"))
-    add = lambda a, x: F.when(enough(a), a).otherwise(pair(a["n"] + 1, a["w"] + x))
-    return F.aggregate(words, pair(F.lit(0), F.lit(0)), add, lambda a: F.when(enough(a), a["n"]).otherwise(0))
-
-
-def runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(id, th, pos, n, h1, h2) per run of n sentences from pos on, th naming the text."""
-    most = max(run, min_words)  # a sentence counts as a word at least
-    least = lambda w: F.least(F.lit(run), F.size(w))
-    norm = F.transform("sents", lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")))
-    each = F.transform(norm, lambda s: F.struct(_n_words(s).alias("w"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b")))
-
-    def found(e: Column) -> Column:
-        return _with(F.struct(e["w"].alias("w"), e["a"].alias("a"), e["b"].alias("b")), ends)
-
-    def ends(v: Column) -> Column:
-        ahead = F.transform(v["w"], lambda _, p: _shortest(F.slice(v["w"], p + 1, most), least(v["w"]), min_words))
-        return _with(F.struct(v.alias("v"), ahead.alias("ahead")), hashed)
-
-    def hashed(x: Column) -> Column:
-        v, ahead = x["v"], x["ahead"]
-        back = lambda p: _shortest(F.reverse(F.slice(v["w"], F.greatest(p + 2 - most, F.lit(1)), F.least(p + 1, F.lit(most)))), least(v["w"]), min_words)
-        place = lambda p, n: F.struct(p.alias("pos"), n.alias("n"))
-        forth = F.transform(ahead, lambda n, p: place(p, n))
-        other = F.filter(F.transform(ahead, lambda _, p: _with(back(p), lambda n: place(p + 1 - n, n))), lambda r: (r["n"] > 0) & (F.get(ahead, r["pos"]) != r["n"]))
-        both = F.filter(F.concat(forth, other), lambda r: r["n"] > 0)
-        part = lambda c, r: F.slice(c, r["pos"] + 1, r["n"])
-        return F.transform(both, lambda r: F.struct(r["pos"].alias("pos"), r["n"].alias("n"), F.xxhash64(part(v["a"], r)).alias("h1"), F.xxhash64(F.lit(11), part(v["b"], r)).alias("h2")))
-
-    return docs.select("id", "th", F.inline(_with(each, found)))
-
-
-def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 20) -> DataFrame:
+from folioflow.llm.textkit import SPACE, Words, buffers, sequence_hash, slices
+
+_CLOSE = "(?:[\"')\\]]|»|”|’|」|』|）|】)".encode()
+_GAP = rb"[ \t\x0B\f\r\n]"
+ENDS = re.compile("(?:[.!?]|…)".encode() + _CLOSE + rb"{0,3}" + _GAP + rb"+|" + "(?:。|！|？|｡)+".encode() + _CLOSE + rb"{0,3}" + _GAP + rb"*|\n+")
+CLAUSES = re.compile(rb"[,;:]" + _CLOSE + rb"{0,3}" + _GAP + rb"+|" + "(?:，|；|：|、)".encode())
+
+
+class Sentences:
+    """The sentences with words of a slice: ``start`` (byte), ``n_words``, ``words`` (first and last,
+    exclusive), ``first`` (index of each document's first sentence, one more entry than documents)."""
+
+    def __init__(self, texts: pa.Array, long: int):
+        data, offsets = buffers(texts)
+        raw = data.tobytes()
+        cuts = [m.end() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in ENDS.finditer(raw, lo, hi)]
+        lead = (data >= 0xE4) & (data <= 0xE9)
+        lead[:-1] |= (data[:-1] == 0xE3) & (data[1:] >= 0x81)
+        unspaced = np.concatenate([[0], np.cumsum(lead)])
+        self._cut(data, np.concatenate([offsets, cuts]).astype(np.int64), unspaced)
+        if (self.n_words > long).any():
+            which = np.flatnonzero(self.n_words > long)
+            more = [m.end() for lo, hi in zip(self.bounds[which].tolist(), self.bounds[which + 1].tolist()) for m in CLAUSES.finditer(raw, lo, hi)]
+            self._cut(data, np.concatenate([self.bounds, more]).astype(np.int64), unspaced)
+        if (self.n_words > long).any():
+            which = np.flatnonzero(self.n_words > long)
+            w = self._words
+            inside = np.repeat(self.n_words > long, w.counts)
+            self._cut(data, np.concatenate([self.bounds, w.start[inside & (w.hash % np.uint64(8) == 0)]]), unspaced)
+        worded = np.flatnonzero(self._words.counts > 0)
+        self.hash = self._words.hash
+        self.start, self.n_words = self.bounds[worded], self.n_words[worded]
+        self.words = self._words.first[worded], self._words.first[worded + 1]
+        self.first = np.searchsorted(self.start, offsets)
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray, unspaced: np.ndarray) -> None:
+        self.bounds = np.unique(np.append(bounds, len(data)))
+        if len(self.bounds) < 2:
+            self.bounds = np.zeros(2, np.int64)
+        self._words = Words(data, self.bounds, SPACE, True)
+        self.n_words = self._words.counts + unspaced[self.bounds[1:]] - unspaced[self.bounds[:-1]]
+
+
+def shortest_runs(s: Sentences, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) sentences, to exclusive, of the shortest runs from every sentence and up to every one."""
+    n = len(s.start)
+    many = np.diff(s.first)
+    least = np.repeat(np.minimum(run, many), many)
+    begin, end = np.repeat(s.first[:-1], many), np.repeat(s.first[1:], many)
+    total = np.concatenate([[0], np.cumsum(s.n_words)])
+    at = np.arange(n)
+    to = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + least)
+    fits = to <= end
+    since = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, at + 1 - least)
+    other = since >= begin
+    other[other] = to[since[other]] != at[other] + 1
+    return np.concatenate([at[fits], since[other]]), np.concatenate([to[fits], at[other] + 1])
+
+
+def _runs(batches, run: int, min_words: int, long: int):
+    for b in slices(batches):
+        s = Sentences(b.column("text"), long)
+        since, to = shortest_runs(s, run, min_words)
+        h1, h2 = sequence_hash(s.hash, s.words[0][since], s.words[1][to - 1])
+        doc = np.searchsorted(s.first, since, "right") - 1
+        rows = pa.array(doc)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id").take(rows), b.column("th").take(rows), pa.array((since - s.first[doc]).astype(np.int32)), pa.array((to - since).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+            names=["id", "th", "pos", "n", "h1", "h2"],
+        )
+
+
+def _rest(batches, long: int):
+    for b in slices(batches):
+        texts, places = b.column("text"), b.column("places").to_pylist()
+        s = Sentences(texts, long)
+        first = s.first.tolist()
+        _, offsets = buffers(texts)
+        gone, kept = [], []
+        for i, p in enumerate(places):
+            went = np.zeros(first[i + 1] - first[i], bool)
+            for x in p or ():
+                went[x["pos"] : x["pos"] + x["n"]] = True
+            gone.append(np.flatnonzero(went).tolist())
+            raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+            if gone[-1]:
+                edges = np.append(s.start[first[i] : first[i + 1]], offsets[i + 1]) - offsets[i]
+                raw = raw[: edges[0]] + b"".join(raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(~went))
+            kept.append(raw.decode())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array(np.diff(s.first), pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(kept, pa.string())],
+            names=["id", "n_sentences", "gone", "kept_text"],
+        )
+
+
+def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 20, long: int = 40) -> DataFrame:
     """(id, n_sentences, gone, kept_text): per row of df the positions of the sentences removed and the
-    rest, joined by line ends where any went and whole otherwise."""
+    text without them."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    every = keep(runs(docs.select("id", "th", sentences(F.col("text")).alias("sents")), run, min_words))
+    kind = docs.schema["id"].dataType.simpleString()
+    every = keep(docs.mapInArrow(partial(_runs, run=run, min_words=min_words, long=long), f"id {kind}, th bigint, pos int, n int, h1 bigint, h2 bigint"))
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n_places")).where("n_places > 1").drop("n_places")
     later = every.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-    places = later.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    gone = places.select("id", "th", F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1))))).alias("gone"))
-    out = docs.join(gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.col("gone").alias("went")), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
-    gone_or = F.coalesce("went", F.array().cast("array<int>"))
-    left = lambda s: F.array_join(F.filter(s, lambda _, i: ~F.array_contains(gone_or, i)), "\n")
-    kept = lambda s: F.struct(F.size(s).cast("bigint").alias("n_sentences"), F.when(F.size(gone_or) == 0, F.coalesce("text", F.lit(""))).otherwise(left(s)).alias("kept_text"))
-    out = out.select(F.col("id").alias(id_col), gone_or.alias("gone"), F.inline(F.array(_with(sentences(F.col("text")), kept))))
-    return out.select(id_col, "n_sentences", "gone", "kept_text")
+    places = later.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
+    found = places.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "places")
+    out = docs.join(found, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").select("id", "text", "places")
+    got = out.mapInArrow(partial(_rest, long=long), f"id {kind}, n_sentences bigint, gone array<int>, kept_text string")
+    return got.withColumnRenamed("id", id_col)

@@ -113,3 +113,19 @@ def test_notices_across_line_40_are_found():
         for before in range(34, 42):
             got = scan("line of code\n" * before + "\n".join(textwrap.wrap(clause, 60)) + "\nline of code" * 50)
             assert [(x[0], x[1], x[3]) for x in got] == [(name, before, 1.0)]
+
+
+def test_runs_of_one_word_sentences_and_inside_a_long_sentence(spark):
+    rnd = random.Random(10)
+    words = lambda n: [f"w{rnd.randrange(90_000)}" for _ in range(n)]
+    short = " ".join(w + "." for w in words(80))
+    plain = " ".join(words(120))
+    rows = [(i, " ".join([*words(30)]) + ". " + short + " " + " ".join(words(30)) + ".") for i in (1, 2)]
+    rows += [(i, " ".join(words(35)) + " " + plain + " " + " ".join(words(35))) for i in (3, 4)]
+    rows += [(5, "。".join("".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(12)) for _ in range(5)) + "。")]
+    rows += [(6, rows[-1][1] + "新しい文。")]
+    got = {r.doc_id: r for r in repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not got[1].gone and not got[3].gone and not got[5].gone
+    assert len(got[2].gone) == 80 and got[6].kept_text == "新しい文。"
+    left = set(got[4].kept_text.split()) & set(plain.split())
+    assert len(left) < 40, len(left)
