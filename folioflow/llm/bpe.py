@@ -23,7 +23,8 @@ import regex
 from folioflow.llm.textkit import slices
 
 LONG = 256
-CACHE_WORDS = 700_000
+#: some 300 bytes each
+CACHE_WORDS = 250_000
 
 #: The usual pattern, and the same one with its classes written out for texts below U+0100, which the
 #: standard library matches faster.
@@ -85,7 +86,8 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.unlike: dict[str, bytes] = {}
 
     def split(self, text: str | None) -> list[str]:
         if not text:
@@ -151,18 +153,32 @@ class Codec:
     def decode_rows(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
         out = [b""] * len(ids)
+        unknown = {x for row in ids for x in row if x not in self.tokens}
+        if unknown:
+            raise ValueError(f"ids that the vocabulary doesn't have: {sorted(unknown, key=str)[:5]}")
         encoded = pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))})  # noqa: F841
         for w, chars in self.db.execute(DECODE).fetchall():
             out[w] = chars.encode("latin-1")
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode the words not met before."""
+        """Encode and decode the words not met before. What a word's ids decode to is kept only where it is
+        not the word itself."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            self.known.update(zip(new, self.encode_words([w.encode() for w in new])))
+            raws = [w.encode() for w in new]
+            for w, raw, (ids, back) in zip(new, raws, self.encode_words(raws)):
+                self.known[w] = ids
+                if back != raw:
+                    self.unlike[w] = back
+
+    def decoded(self, words: list[str]) -> bytes:
+        """The bytes that the words' ids decode to."""
+        if self.unlike:
+            return b"".join([self.unlike.get(w, w.encode()) for w in words])
+        return "".join(words).encode()
 
 
 def digests(batches, vocabulary: str, pattern: str):
@@ -173,11 +189,10 @@ def digests(batches, vocabulary: str, pattern: str):
         words = [c.split(t) for t in b.column("text").to_pylist()]
         c.learn(set().union(*words))
         for ws in words:
-            found = [c.known[w] for w in ws]
-            ids = ",".join([f[0] for f in found])
-            rows[0].append(ids.count(",") + 1 if found else 0)
+            ids = ",".join([c.known[w] for w in ws])
+            rows[0].append(ids.count(",") + 1 if ws else 0)
             rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
-            rows[2].append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
+            rows[2].append(hashlib.sha256(c.decoded(ws)).hexdigest())
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -187,9 +202,11 @@ def encoded(batches, vocabulary: str, pattern: str):
     for b in slices(batches):
         words = [c.split(t) for t in b.column("text").to_pylist()]
         c.learn(set().union(*words))
-        ids = [[int(x) for w in ws for x in c.known[w][0].split(",")] for ws in words]
-        back = [b"".join([c.known[w][1] for w in ws]) == (t or "").encode() for ws, t in zip(words, b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], names=["row", "ids", "decodes"])
+        ids = [np.fromstring(",".join([c.known[w] for w in ws]), np.int32, sep=",") if ws else np.zeros(0, np.int32) for ws in words]
+        back = [c.decoded(ws) == (t or "").encode() for ws, t in zip(words, b.column("text").to_pylist())]
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        yield pa.RecordBatch.from_arrays([b.column("row"), lists, pa.array(back)], names=["row", "ids", "decodes"])
 
 
 def decoded(batches, vocabulary: str, pattern: str):
@@ -219,7 +236,8 @@ def encode(df, text_col: str = "text", vocabulary: str | None = None, pattern: s
 
 
 def decode(df, vocabulary: str | None = None, pattern: str | None = None):
-    """(row, ids) to (row, decoded bytes)."""
+    """(row, ids) to (row, decoded bytes). Null ids are no ids; an id that the vocabulary doesn't have is an
+    error, not a gap."""
     from functools import partial
 
     path, pat = default_vocabulary()

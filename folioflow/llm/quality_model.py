@@ -3,10 +3,13 @@
 Features of a text are its words' 1- and 2-grams and the 1- and 2-grams of the words' shapes (letters,
 digits and each symbol, runs collapsed), hashed to ``2 ** bits`` buckets; a bucket's value is its count
 over the square root of the number of features. Training is FTRL-Proximal with per-coordinate rates,
-one pass after another over the labelled rows in hash order, in one task that holds at most
-``max_rows`` rows (the bound of the labelled sample). The weights are 2 ** bits floats whatever the
+one pass after another over the labelled rows in hash order, in one task that holds the sparse vectors of at
+most ``max_rows`` rows (the bound of the labelled sample; 8 bytes for each different bucket of a text, 2 MB at
+most). The vectors are made where the texts are read. The weights are 2 ** bits floats whatever the
 corpus; each text's score is one sparse dot product, and all texts are scored whole.
 
+A row with several labels counts once per label; labels other than 0 and 1 don't count.
+
 Null and empty texts score as the bias alone. Without both labels the score is 0.5.
 """
 
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, slices
+from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, release, slices
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = 48
@@ -69,34 +72,53 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def _train(batches, bits: int, **options):
-    rows = []
+def _vectors(batches, bits: int):
+    """(order, label, buckets, counts, size): a text's different buckets and how often each is there."""
     for b in slices(batches):
-        labels = b.column("label").to_pylist()
         buckets, first = features(b.column("text"), bits)
-        for k, y in enumerate(labels):
-            part = buckets[first[k] : first[k + 1]]
-            i, c = np.unique(part, return_counts=True)
-            rows.append((np.append(i, 1 << bits), np.append(c / np.sqrt(max(1, len(part))), 1.0), int(y)))
-    yield pa.RecordBatch.from_arrays([pa.array([train(rows, bits, **options).tolist()], pa.list_(pa.float64()))], names=["weights"])
+        parts = [np.unique(buckets[i:j], return_counts=True) for i, j in zip(first, first[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("order"), b.column("label"), pa.array([i.astype(np.int32).tobytes() for i, _ in parts], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in parts], pa.binary()), pa.array(np.diff(first), pa.int64())],
+            names=["order", "label", "buckets", "counts", "size"],
+        )
+
+
+def _train(batches, bits: int, **options):
+    rows = []
+    for b in batches:
+        for i, c, y, size in zip(*(b.column(k).to_pylist() for k in ("buckets", "counts", "label", "size"))):
+            x = np.append(np.frombuffer(c, np.float32) / np.float32(np.sqrt(max(1, size))), np.float32(1))
+            rows.append((np.append(np.frombuffer(i, np.int32), np.int32(1 << bits)), x, int(y)))
+    weights = train(rows, bits, **options)
+    del rows
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64()))], names=["weights"])
 
 
 def fit(texts: DataFrame, bits: int = 18, epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, max_rows: int = 20_000) -> np.ndarray:
     """Weights from rows (order, text, label); of more than ``max_rows`` the first by ``order``."""
-    sample = texts.where("label in (0, 1)").orderBy("order", "text").limit(max_rows).coalesce(1)
+
+    def vectors(batches):
+        return _vectors(batches, bits)
 
     def run(batches):
         return _train(batches, bits, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
 
-    row = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "weights array<double>").first()
+    known = texts.where("label in (0, 1)").select(F.col("order").cast("bigint").alias("order"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    found = known.mapInArrow(vectors, "order bigint, label int, buckets binary, counts binary, size bigint")
+    sample = found.orderBy("order", "buckets", "counts", "label").limit(max_rows).coalesce(1)
+    row = sample.mapInArrow(run, "weights array<double>").first()
     return np.array(row[0]) if row else np.zeros((1 << bits) + 1)
 
 
 def score_batch(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     bits = (len(weights) - 1).bit_length() - 1
     buckets, first = features(texts, bits)
-    sums = np.concatenate([[0.0], np.cumsum(weights[buckets])])
-    total = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(1, np.diff(first)))
+    size = np.diff(first)
+    total = np.zeros(len(size))
+    some = size > 0
+    if some.any():  # each text's sum on its own, so that no other text's features move it
+        total[some] = np.add.reduceat(weights[buckets], first[:-1][some]) / np.sqrt(size[some])
     return 1 / (1 + np.exp(-np.clip(total + weights[-1], -35, 35)))
 
 

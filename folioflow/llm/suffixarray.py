@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import drop, keep
-from folioflow.llm.textkit import buffers, prefix_hash, slices, span_hash
+from folioflow.llm.textkit import buffers, prefix_hash, release, slices, span_hash
 
 # --- induced sorting -------------------------------------------------------------------------
 
@@ -389,6 +389,8 @@ def _shards(batches, length: int, gram: int, shard_bytes: int):
             held += len(r[4])
     if rows:
         yield solve()
+    rows = []
+    release()
 
 
 def _window_rows(batches, length: int):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import drop, keep
-from folioflow.llm.textkit import SPACE, buffers, kernel, mix, shingles, slices
+from folioflow.llm.textkit import SPACE, buffers, kernel, mix, release, shingles, slices
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -201,6 +201,7 @@ def _cells(batches, percent: int):
             sets.append(np.frombuffer(raw, np.uint64))
     if keys:
         yield solve()
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,13 +295,14 @@ def near_duplicates(
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df of which no near-duplicate has a smaller (id, text's hash); of equal rows one.
-    Rows without words have no near-duplicates and all stay."""
+    Rows without words have no near-duplicates and all stay. df's other columns may have any names."""
     th = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = df.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), F.col(text_col).alias("text"))
     found = near_duplicates(keyed, "id", "text", **options)
-    first = found.where("kept and n_shingles > 0").select(F.col("id.id").alias("__id"), F.col("id.th").alias("__th")).distinct()
-    mine = df.withColumn("__mine", th)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__th"))
+    first = found.where("kept and n_shingles > 0").select("id").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = mine.where(worded).join(first, same, "left_semi").dropDuplicates([id_col, "__mine"])
-    return kept.unionByName(mine.where(~worded)).drop("__mine")
+    mine = df.select(row.alias("row"), F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), worded.alias("worded"))
+    same = mine["id"]["id"].eqNullSafe(first["id"]["id"]) & (mine["id"]["th"] == first["id"]["th"])
+    kept = mine.where("worded").join(first, same, "left_semi").dropDuplicates(["id"])
+    return kept.unionByName(mine.where("not worded")).select("row.*")
