@@ -11,6 +11,7 @@ GREEK_MONTHS = ["Ιανουαρίου", "Φεβρουαρίου", "Μαρτίο
 MONTH_LETTERS = "Α-Ωα-ωΆΈΉΊΌΎΏάέήίόύώ"
 #: fixed value: characters that count as readable text
 READABLE = "\\x{0370}-\\x{03FF}\\x{1F00}-\\x{1FFF}a-zA-Z0-9\\s.,;:\\-–()/«»\"'%€"
+#: fixed values: headings and a street of the gazette, and the patterns below that read it
 PREMIER, MEMBERS = "Ο Πρωθυπουργός", "Τα Μέλη του Υπουργικού Συμβουλίου"
 MEMBERS_RE = r"Τα\s*Μέλη\s*του\s*Υπουργικού\s*Συμβουλίου"
 STREET = "Καποδιστρίου"

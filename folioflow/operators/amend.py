@@ -86,7 +86,9 @@ def latest(versions: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def snapshot(changes: DataFrame, law: str, seq: str, old: str, new: str, date: str, diff: str | None = None) -> DataFrame:
-    """Rows (law, kind, date_label, seq, text) that an update writes: previous only over a text."""
+    """Rows (law, kind, date_label, seq, text) that an update writes: previous only over a text, diff only
+    where there is one. A missing date is today's (UTC session)."""
+    changes = changes.withColumn(date, F.coalesce(F.nullif(F.col(date), F.lit("")), F.date_format(F.current_timestamp(), "yyyy-MM-dd")))
     kinds = [F.struct(F.lit("version").alias("kind"), F.col(new).alias("text")), F.struct(F.lit("current").alias("kind"), F.col(new).alias("text"))]
     kinds.append(F.when(F.coalesce(F.col(old), F.lit("")) != "", F.struct(F.lit("previous").alias("kind"), F.col(old).alias("text"))))
     if diff:

@@ -52,23 +52,60 @@ def balance(text: str, nested: bool = False) -> str:
     return text + "]" * stack.count("[") + "}" * stack.count("{")
 
 
-def repair(raw: str | None, compat: bool = True) -> str | None:
-    """The object in a reply as canonical JSON: fences and what stands before the first brace go, open
-    ends are closed, and last incomplete pairs are cut. None if no object can be read."""
-    text = re.sub(r"\s*```\s*\Z", "", re.sub(r"\A```(?:json)?\s*", "", (raw or "").strip()))
+#: fixed values: messages of replies that can't be read
+NO_OBJECT, NOT_OBJECT, NOT_JSON = "No JSON object found in LLM output", "LLM returned JSON but not an object: {kind}", "LLM returned non-JSON output: {error} | snippet: {snippet!r}"
+UNPARSEABLE = "AI returned unparseable output – full manual review required."
+#: fixed values: what a cut reply loses, its last incomplete pair or else its last incomplete object
+CUTS = (r",\s*\"[^\"]+\"\s*:\s*[^,\n]*$", r",\s*\{[^}]*$")
+SNIPPET = 400
+
+
+def read_object(raw: str | None, compat: bool = True) -> dict:
+    """The object in a reply: fences and what stands before the first brace go, open ends are closed, and
+    a last incomplete pair or object is cut (compat: from the closed text, as it stands). A ValueError
+    says why there is none."""
+    text = re.sub(r"\s*```\s*$", "", re.sub(r"^```(?:json)?\s*", "", (raw or "").strip(), flags=re.I)).strip()
     start = text.find("{")
     if start < 0:
-        return None
+        raise ValueError(NO_OBJECT)
     text = text[start:]
-    cuts = [text, *(re.sub(p, "", text.rstrip()) for p in (r",\s*\"[^\"]+\"\s*:\s*[^,\n]*\Z", r",\s*\{[^}]*\Z"))]
-    for candidate in cuts:
-        for nested in (False,) if compat else (False, True):
-            try:
-                got = json.loads(balance(candidate, nested))
-            except ValueError:
-                continue
-            return json.dumps(got, ensure_ascii=False) if isinstance(got, dict) else None
-    return None
+    if compat:
+        closed = balance(text)
+        tries = [closed, *(balance(re.sub(p, "", closed.rstrip())) for p in CUTS)]
+    else:
+        tries = [balance(t, nested) for t in (text, *(re.sub(p, "", text.rstrip()) for p in CUTS)) for nested in (False, True)]
+    first = None
+    for candidate in tries:
+        try:
+            got = json.loads(candidate)
+        except ValueError as e:
+            first = first or e
+            continue
+        if not isinstance(got, dict):
+            raise ValueError(NOT_OBJECT.format(kind=type(got)))
+        return got
+    raise ValueError(NOT_JSON.format(error=first, snippet=tries[0][:SNIPPET].replace("\n", " ")))
+
+
+def canonical(got: dict) -> dict:
+    """Fields under canonical names, the later of two spellings; sections' kinds under theirs."""
+    out = {}
+    for k, v in got.items():
+        out[FIELD_ALIASES.get(k, k)] = v
+    sections = out.get("sections")
+    for s in sections if isinstance(sections, list) else ():
+        if isinstance(s, dict):
+            kind = s.get("kind", "paragraph")
+            s["kind"] = KIND_ALIASES.get(kind, kind) if isinstance(kind, str) else kind
+    return out
+
+
+def repair(raw: str | None, compat: bool = True) -> str | None:
+    """``read_object`` as JSON; None if no object can be read."""
+    try:
+        return json.dumps(read_object(raw, compat), ensure_ascii=False)
+    except ValueError:
+        return None
 
 
 def repair_json(raw: Column, compat: bool = True) -> Column:
@@ -79,27 +116,64 @@ def repair_json(raw: Column, compat: bool = True) -> Column:
     return run(raw)
 
 
+def extract(raw: Column, compat: bool = True) -> Column:
+    """struct<payload, error>: the reply's object as JSON under canonical names, or why there is none."""
+
+    @F.pandas_udf("struct<payload:string,error:string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        def one(x: str | None) -> tuple[str | None, str | None]:
+            try:
+                return json.dumps(canonical(read_object(x, compat)), ensure_ascii=False), None
+            except ValueError as e:
+                return None, str(e)
+
+        return pd.DataFrame([one(x) for x in s], columns=["payload", "error"])
+
+    return run(raw)
+
+
 def normalise(payload: Column) -> Column:
-    """map<string, variant-free JSON string> of top-level fields under canonical names; of two spellings
-    the later one in the text counts."""
+    """map<string, string> of top-level fields under canonical names; of two spellings the later one in
+    the text counts. Strings as they are, other values as JSON, a JSON null as null. What is not a JSON
+    object is null as a whole."""
+
     @F.pandas_udf("map<string,string>")
     def run(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> dict[str, str] | None:
-            if x is None:
+        def one(x: str | None) -> dict[str, str | None] | None:
+            try:
+                got = json.loads(x) if x is not None else None
+            except ValueError:
                 return None
-            out: dict[str, object] = {}
-            for k, v in json.loads(x).items():
-                out[FIELD_ALIASES.get(k, k)] = v
-            return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in out.items()}
+            if not isinstance(got, dict):
+                return None
+            return {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in canonical(got).items()}
 
         return s.map(one)
 
     return run(payload)
 
 
+def stub(number: Column, error: Column) -> Column:
+    """The payload of a chunk that could not be read, as JSON: a note for the reviewer instead of text."""
+    note = F.struct(F.lit("note").alias("kind"), F.concat(F.lit("[chunk "), number.cast("string"), F.lit("] "), error).alias("text"))
+    return F.to_json(
+        F.struct(
+            F.lit("unknown").alias("document_type"),
+            F.lit("PARSE ERROR – manual review required").alias("title"),
+            F.lit("parse-error").alias("document_id"),
+            F.lit(None).cast("string").alias("publication_date"),
+            F.array(note).alias("sections"),
+            F.array().cast("array<string>").alias("signatures"),
+            F.struct(F.lit(0.0).alias("confidence"), error.alias("parse_error")).alias("metadata"),
+            F.array().cast("array<string>").alias("amendments"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+
+
 def filled(fields: Column) -> Column:
-    """Defaults for absent keys only: a present null stays ('null'). The author hint titles the untitled."""
-    has = lambda k: F.map_contains_key(fields, k)
+    """Defaults for absent keys only: a present null stays. The author hint titles the untitled."""
+    has = lambda k: F.coalesce(F.map_contains_key(fields, k), F.lit(False))
     get = lambda k, d: F.when(has(k), F.try_element_at(fields, F.lit(k))).otherwise(d)
     return F.struct(
         get("document_type", F.lit("unknown")).alias("document_type"),
@@ -123,11 +197,12 @@ def merge_chunks(chunks: DataFrame, doc: str, index: str) -> DataFrame:
     the first chunk's title, lists joined in order, the union of signatures in order of name, the first
     date that is not empty, the largest confidence. Amendments, where the rows have them, are joined in
     order like sections; any other column is the first chunk's."""
-    joined = lambda c: F.flatten(F.transform(F.filter(F.array_sort(F.collect_list(F.struct(F.col(index).alias("at"), c))), lambda x: x[c].isNotNull()), lambda x: x[c])).alias(c)
+    by_index = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)  # noqa: E731  maps have no order of their own
+    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("at"), F.coalesce(c, F.array().cast(chunks.schema[c].dataType)).alias(c))), by_index), lambda x: x[c])).alias(c)
     dated = F.when(F.coalesce(F.col("publication_date"), F.lit("")) != "", F.col("publication_date"))
     return chunks.groupBy(doc).agg(
         F.min_by("title", index).alias("title"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(index, "sections"))), lambda x: x["sections"])).alias("sections"),
+        joined("sections"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("signatures")))).alias("signatures"),
         F.min_by(dated, F.when(dated.isNotNull(), F.col(index))).alias("publication_date"),
         F.max("confidence").alias("confidence"),
@@ -138,15 +213,35 @@ def merge_chunks(chunks: DataFrame, doc: str, index: str) -> DataFrame:
 def review_questions(amendments: Column, parse_error: Column) -> Column:
     """Questions of amendments under the threshold, and a fixed one after a parse error."""
     asked = F.filter(amendments, lambda a: (F.coalesce(a["confidence"], F.lit(0.0)) < REVIEW_BELOW) & (F.coalesce(a["question"], F.lit("")) != ""))
-    return F.concat(F.transform(asked, lambda a: a["question"]), F.when(F.coalesce(parse_error, F.lit("")) != "", F.array(F.lit("parse error: check the document"))).otherwise(F.array().cast("array<string>")))
+    return F.concat(F.transform(asked, lambda a: a["question"]), F.when(F.coalesce(parse_error, F.lit("")) != "", F.array(F.lit(UNPARSEABLE))).otherwise(F.array().cast("array<string>")))
 
 
 def review_items(docs: DataFrame, at: Column) -> DataFrame:
-    """Queue rows of documents that need review: status pending unless given."""
-    return docs.where("needs_review or size(notes) > 0").select(
-        F.coalesce("status", F.lit("pending")).alias("status"), at.alias("created_at"), "document_id", "title", F.concat("questions", "notes").alias("questions"), F.substring("raw_text", 1, EXCERPT).alias("raw_excerpt")
+    """Queue rows of documents that need review, or have any note: status pending and the time unless the
+    row brings its own; ``file_name`` is the time and the document's id."""
+    have = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    named = F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lit("_"), F.coalesce("document_id", F.lit("unknown")), F.lit(".json"))
+    return docs.where("coalesce(needs_review, false) or size(notes) > 0").select(
+        F.coalesce(have("status"), F.lit("pending")).alias("status"),
+        F.coalesce(have("created_at"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("created_at"),
+        "document_id",
+        "title",
+        F.concat(F.coalesce("questions", F.array().cast("array<string>")), F.coalesce("notes", F.array().cast("array<string>"))).alias("questions"),
+        F.substring("raw_text", 1, EXCERPT).alias("raw_excerpt"),
+        *(["metadata"] if "metadata" in docs.columns else []),
+        named.alias("file_name"),
     )
 
 
 def pending(items: DataFrame) -> DataFrame:
     return items.where("status = 'pending'").orderBy("file_name")
+
+
+def stamped(metadata: Column, model: Column, reason: Column, chunks: Column, at: Column) -> Column:
+    """map<string, string> metadata with the run's own entries over those of the payload."""
+    own = F.create_map(
+        F.lit("ai_mode"), F.lit("llm"), F.lit("model"), F.coalesce(F.nullif(model, F.lit("")), F.lit("unknown")), F.lit("model_reason"), F.coalesce(reason, F.lit("")),
+        F.lit("chunks_processed"), chunks.cast("string"), F.lit("processed_at"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
+    )
+    rest = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
+    return F.map_concat(rest, own)

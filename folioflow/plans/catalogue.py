@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import amend, models, pages, payload, render
+from folioflow.operators import amend, flow, models, pages, payload, render
 from folioflow.sources import documents as src
+from folioflow.sources import outputs
 from folioflow.streaming import events as ev
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +201,7 @@ def act_xml(spark, d):
 def gazette_gate(spark, d):
     k = F.col("doc_id") % 5
     sections = F.array(F.struct(F.when(k == 3, "ο πρωθυπουργός").otherwise("x").alias("text")))
-    return _t(spark, d, "documents").select("doc_id", render.gate(F.when(k == 0, "cabinet_act").otherwise("law"), F.when(k == 1, "πραξη ΠΡΆΞΗ 3").otherwise("t"), F.when(k == 2, "ΕΦΗΜΕΡΙΔΑ ΤΗΣ ΚΥΒΕΡΝΗΣΕΩΣ").otherwise("raw"), sections).alias("is_gazette"))
+    return _t(spark, d, "documents").select("doc_id", render.gate(F.when(k == 0, "cabinet_act").otherwise("law"), F.when(k == 1, "ΠΡΑΞΗ 3").otherwise("t"), F.when(k == 2, "ΕΦΗΜΕΡΙΔΑ ΤΗΣ ΚΥΒΕΡΝΗΣΕΩΣ").otherwise("raw"), sections).alias("is_gazette"))
 
 
 _E = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -247,9 +248,10 @@ def field_aliases(spark, d):
     return m.select("doc_id", F.col("m.document_type"), F.col("m._author_hint").alias("author"), F.map_contains_key("m", "publication_date").alias("has_date"))
 
 
-@_register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'hint' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'null' END AS publication_date, '[]' AS sections, '{\"confidence\": 0.5}' AS metadata FROM documents")
+@_register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'T' WHEN 2 THEN NULL ELSE 'hint' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'null' END AS publication_date, '[]' AS sections, '{\"confidence\": 0.5}' AS metadata FROM documents")
 def fill_missing(spark, d):
-    raw = F.concat(F.lit('{"issuer": "hint"'), F.when(F.col("doc_id") % 2 == 0, ', "title": "T"').otherwise(""), F.when(F.col("doc_id") % 3 == 0, ', "publication_date": null').otherwise(""), F.lit("}"))
+    k = F.col("doc_id")
+    raw = F.concat(F.lit('{"issuer": "hint"'), F.when(k % 4 == 0, ', "title": "T"').when(k % 4 == 2, ', "title": null').otherwise(""), F.when(k % 3 == 0, ', "publication_date": "null"').otherwise(""), F.lit("}"))
     f = _t(spark, d, "documents").select("doc_id", payload.filled(payload.normalise(raw)).alias("f"))
     return f.select("doc_id", "f.title", "f.publication_date", "f.sections", "f.metadata")
 
@@ -266,7 +268,7 @@ def chunk_merge(spark, d):
     return m.select("conv_id", "title", F.array_join("sections", "|").alias("sections"), F.array_join("signatures", ",").alias("signatures"), "publication_date", "confidence")
 
 
-@_register("SELECT doc_id, CASE WHEN quality = 0 THEN 'check ' || doc_id ELSE '' END || CASE WHEN toxic = 1 THEN CASE WHEN quality = 0 THEN '|' ELSE '' END || 'parse error: check the document' ELSE '' END AS questions FROM labels")
+@_register("SELECT doc_id, CASE WHEN quality = 0 THEN 'check ' || doc_id ELSE '' END || CASE WHEN toxic = 1 THEN CASE WHEN quality = 0 THEN '|' ELSE '' END || 'AI returned unparseable output – full manual review required.' ELSE '' END AS questions FROM labels")
 def review_questions(spark, d):
     am = F.array(F.struct(F.col("quality").cast("double").alias("confidence"), F.concat(F.lit("check "), F.col("doc_id").cast("string")).alias("question")))
     return _t(spark, d, "labels").select("doc_id", F.array_join(payload.review_questions(am, F.when(F.col("toxic") == 1, "bad")), "|").alias("questions"))
@@ -283,26 +285,30 @@ _OLD = "substr(text, 5, 12)"
 
 def _one(spark, d, op, conf=0.9):
     a = F.array(F.struct(F.lit(op).alias("operation"), F.expr("substr(text, 5, 12)").alias("old_text"), F.lit("NEW").alias("new_text"), F.lit(conf).alias("confidence")))
-    r = _t(spark, d, "documents").where("n_chars >= 20").select("doc_id", amend.apply_amendments(F.col("text"), a).alias("r"))
+    r = _t(spark, d, "documents").select("doc_id", amend.apply_amendments(F.col("text"), a).alias("r"))
     return r.select("doc_id", F.col("r.text").alias("text"), F.col("r.changed").alias("changed"), F.array_join("r.notes", "|").alias("notes"))
 
 
-@_register(f"SELECT doc_id, substr(text, 1, instr(text, {_OLD}) - 1) || 'NEW' || substr(text, instr(text, {_OLD}) + 12) AS text, true AS changed, '' AS notes FROM documents WHERE n_chars >= 20")
+#: a text of under 5 characters has no old text, and nothing of a null text is found
+_FOUND = f"coalesce({_OLD}, '') <> ''"
+
+
+@_register(f"SELECT doc_id, CASE WHEN {_FOUND} THEN substr(text, 1, instr(text, {_OLD}) - 1) || 'NEW' || substr(text, instr(text, {_OLD}) + length({_OLD})) ELSE coalesce(text, '') END AS text, {_FOUND} AS changed, CASE WHEN {_FOUND} THEN '' ELSE 'replace failed in amendment #1: old_text not found' END AS notes FROM documents")
 def amend_replace(spark, d):
     return _one(spark, d, "replace")
 
 
-@_register(f"SELECT doc_id, substr(text, 1, instr(text, {_OLD}) - 1) || substr(text, instr(text, {_OLD}) + 12) AS text, true AS changed, 'amendment #1 low confidence (0.50)' AS notes FROM documents WHERE n_chars >= 20")
+@_register(f"SELECT doc_id, CASE WHEN {_FOUND} THEN substr(text, 1, instr(text, {_OLD}) - 1) || substr(text, instr(text, {_OLD}) + length({_OLD})) ELSE coalesce(text, '') END AS text, {_FOUND} AS changed, 'amendment #1 low confidence (0.50)' || CASE WHEN {_FOUND} THEN '' ELSE '|delete failed in amendment #1: old_text not found' END AS notes FROM documents")
 def amend_delete(spark, d):
     return _one(spark, d, "DELETE", 0.5)
 
 
-@_register(f"SELECT doc_id, CASE WHEN a = '' THEN text || chr(10) || chr(10) || 'NEW' ELSE substr(text, 1, instr(text, a) - 1) || a || chr(10) || 'NEW' || substr(text, instr(text, a) + length(a)) END AS text, true AS changed, '' AS notes FROM (SELECT doc_id, text, trim({_OLD}, {_WS}) AS a FROM documents WHERE n_chars >= 20)")
+@_register(f"SELECT doc_id, CASE WHEN a = '' THEN text || chr(10) || chr(10) || 'NEW' ELSE substr(text, 1, instr(text, a) - 1) || a || chr(10) || 'NEW' || substr(text, instr(text, a) + length(a)) END AS text, true AS changed, '' AS notes FROM (SELECT doc_id, coalesce(text, '') AS text, trim(coalesce({_OLD}, ''), {_WS}) AS a FROM documents)")
 def amend_insert(spark, d):
     return _one(spark, d, "insert")
 
 
-@_register("SELECT doc_id, text, false AS changed, 'unknown operation in amendment #1' AS notes FROM documents WHERE n_chars >= 20")
+@_register("SELECT doc_id, coalesce(text, '') AS text, false AS changed, 'unknown operation in amendment #1' AS notes FROM documents")
 def amend_unknown(spark, d):
     return _one(spark, d, "repeal")
 
@@ -330,10 +336,12 @@ def amend_fold(spark, d):
     return r.select("user_id", "text", F.size("notes").cast("bigint").alias("failed"))
 
 
-@_register()
+@_register("SELECT doc_id, CASE WHEN coalesce(lang, '') = coalesce(source, '') THEN '' ELSE '--- current' || chr(10) || '+++ updated' || chr(10) || '@@ -1,3 +1,3 @@' || chr(10) || ' a' || chr(10) || ' ' || doc_id || chr(10) || '-' || coalesce(lang, '') || '+' || coalesce(source, '') END AS diff FROM documents")
 def unified_diff(spark, d):
-    r = _t(spark, d, "documents").where("n_chars >= 20")
-    return r.select("doc_id", amend.unified_diff(F.col("text"), F.replace("text", F.lit("e"), F.lit("E"))).alias("diff"))
+    """Of two texts that differ in their last line, which no line end closes."""
+    head = F.concat(F.lit("a\n"), F.col("doc_id").cast("string"), F.lit("\n"))
+    end = lambda c: F.concat(head, F.coalesce(c, F.lit("")))
+    return _t(spark, d, "documents").select("doc_id", amend.unified_diff(end("lang"), end("source")).alias("diff"))
 
 
 _DAYS = "SELECT user_id, strftime(ts, '%Y-%m-%d') AS date_label, arg_max(props, (epoch_us(ts), event_id)) AS text FROM events GROUP BY ALL"
@@ -413,13 +421,273 @@ def event_windows(spark, d):
 
 @_register("SELECT item_id, text FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, substr(b.text, 1, 50)))")
 def dedup_prefix(spark, d):
-    """Benchmark items whose first 50 characters stand in no page: equal 50-grams meet on their hashes."""
-    head = _t(spark, d, "benchmark").withColumn("head", F.substring("text", 1, pages.HEAD))
-    grams = _t(spark, d, "conversations").where(F.length("text") >= 1).select(F.explode(F.expr("transform(sequence(1, greatest(1, length(text) - 49)), i -> substr(text, i, 50))")).alias("head"))
-    return head.join(grams, "head", "left_anti").select("item_id", "text")
+    """Benchmark items whose first 50 characters (all of a shorter one) stand in no page."""
+    return pages.unseen(_t(spark, d, "benchmark").select("item_id", "text"), _t(spark, d, "conversations").select(F.col("text").alias("page")), "text", "page")
 
 
-@_register("SELECT vec_id, round(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 'avg'), 6) AS share, list_position(embedding, list_max(embedding))::BIGINT - 1 AS x FROM embeddings")
+@_register("""SELECT vec_id, best >= 9 AS two_columns, CASE WHEN best >= 9 THEN 2 * (40 + x) ELSE -1 END AS column_x FROM (
+  SELECT vec_id, list_max(whites) AS best, list_position(whites, list_max(whites)) - 1 AS x FROM (
+    SELECT vec_id, list_transform(range(20), lambda x: least(10, floor(abs(embedding[1 + x % len(embedding)]) * 40))::INT) AS whites FROM embeddings))""")
 def column_detect(spark, d):
+    """Pages of 100 x 10 pixels whose column 40 + x is white for as many rows as the vector's x-th value says."""
     e = F.col("embedding")
-    return _t(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.when(x > 0, 1.0).otherwise(0.0)) / F.size(e), 6).alias("share"), (F.array_position(e, F.array_max(e)) - 1).cast("bigint").alias("x"))
+    whites = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.least(F.lit(10), F.floor(F.abs(F.get(e, x % F.size(e))) * 40).cast("int")))
+    line = lambda y: F.concat(F.lit("00" * 40), F.array_join(F.transform(whites, lambda n: F.when(n > y, "FF").otherwise("00")), ""), F.lit("00" * 40))
+    raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), line), ""))
+    got = _t(spark, d, "embeddings").select("vec_id", F.lit(100).alias("width"), raster.alias("raster")).select("vec_id", src.column_divider("width", "raster").alias("c"))
+    return got.select("vec_id", F.col("c.two_columns").alias("two_columns"), F.coalesce("c.column_x", F.lit(-1)).cast("bigint").alias("column_x"))
+
+
+# --- cabinet acts, dispatch, review rows ---------------------------------------------------------
+
+
+def _acts(spark, d):
+    """A cabinet act per customer as JSON: subitems or a text, with or without signatures and contacts."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = _t(spark, d, "customer").join(F.broadcast(nation), "c_nationkey")  # nations are a fixed list of 25
+    act = F.concat(
+        F.lit('{"document_type": "cabinet_act", "title": "t", "document_id": "ΦΕΚ Β\' '), key, F.lit("/"), key, F.lit('", "publication_date": "2026-01-08", "document_structure": "cabinet_act", "action_info": {"number": "'), key,
+        F.lit('", "date": "2025-12-23", "title": "'), "n_name", F.lit('"}, "aitiologia": {"intro": "Έχοντας υπόψη:", "items": [{"number": 1, "intro": "i:", "subitems": [{"letter": "α", "text": "<a>"}]}, {"number": 2, "text": "'), "c_mktsegment",
+        F.lit('"}]}, "decision": {"intro": "αποφασίζει:", "articles": [{"number": 1, "title": null, "text": "x"}]}'),
+        F.when(k % 2 == 0, F.concat(F.lit(', "signatures": {"prothypourgos": "'), "c_name", F.lit('", "members": ["A", "B"]}'))).otherwise(', "signatures": {}'),
+        F.when(k % 3 == 0, ', "contact_info": {"address": "", "phone": "210"}').otherwise(""), F.lit("}"),
+    )
+    return c.select("c_custkey", "n_name", "c_mktsegment", "c_name", act.alias("payload"))
+
+
+@_register("""SELECT c_custkey, '<EfimeridaKyverniseos xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="fek.xsd"><Metadata><Titlos>Εφημερίδα της Κυβερνήσεως της Ελληνικής Δημοκρατίας</Titlos><Teychos>Β''</Teychos><ArithmosFyllou>' || c_custkey || '</ArithmosFyllou><Hmerominia>2026-01-08</Hmerominia></Metadata><Periexomena><Kefalaio titlos="ΠΡΑΞΕΙΣ ΥΠΟΥΡΓΙΚΟΥ ΣΥΜΒΟΥΛΙΟΥ"><Praxi arithmos="' || c_custkey || '" hmerominia="2025-12-23"><Titlos>' || n_name || '</Titlos><Organ>ΤΟ ΥΠΟΥΡΓΙΚΟ ΣΥΜΒΟΥΛΙΟ</Organ><AitiolologikoMeros><Eisagogi>Έχοντας υπόψη:</Eisagogi><Stoicheio arithmos="1"><Eisagogi>i:</Eisagogi><Lista><Peripton grammato="α">&lt;a&gt;</Peripton></Lista></Stoicheio><Stoicheio arithmos="2">' || c_mktsegment || '</Stoicheio></AitiolologikoMeros><ApoфasistikоMeros><Eisagogi>αποφασίζει:</Eisagogi><Arthro arithmos="1"><Keimeno>x</Keimeno></Arthro></ApoфasistikоMeros>' || CASE WHEN c_custkey % 2 = 0 THEN '<Ypografes><Prothypourgos><Onoma>' || c_name || '</Onoma></Prothypourgos><MeliYpourgikoySymbouliou><Melos>A</Melos><Melos>B</Melos></MeliYpourgikoySymbouliou></Ypografes>' ELSE '' END || '</Praxi></Kefalaio></Periexomena>' || CASE WHEN c_custkey % 3 = 0 THEN '<Epikoinonia><Tilefono>210</Tilefono></Epikoinonia>' ELSE '' END || '</EfimeridaKyverniseos>' AS xml FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def cabinet_xml(spark, d):
+    return _acts(spark, d).select("c_custkey", F.from_json("payload", render.CABINET).alias("p")).select("c_custkey", render.cabinet_xml(F.col("p")).alias("xml"))
+
+
+@_register("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'cabinet' WHEN 1 THEN 'raw' ELSE 'generic' END AS built, CASE c_custkey % 3 WHEN 2 THEN '<document' ELSE '<EfimeridaKyverniseos' END AS starts FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def xml_dispatch(spark, d):
+    k = F.col("c_custkey") % 3
+    p = F.from_json(F.when(k == 0, F.col("payload")).otherwise('{"document_structure": "cabinet_act", "action_info": {}}'), render.CABINET)
+    raw = F.when(k == 1, "ΕΦΗΜΕΡΙΔΑ ΤΗΣ ΚΥΒΕΡΝΗΣΕΩΣ Πράξη 1 της 02-01-2026 Τ ΤΟ ΥΠΟΥΡΓΙΚΟ ΣΥΜΒΟΥΛΙΟ").otherwise("raw")
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    lit = F.lit("law")
+    made = _acts(spark, d).withColumn("p", p).withColumn("raw", raw)
+    gazette = render.gate(lit, F.lit("t"), F.col("raw"), none)
+    old = render.act_xml(render.act(F.col("raw")), F.lit("t"), lit, F.lit(False))
+    generic = render.generic_xml(F.lit("t"), F.lit("1"), lit, F.lit(None).cast("string"), none, F.array().cast("array<string>"), F.create_map().cast("map<string,string>"))
+    xml = made.select("c_custkey", render.to_xml(F.col("p"), gazette, old, generic).alias("x"))
+    built = F.when(F.col("x").contains("xsi:"), "cabinet").when(F.col("x").startswith("<document"), "generic").otherwise("raw")
+    return xml.select("c_custkey", built.alias("built"), F.regexp_extract("x", "^<[A-Za-z]+", 0).alias("starts"))
+
+
+@_register("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Γ''' WHEN 1 THEN 'Α''' ELSE 'Δ''' END AS issue, CASE WHEN s_suppkey % 3 = 0 THEN '1' ELSE s_suppkey::VARCHAR END AS number FROM supplier")
+def document_number(spark, d):
+    k = F.col("s_suppkey")
+    made = F.concat(F.when(k % 4 == 0, "ΦΕΚ Γ' ").when(k % 4 == 1, "ΦΕΚ ").otherwise("Δ'"), F.when(k % 3 == 0, "7/12a").otherwise(F.concat(F.lit("1/"), k.cast("string"))))
+    return _t(spark, d, "supplier").select("s_suppkey", render.document_number(made).alias("n")).select("s_suppkey", "n.*")
+
+
+@_register("SELECT doc_id, '<h2>Amendments (Diff View)</h2>' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '<h3>Change to l' || doc_id || '</h3>' || chr(10) || '<div class=''fek-diff''>' || chr(10) || '<div class=''diff-removed''>-&lt;a&gt;</div>' || chr(10) || '<div class=''diff-added''>+b</div>' || chr(10) || '<div class=''''> c</div>' || chr(10) || '</div>' ELSE '' END AS part FROM documents")
+def html_amendments(spark, d):
+    am = F.array(F.struct(F.concat(F.lit("l"), F.col("doc_id").cast("string")).alias("target_law_id"), F.when(F.col("doc_id") % 2 == 0, "-<a>\n+b\n c\n").alias("diff")))
+    none = F.lit(None).cast("string")
+    page = render.html(none, none, none, none, F.array().cast("array<struct<kind:string,text:string>>"), F.array().cast("array<string>"), am)
+    return _t(spark, d, "documents").select("doc_id", F.replace(F.substring_index(page, "<p><strong>Type:</strong> unknown</p>\n", -1), F.lit("\n</body></html>"), F.lit("")).alias("part"))
+
+
+@_register("SELECT doc_id, '<amendments><amendment><target_law_id>l&amp;' || doc_id || '</target_law_id><operation>' || coalesce(lang, '') || '</operation><old_text></old_text></amendment></amendments>' AS part FROM documents")
+def xml_amendments(spark, d):
+    none = F.lit(None).cast("string")
+    am = F.array(F.create_map(F.lit("target_law_id"), F.concat(F.lit("l&"), F.col("doc_id").cast("string")), F.lit("operation"), F.col("lang"), F.lit("old_text"), none))
+    x = render.generic_xml(none, none, none, none, F.array().cast("array<struct<kind:string,text:string>>"), F.array().cast("array<string>"), F.create_map().cast("map<string,string>"), am)
+    return _t(spark, d, "documents").select("doc_id", F.replace(F.concat(F.lit("<amendments>"), F.substring_index(x, "<amendments>", -1)), F.lit("</document>"), F.lit("")).alias("part"))
+
+
+@_register("SELECT doc_id, CASE WHEN quality = 1 THEN 'id' || doc_id ELSE 'T' END AS heading, 'a, b' || doc_id AS questions FROM labels")
+def queue_rows(spark, d):
+    k = F.col("doc_id").cast("string")
+    row = render.queue_row(F.when(F.col("quality") == 1, "").otherwise("T"), F.concat(F.lit("id"), k), F.array(F.lit("a"), F.concat(F.lit("b"), k)))
+    return _t(spark, d, "labels").select("doc_id", row.alias("r")).select("doc_id", "r.*")
+
+
+# --- payloads, flow -------------------------------------------------------------------------------
+
+
+@_register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'No JSON object found in LLM output' WHEN 2 THEN NULL ELSE 'LLM returned non-JSON output' END AS error, CASE doc_id % 4 WHEN 0 THEN 'heading,paragraph,citation' WHEN 2 THEN 'odd' END AS kinds FROM documents""")
+def payload_extract(spark, d):
+    """Replies with aliased section kinds, without an object, truncated behind a string, and beyond repair."""
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, '```JSON\n{"sections": [{"kind": "title"}, {"text": "x"}, {"kind": "ref"}]}\n```').when(k == 1, "nothing here").when(k == 2, '{"sections": [{"kind": "odd"}], "date": "2026').otherwise('{"s": [{"a": 1}, {"b": "x, y')
+    x = _t(spark, d, "documents").select("doc_id", payload.extract(raw).alias("x"))
+    kinds = F.array_join(F.transform(F.from_json(F.get_json_object("x.payload", "$.sections"), "array<struct<kind:string>>"), lambda s: s["kind"]), ",")
+    return x.select("doc_id", F.substring_index("x.error", ":", 1).alias("error"), kinds.alias("kinds"))
+
+
+def _provider(prompt: str) -> str:
+    """Answers a chunk by its first digit: whole, only on the second prompt, or never."""
+    import json
+
+    body = prompt.split("\n", 1)[1]
+    number = next((int(c) for c in body if c.isdigit()), 0)
+    if number == 1 or (number == 2 and prompt.startswith("Structure")):
+        return "no object"
+    return json.dumps({"documentType": "law", "title": f"t{len(body) > 4000}", "sections": [{"kind": "body", "text": "x"}], "author": "h", "amendments": [{"target_law_id": "l", "confidence": 0.5, "question_for_human": "ok?"}]})
+
+
+@_register("""SELECT conv_id, CASE conv_id % 3 WHEN 1 THEN 'PARSE ERROR – manual review required' ELSE 'tfalse' END AS title, CASE conv_id % 3 WHEN 1 THEN 'unknown' ELSE 'law' END AS document_type, CASE conv_id % 3 WHEN 1 THEN 'parse-error' ELSE 'unknown' END AS document_id, CASE conv_id % 3 WHEN 1 THEN 'note:[chunk 1] No JSON object found in LLM output' ELSE 'paragraph:x' END AS sections,
+  CASE conv_id % 3 WHEN 1 THEN 'AI returned unparseable output – full manual review required.' ELSE 'ok?' END AS questions, CASE conv_id % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '0.0' ELSE '0.5' END AS confidence, conv_id % 3 = 2 AS retried, 'llm|unknown|1' AS stamp, true AS needs_review FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def structure_flow(spark, d):
+    docs = _t(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.concat((F.col("conv_id") % 3).cast("string"), F.lit(" text")).alias("raw_text"))
+    r = flow.structure(docs, _provider, outputs.saved, F.current_timestamp(), "conv_id")
+    m = F.col("metadata")
+    stamp = F.concat_ws("|", m["ai_mode"], m["model"], m["chunks_processed"])
+    sections = F.array_join(F.transform("sections", lambda s: F.concat(s["kind"], F.lit(":"), s["text"])), ",")
+    return r.select("conv_id", F.when(F.col("title").startswith("t"), F.lower("title")).otherwise(F.col("title")).alias("title"), "document_type", "document_id", sections.alias("sections"), F.array_join("questions", "|").alias("questions"), m["confidence"].alias("confidence"), F.coalesce(m["retried"] == "true", F.lit(False)).alias("retried"), stamp.alias("stamp"), "needs_review")
+
+
+@_register("SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END) AS n, string_agg('n' || event_id, '|' ORDER BY ts, event_id) FILTER (event_type <> 'click') AS notes FROM events GROUP BY user_id HAVING n > 0")
+def amendment_targets(spark, d):
+    """Amendments without a target are left out; the notes of the others come in their order."""
+    e = _t(spark, d, "events")
+    am = F.array(F.create_map(F.lit("target_law_id"), F.when(F.col("event_type") == "click", "").otherwise("law")))
+    rows = flow.amendments_of(e.select("event_id", "ts", "user_id", F.lit("").alias("publication_date"), am.alias("amendments")), "event_id", "ts").join(e.select("event_id", "user_id"), "event_id")
+    notes = flow.notes_of(rows.withColumn("notes", F.array(F.concat(F.lit("n"), F.col("event_id").cast("string")))), "user_id", ["ts", "event_id", "pos"])
+    return notes.select("user_id", F.size("notes").cast("bigint").alias("n"), F.array_join("notes", "|").alias("notes"))
+
+
+@_register("SELECT doc_id::VARCHAR AS document_id, 'x/' || doc_id || '.xml' AS xml, '/outputs/html/' || doc_id || '.html' AS html_url, quality = 0 OR toxic = 1 AS needs_review FROM labels")
+def result_rows(spark, d):
+    rows = _t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("t").alias("title"), (F.col("quality") == 0).alias("needs_review"), F.when(F.col("toxic") == 1, F.array(F.lit("n"))).otherwise(F.array().cast("array<string>")).alias("notes"))
+    return flow.result(rows, "x", "h").select("document_id", "xml", "html_url", "needs_review")
+
+
+# --- sinks, read back ------------------------------------------------------------------------------
+
+
+@_register("SELECT source AS name, arg_max(coalesce(text, ''), doc_id) AS text FROM documents GROUP BY source")
+def sink_texts(spark, d):
+    """Documents written under their source's name: of one name the last stays."""
+    at = outputs.scratch(spark)
+    outputs.write_texts(_t(spark, d, "documents"), at, T.slugify(F.col("source")), "text", "doc_id")
+    return outputs.read_texts(spark, at)
+
+
+@_register("SELECT user_id, kind, CASE WHEN kind = 'current' THEN '' ELSE date_label END AS date_label, arg_max(text, (epoch_us(ts), event_id)) AS text FROM (SELECT user_id, ts, event_id, strftime(ts, '%Y-%m-%d') AS date_label, unnest(['version', 'current', 'previous', 'diff']) AS kind, unnest([props, props, CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 3 = 0 THEN 'd' || event_id END]) AS text FROM events) WHERE text IS NOT NULL GROUP BY ALL")
+def sink_versions(spark, d):
+    """All kinds of versions, written and read: the last under each law, kind and date."""
+    e = _t(spark, d, "events").withColumn("date", F.date_format("ts", "yyyy-MM-dd")).withColumn("seq", F.struct("ts", "event_id")).withColumn("old", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("")).withColumn("diff", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("d"), F.col("event_id").cast("string"))))
+    at = outputs.scratch(spark)
+    outputs.write_versions(amend.snapshot(e, "user_id", "seq", "old", "props", "date", "diff"), at)
+    return amend.latest(spark.read.parquet(at), ["user_id", "kind", "date_label"], "seq").select("user_id", "kind", "date_label", "text")
+
+
+@_register("SELECT doc_id::VARCHAR AS document_id, 'q' || CASE WHEN toxic = 1 THEN '|n' ELSE '' END AS questions, true AS named, substr(coalesce(text, ''), 1, 3000) AS raw_excerpt FROM labels JOIN documents USING (doc_id) WHERE (quality = 0 OR toxic = 1) AND doc_id % 5 <> 0")
+def review_queue(spark, d):
+    """Rows queued as JSON and read back: those that are still pending, with the files they came from."""
+    from datetime import datetime
+
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.when(F.col("doc_id") % 5 == 0, "done").alias("status"), (F.col("quality") == 0).alias("needs_review"),
+        F.array(F.lit("q")).alias("questions"), F.when(F.col("toxic") == 1, F.array(F.lit("n"))).otherwise(F.array().cast("array<string>")).alias("notes"), F.coalesce("text", F.lit("")).alias("raw_text"),
+    )
+    at = outputs.scratch(spark)
+    items = payload.review_items(rows, F.lit(datetime(2026, 1, 8)).cast("timestamp"))
+    # one folder for all, as a file per row is for queues that people read
+    outputs.enqueue(items.withColumn("name", F.col("file_name")).withColumn("file_name", F.lit("all")), at)
+    got = outputs.queued(spark, at, "status string, created_at string, document_id string, title string, questions array<string>, raw_excerpt string, name string")
+    named = (F.col("name") == F.concat(F.lit("20260108T000000Z_"), "document_id", F.lit(".json"))) & F.col("_file").contains("file_name=all")
+    return got.select("document_id", F.array_join("questions", "|").alias("questions"), named.alias("named"), "raw_excerpt")
+
+
+# --- pages, images, models, events ------------------------------------------------------------------
+
+
+@_register(f"SELECT doc_id, has_text_layer, NOT has_text_layer AS is_scanned, has_text_layer AND doc_id % 3 > 0 AS is_mixed, doc_id % 3 AS n_regions, quality AS confidence_hint, CASE WHEN NOT has_text_layer THEN 'tesseract_pending' ELSE 'pymupdf' END AS method, CASE WHEN has_text_layer THEN CASE WHEN doc_id % 2 = 0 THEN 'L' || chr(10) || chr(10) || '--- ΣΤΗΛΗ 2 ---' || chr(10) || chr(10) || 'R' ELSE 'top ' || doc_id || chr(10) || 'low' END END AS page_text FROM ({_CLASSES})")
+def page_detect(spark, d):
+    """Detection, then the text layer: two columns where the divider is not 0, blocks' lines by height elsewhere."""
+    k = F.col("doc_id")
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    span = lambda *t: F.array(*(F.struct(x.alias("text")) for x in t))
+    line = lambda y, *t: F.struct(F.lit(y).alias("y"), span(*t).alias("spans"))
+    block = lambda t, *x: F.struct(F.lit(t).alias("type"), F.array(*x).alias("lines"))
+    blocks = F.array(block(0, line(9.0, F.lit("low"))), block(1, line(0.0, F.lit("image"))), block(0, line(1.0, F.lit("top "), k.cast("string"))))
+    placed = F.array(F.slice(F.array(box, box), 1, (k % 3).cast("int")))
+    raster = F.when(k % 2 == 0, F.unhex(F.lit(("00" * 41 + "FF" + "00" * 58) * 3))).otherwise(F.unhex(F.lit("00" * 300)))
+    seen = pages.detect(_junk(spark, d).withColumn("placements", placed).withColumn("w", F.lit(100)).withColumn("px", raster), "text", "placements", ("w", "px"))
+    got = pages.text_layer(seen.withColumn("blocks", blocks).withColumn("left_text", F.lit(" L ")).withColumn("right_text", F.lit("R")))
+    return got.select("doc_id", "has_text_layer", "is_scanned", "is_mixed", F.size("image_regions").cast("bigint").alias("n_regions"), "confidence_hint", "method", "page_text")
+
+
+@_register(f"SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '' WHEN 0 THEN 'L' || chr(10) || chr(10) || '--- ΣΤΗΛΗ 2 ---' || chr(10) || chr(10) || 'R' ELSE 'page' END AS page_text, doc_id % 4 = 1 AS failed FROM ({_CLASSES}) WHERE NOT has_text_layer OR doc_id % 3 > 0")
+def page_recognise(spark, d):
+    """Only scanned and mixed pages are read; a failing one is empty."""
+    k = F.col("doc_id")
+    cls = pages.classify(_junk(spark, d).withColumn("n_images", k % 3)).withColumn("has_two_columns", k % 4 == 0).withColumn("column_x", F.when(k % 4 == 0, 94))
+    half = lambda t: F.lit(t).cast("binary")
+    ready = cls.withColumn("image", F.when(k % 4 == 1, half("bad")).otherwise(half(" page"))).withColumn("left_image", half("L")).withColumn("right_image", half("R "))
+
+    def ocr(raw: bytes, columns: bool) -> str:
+        if raw == b"bad":
+            raise ValueError("unreadable")
+        return bytes(raw).decode()
+
+    got = pages.recognise(ready, ocr).select("doc_id", "page_text", "failure")
+    return pages.with_info(got, cls.select("doc_id", "char_count"), ["doc_id"]).select("doc_id", "page_text", F.col("failure").isNotNull().alias("failed"))
+
+
+@_register("SELECT conv_id, arg_max(CASE WHEN role = 'user' THEN text ELSE '![table](/' || turn || '.png)' END, turn) AS content FROM conversations GROUP BY conv_id")
+def image_content(spark, d):
+    """An image listed several times counts as it was listed last."""
+    i = _t(spark, d, "conversations").withColumn("category", F.when(F.col("role") == "user", "pure_text").otherwise("table")).withColumn("path", F.concat(F.col("turn").cast("string"), F.lit(".png")))
+    return pages.image_content(i, ["conv_id"], "category", "text", "path", "turn")
+
+
+@_register("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 2 END AS n_images, page_id % 3 = 0 AS failed, CASE WHEN page_id % 3 > 0 THEN 'chart,photo' ELSE '' END AS categories FROM pages")
+def image_extract(spark, d):
+    """Images per file; a file that can't be read is a row with its error."""
+    f = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.when(F.col("page_id") % 3 == 0, F.lit("bad")).otherwise("ok").cast("binary").alias("content"))
+
+    def images(raw: bytes):
+        if bytes(raw) == b"bad":
+            raise ValueError("broken")
+        return [(1, 5, "png", b"chart"), (2, 6, "png", b"who knows")]
+
+    got = src.categories(src.images(f, images), lambda x: bytes(x).decode())
+    return got.groupBy(F.col("path").cast("bigint").alias("page_id")).agg(F.count("xref").alias("n_images"), F.bool_or(F.col("error").isNotNull()).alias("failed"), F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("xref").isNotNull(), F.col("category"))))).alias("categories"))
+
+
+@_register(f"SELECT host, name, profile, row_number() OVER (PARTITION BY host ORDER BY tier, coalesce(pref, list_pos), list_pos, k) AS attempt, ctx AS num_ctx FROM ({_HOSTS}), (VALUES ('default', 0, 4096), ('cpu_safe', 1, 2048)) p(profile, k, ctx)")
+def model_attempts(spark, d):
+    return models.attempts(_hosts(spark, d)).select("host", "name", "profile", F.col("attempt").cast("bigint").alias("attempt"), F.col("num_ctx").cast("bigint").alias("num_ctx"))
+
+
+@_register("SELECT s_suppkey AS host, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'other' END AS model, true AS downgraded, s_acctbal / 1000 < 2.5 AS pause FROM supplier")
+def model_none(spark, d):
+    """Hosts without a model still decide: for none."""
+    h = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("host"), (F.col("s_acctbal") / 1000).alias("free_gb"))
+    some = h.where("host % 3 <> 0").withColumn("name", F.explode(F.array(F.lit("other"), F.lit(""), F.lit("other")))).withColumn("list_pos", F.lit(0))
+    got = models.choose(some, hosts=h).join(h, "host")
+    return got.select("host", "model", "downgraded", models.should_pause(F.col("free_gb")).alias("pause"))
+
+
+@_register("SELECT event_id, 'log' AS stage, upper(event_type) AS level, 'ai' AS source FROM events")
+def event_levels(spark, d):
+    e = _t(spark, d, "events").select("event_id", ev.log_record(F.col("ts").cast("string"), F.col("event_type"), F.lit("ai"), F.lit("m")).alias("r"))
+    return e.select("event_id", F.col("r.stage").alias("stage"), F.col("r.level").alias("level"), F.col("r.source").alias("source"))
+
+
+@_register("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS done, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations")
+def event_progress(spark, d):
+    return ev.progress(_t(spark, d, "conversations"), "conv_id", "turn", "ocr").select("conv_id", "turn", "done", "total")
+
+
+@_register("SELECT event_type AS stage, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY ALL")
+def event_parse(spark, d):
+    """Events as JSON lines; what is no object is dropped."""
+    line = F.when(F.col("event_id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_type").alias("stage"), F.lit("m").alias("message"), F.col("value"))))
+    return ev.parsed(_t(spark, d, "events").select(line.alias("value"))).where("map_contains_key(extra, 'value') or message = 'm'").groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT url AS name, 'error' AS stage, 'Skipped non-PDF: ' || url AS message FROM pages WHERE page_id % 3 > 0")
+def upload_errors(spark, d):
+    n = _t(spark, d, "pages").withColumn("name", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".PdF"))).otherwise(F.col("url")))
+    refused = src.uploads(n)[1]
+    return src.upload_errors(refused).select(F.regexp_replace("message", "^Skipped non-PDF: ", "").alias("name"), "stage", "message")

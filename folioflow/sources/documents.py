@@ -41,6 +41,47 @@ def pages(files: DataFrame, convert: Callable[[bytes], Iterable[str | None]]) ->
     return files.select("path", "content").mapInPandas(run, "path string, page_num int, text string, error string")
 
 
+def upload_errors(refused: DataFrame, name: str = "name") -> DataFrame:
+    """An error event per refused upload."""
+    return refused.select(F.lit("error").alias("stage"), F.concat(F.lit("Skipped non-PDF: "), F.coalesce(F.col(name), F.lit("None"))).alias("message"))
+
+
+def images(files: DataFrame, extract: Callable[[bytes], Iterable[tuple[int, int, str, bytes]]]) -> DataFrame:
+    """(path, page_num, xref, ext, name, image, error): the images of each file, from a callable that gives
+    (page, xref, extension, bytes). An image on two pages is there twice. Its name is its content's hash,
+    so a repeated run names it alike; a file that fails is one row with the error."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    rows += [(path, p, x, e, bytes(b), None) for p, x, e, b in extract(content)]
+                except Exception as e:  # a reader may fail in any way
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=["path", "page_num", "xref", "ext", "image", "error"])
+            yield out.astype({"page_num": "Int32", "xref": "Int32"})
+
+    got = files.select("path", "content").mapInPandas(run, "path string, page_num int, xref int, ext string, image binary, error string")
+    return got.withColumn("name", F.concat(F.sha2("image", 256), F.lit("."), "ext"))
+
+
+def categories(images_: DataFrame, classify: Callable[[bytes], str]) -> DataFrame:
+    """Adds category: the first known name in what the classifier says; a failing one says photo."""
+
+    @F.pandas_udf("string")
+    def said(content: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return str(classify(x)).strip()
+            except Exception:  # as unsure as any other reply
+                return "photo"
+
+        return content.map(one)
+
+    return images_.withColumn("category", T.image_category(said(F.col("image"))))
+
+
 def structured(chunks: DataFrame, provider: Callable[[str], str], retry_chars: int = 4000) -> DataFrame:
     """Adds ``reply``: the provider's answer per chunk, once more with a prefix if it fails, else null.
     Calls have effects outside, so write the result before using it twice."""
@@ -84,5 +125,11 @@ def listing(html: DataFrame, xml: DataFrame) -> DataFrame:
     return h.join(x, "id", "left").select("id", F.concat(F.lit("/outputs/html/"), "id", F.lit(".html")).alias("html_url"), F.when(F.col("has"), F.concat(F.lit("/outputs/xml/"), "id", F.lit(".xml"))).alias("xml_url")).orderBy("id")
 
 
+def output(outputs: DataFrame, name: str, ext: str) -> DataFrame:
+    """The output of that file name, (id, text); none if the name has another ending or nothing is kept."""
+    ok = name.endswith(ext)
+    return outputs.where(F.lit(ok) & (F.concat("id", F.lit(ext)) == name))
+
+
 def current_laws(versions: DataFrame) -> DataFrame:
     return versions.where("kind = 'current'").groupBy("law_slug").agg(F.max_by("text", "seq").alias("current_text"))

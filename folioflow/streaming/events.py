@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import amend
@@ -20,6 +22,43 @@ def event_record(ts, stage, message, extra):
     return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(extra, k)), extra))))
 
 
+#: fixed values: the stages of a document's way
+STAGES = ["start", "extract_images", "ocr", "markitdown", "merge", "ai_start", "ai", "save", "amend", "review", "done", "error", "log", "ai_purge"]
+
+
+def log_record(ts, level, source, message):
+    """An event of stage log, with its level in capitals and where it comes from."""
+    return event_record(ts, F.lit("log"), message, F.create_map(F.lit("level"), F.upper(level), F.lit("source"), source))
+
+
+def progress(rows: DataFrame, group: str, order: str, stage: str) -> DataFrame:
+    """An event per row of a group: how many of its rows are done before it, and how many there are."""
+    w = Window.partitionBy(group)
+    done = F.row_number().over(w.orderBy(order)) - 1
+    return rows.select(group, order, F.lit(stage).alias("stage"), done.cast("bigint").alias("done"), F.count("*").over(w).alias("total"))
+
+
+def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(stage, message, extra) of JSON lines; what is not a JSON object with a stage is left out."""
+    m = F.from_json(value, "map<string,string>")
+    got = lines.select(m.alias("m")).where("m is not null and m['stage'] is not null")
+    return got.select(F.col("m")["stage"].alias("stage"), F.col("m")["message"].alias("message"), F.map_filter("m", lambda k, v: ~k.isin("stage", "message")).alias("extra"))
+
+
+def broadcast(stream: DataFrame, clients: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
+    """A query that hands each micro-batch to every client; one that raises is not called again, and the
+    others go on. Evicted clients leave the dict."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        for name in list(clients):
+            try:
+                clients[name](batch, number)
+            except Exception:  # a client's own failure ends its part only
+                clients.pop(name, None)
+
+    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per tumbling window and key; late rows beyond the watermark are dropped when
     streaming, and the same expression runs in batch."""

@@ -143,3 +143,120 @@ def test_merged_chunks_keep_amendments_and_the_first_chunks_fields(spark):
     got = payload.merge_chunks(spark.createDataFrame(rows, kind), "doc", "i").collect()[0]
     assert [tuple(a) for a in got.amendments] == [("replace", "x"), ("delete", "y"), ("insert", "z")]
     assert (got.document_id, got.document_type, got.title, got.publication_date, got.sections) == ("id1", "act", "a", "d", ["s1", "s2", "s3"])
+
+
+#: a cabinet act's payload: two reasons, one with letters, two articles without titles, three members
+ACT = {
+    "document_type": "cabinet_act", "title": "Στελέχωση γραφείου", "document_id": "ΦΕΚ Α' 1/2026", "publication_date": "2026-01-08", "document_structure": "cabinet_act",
+    "action_info": {"number": "39", "date": "2025-12-23", "title": "Στελέχωση του Γραφείου"}, "organ": "ΤΟ ΥΠΟΥΡΓΙΚΟ ΣΥΜΒΟΥΛΙΟ",
+    "aitiologia": {"intro": "Έχοντας υπόψη:", "items": [{"number": 1, "intro": "Τις διατάξεις:", "subitems": [{"letter": "α", "text": "Των παρ. 1"}, {"letter": "β", "text": "Του άρθρου 90"}]}, {"number": 2, "text": "Την ανάγκη"}]},
+    "decision": {"intro": "αποφασίζει:", "articles": [{"number": 1, "text": "Αυξάνονται"}, {"number": 2, "text": "Οι θέσεις"}], "publication_instruction": "Να δημοσιευθεί."},
+    "signatures": {"prothypourgos": "Κ.Μ.", "members": ["Κ.Χ.", "Κ.Π.", "Γ.Γ."]}, "contact_info": {"address": "Καποδιστρίου 34", "phone": None, "url": "https://x.gr"},
+}
+
+
+def test_cabinet_act(spark):
+    import json
+    import xml.etree.ElementTree as ET
+
+    def built(payload_):
+        df = spark.createDataFrame([(json.dumps(payload_, ensure_ascii=False),)], "v string").select(F.from_json("v", render.CABINET).alias("p"))
+        return df.select(render.is_cabinet(F.col("p")).alias("ok"), render.cabinet_xml(F.col("p")).alias("x")).first()
+
+    ok, x = built(ACT)
+    root = ET.fromstring(x)
+    assert ok and root.tag == "EfimeridaKyverniseos" and root.find("Metadata/ArithmosFyllou").text == "2026"
+    praxi = root.find("Periexomena/Kefalaio/Praxi")
+    assert praxi.attrib == {"arithmos": "39", "hmerominia": "2025-12-23"}
+    assert [e.attrib["arithmos"] for e in praxi.findall("AitiolologikoMeros/Stoicheio")] == ["1", "2"]
+    assert [e.text for e in praxi.iter("Peripton")] == ["Των παρ. 1", "Του άρθρου 90"] and [e.text for e in praxi.iter("Melos")] == ["Κ.Χ.", "Κ.Π.", "Γ.Γ."]
+    assert [e.text for e in praxi.iter("Keimeno")] == ["Αυξάνονται", "Οι θέσεις"] and praxi.find("Ypografes/Prothypourgos/Onoma").text == "Κ.Μ."
+    assert [e.tag for e in root.find("Epikoinonia")] == ["Dieuthinsi", "HlektronikaDieuthinsi"]
+    ok, x = built({"title": "t", "document_structure": "cabinet_act", "action_info": {}, "aitiologia": {}, "decision": {}, "signatures": {}, "contact_info": {}})
+    assert not ok and [e.tag for e in ET.fromstring(x).find("Periexomena/Kefalaio/Praxi")] == ["Titlos", "Organ"]
+
+
+def test_gazette_title_without_accents(spark):
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    for title, want in (("ΠΡΑΞΗ 3", True), ("Πράξη 3", True), ("νόμος", False), (None, False)):
+        assert one(spark, title, lambda c: render.gate(F.lit("law"), c, F.lit(None).cast("string"), none)) is want
+
+
+@pytest.mark.parametrize("raw, error", [("x", payload.NO_OBJECT), (None, payload.NO_OBJECT), ('{"s": [{"a": 1}, {"b": "x, y', "LLM returned non-JSON output: "), ('{"a": 1}', None)])
+def test_reply_errors(raw, error):
+    try:
+        assert payload.read_object(raw) == {"a": 1} and error is None
+    except ValueError as e:
+        assert str(e).startswith(error)
+
+
+def test_normalise_takes_anything(spark):
+    kinds = '{"sections": [{"kind": "ref"}, {}, 3], "date": "null", "title": null}'
+    df = spark.createDataFrame([("[1]",), ("{bad",), (None,), (kinds,)], "v string")
+    got = [r.m for r in df.select(payload.normalise(F.col("v")).alias("m")).collect()]
+    assert got[:3] == [None, None, None] and got[3]["title"] is None and got[3]["publication_date"] == "null"
+    assert got[3]["sections"] == '[{"kind": "citation"}, {"kind": "paragraph"}, 3]'
+
+
+def test_html_of_null_id(spark):
+    none = F.lit(None).cast("string")
+    page = render.html(none, none, none, none, F.array().cast("array<struct<kind:string,text:string>>"), F.array().cast("array<string>"))
+    assert "<p><strong>ID:</strong> </p>\n<p><strong>Type:</strong> unknown</p>" in spark.range(1).select(page.alias("o")).first()["o"]
+
+
+def test_unseen_heads_of_any_length(spark):
+    items = spark.createDataFrame([(1, "short item"), (2, "x" * 60), (3, ""), (4, None), (5, "absent"), (6, "y" * 50 + "tail")], "k int, t string")
+    pages_ = spark.createDataFrame([("a short item here",), ("x" * 49,), (None,), ("z" + "y" * 50,)], "page string")
+    assert sorted(r.k for r in pages.unseen(items, pages_, "t", "page").collect()) == [2, 5]
+    assert pages.unseen(items, pages_.limit(0), "t", "page").count() == 6
+
+
+def test_fallback_tries_models_and_profiles_in_order():
+    asked, said = [], []
+
+    def call(model, prompt, options):
+        asked.append((model, options["num_ctx"]))
+        if model == "b" and options["num_ctx"] == 2048:
+            return {"message": {"content": "yes"}}
+        raise OSError("down")
+
+    got = models.fallback(["a", "b"], call, log=lambda s, m: said.append(m))("p")
+    assert got == models.Reply("b", True, "used b(cpu_safe)", "yes") and asked == [("a", 4096), ("a", 2048), ("b", 4096), ("b", 2048)] and len(said) == 7
+    with pytest.raises(RuntimeError, match="failed: a$"):
+        models.fallback(["a"], call)("p")
+    assert models.names_of({"models": [{"name": "x"}, {"model": ""}, {"model": "y"}]}) == ["x", "y"] and models.content_of(object()) == "{}"
+
+
+def test_settings(spark):
+    from folioflow.sources import outputs
+
+    spark.conf.set("spark.folioflow.auto_start", "FALSE")
+    got = outputs.settings(spark)
+    assert got["auto_start"] is False and got["num_ctx"] == 4096 and got["converter.endpoint"] is None
+    spark.conf.unset("spark.folioflow.auto_start")
+
+
+def test_clients_that_fail_are_evicted(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(k,)], "v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen, calls = [], []
+
+    def bad(batch, number):
+        calls.append(number)
+        raise OSError("gone")
+
+    clients = {"good": lambda b, n: seen.extend(r.v for r in b.collect()), "bad": bad}
+    stream = spark.readStream.schema("v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ev.broadcast(stream, clients, str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(seen) == [0, 1, 2] and len(calls) == 1 and list(clients) == ["good"]
+
+
+def test_images_and_versions_are_written(spark, tmp_path):
+    from folioflow.sources import outputs
+
+    got = src.images(spark.createDataFrame([("f", b"ok")], "path string, content binary"), lambda b: [(1, 5, "png", b"x"), (2, 5, "png", b"x")])
+    outputs.write_images(got, str(tmp_path / "img"))
+    assert got.count() == 2 and spark.read.parquet(str(tmp_path / "img")).count() == 1
+    change = spark.createDataFrame([("l", "new", "old", None, 1)], "law string, new string, old string, date string, seq int")
+    rows = amend.snapshot(change, "law", "seq", "old", "new", "date").collect()
+    assert {r.kind for r in rows} == {"version", "current", "previous"} and all(r.date_label == "" or len(r.date_label) == 10 for r in rows)
