@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from folioflow.llm.shared import bounded_batches
 from folioflow.llm.textkit import slices
 
 LONG = 256
@@ -229,6 +230,7 @@ def encode(df, text_col: str = "text", vocabulary: str | None = None, pattern: s
 
     from pyspark.sql import functions as F
 
+    bounded_batches(df.sparkSession)
     path, pat = default_vocabulary()
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()
@@ -240,6 +242,7 @@ def decode(df, vocabulary: str | None = None, pattern: str | None = None):
     error, not a gap."""
     from functools import partial
 
+    bounded_batches(df.sparkSession)
     path, pat = default_vocabulary()
     kind = df.schema["row"].dataType.simpleString()
     return df.select("row", "ids").mapInArrow(partial(decoded, vocabulary=vocabulary or path, pattern=pattern or pat), f"row {kind}, decoded binary")
@@ -250,6 +253,7 @@ def token_digests(df, id_col: str = "doc_id", text_col: str = "text", vocabulary
 
     from pyspark.sql import functions as F
 
+    bounded_batches(df.sparkSession)
     path, pat = default_vocabulary()
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()

@@ -1,176 +1,286 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: each slice of training texts holds the postings (document,
-position) of every benchmark term in it, sorted by term. A phrase query takes the offset-adjusted
-postings of its terms from the rarest on and keeps the starts that all lists have; what is left is an
-exact match. Proximity queries keep places whose terms all stand within a span of words. The queries
-travel to the index, in blocks of a bounded number of phrases, so no posting is ever shuffled.
+The index is stored as segments: each slice of training texts is one row of a table in the shared folder,
+with its terms (hashes) in order, how often each is there, and their positions. A search goes in steps that
+meet in joins, so neither the corpus nor the benchmark is ever on one machine:
 
-Null texts have no words; rows with equal ids are rows of their own; an empty benchmark hits nothing.
+1. the benchmark's items become windows of ``n`` words, equal ones one row;
+2. the segments count the windows' terms, which ranks each window's terms from the rarest on; a window
+   with a term that no text has is out;
+3. the segments give the positions of the rarest terms alone; joined with the windows on the term they
+   are the candidates, by segment;
+4. each segment takes its candidates' other terms from the rarest on and intersects their position lists,
+   adjusted by their offsets, with the starts still alive: what stays is an exact match. A proximity match
+   is a place of the rarest term with every other term within ``span`` words in the same text.
+
+Postings are never shuffled while what they meet is small: a side is broadcast only if its measured bytes are
+at most ``BROADCAST``, and else both sides are shuffled by their key. Terms that all segments must look up
+travel in blocks of at most ``BLOCK`` terms.
+
+Null and empty texts have no words; texts are told apart by their content, so rows with equal texts have equal
+results, whatever their ids. Rows of the benchmark with equal item ids are one item; a null id is an item of its
+own, shown as ''. An empty benchmark hits nothing. Other columns may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.textkit import NON_ALNUM, Words, buffers, kernel, slices
+from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.textkit import LOWER, NON_ALNUM, buffers, kernel, release, slices
+
+#: terms in one block of lookups, 0.5 MB
+BLOCK = 65_536
+#: bytes up to which a side of a join is broadcast
+BROADCAST = 32_000_000
+#: windows whose candidates one segment takes at once
+WINDOWS = 20_000
 
-#: phrases in one block of queries: 13 hashes and an item number each, 2 MB at most
-BLOCK = 20_000
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+SEGMENT = "segment binary, keys binary, first binary, terms binary, counts binary, positions binary"
 
 
-class Postings:
-    """Positional postings of the wanted terms of one slice."""
+def _index(batches):
+    for b in slices(batches):
+        words = kernel(b.column("text"), NON_ALNUM, True)
+        order = np.argsort(words.hash, kind="stable").astype(np.uint32)
+        terms, counts = np.unique(words.hash, return_counts=True)
+        keys = b"".join(b.column("key").to_pylist())
+        row = [hashlib.md5(keys).digest(), keys, words.first.astype(np.uint32).tobytes(), terms.tobytes(), counts.astype(np.uint32).tobytes(), order.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["segment", "keys", "first", "terms", "counts", "positions"])
 
-    def __init__(self, words: Words, terms: np.ndarray):
-        self.words = words
-        self.terms = terms  # sorted, different
-        code = np.searchsorted(terms, words.hash)
-        code[code == len(terms)] = 0
-        self.code = np.where(terms[code] == words.hash, code, -1) if len(terms) else np.full(len(words.hash), -1)
-        at = np.flatnonzero(self.code >= 0)
-        order = np.argsort(self.code[at], kind="stable")
-        self.position = at[order]
-        self.frequency = np.bincount(self.code[at], minlength=len(terms))
-        self.first = np.cumsum(self.frequency) - self.frequency
+
+class Segment:
+    """Postings of one stored row."""
+
+    def __init__(self, row: dict):
+        get = lambda k, kind: np.frombuffer(row[k], kind)
+        self.terms, counts = get("terms", np.uint64), get("counts", np.uint32)
+        self.ends = np.cumsum(counts, dtype=np.int64)
+        self.starts = self.ends - counts
+        self.positions, self.first = get("positions", np.uint32).astype(np.int64), get("first", np.uint32).astype(np.int64)
 
     def of(self, term: int) -> np.ndarray:
-        return self.position[self.first[term] : self.first[term] + self.frequency[term]]
-
-    def phrases(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, start) of every exact match of equally long queries, given as term codes."""
-        n = queries.shape[1]
-        rarity = self.frequency[queries]
-        order = np.argsort(rarity, axis=1, kind="stable")
-        alive = np.flatnonzero(rarity.min(axis=1, initial=1) > 0) if len(queries) else np.zeros(0, np.int64)
-        pivot = order[alive, 0]
-        term = queries[alive, pivot]
-        many = self.frequency[term]
-        which = np.repeat(alive, many)
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = self.position[np.repeat(self.first[term], many) + inside] - np.repeat(pivot, many)
-        doc_end = self.words.first[1:]
-        fits = (start >= 0) & (start + n <= len(self.code))
-        which, start = which[fits], start[fits]
-        for step in range(1, n):
-            if not len(which):
+        """The positions of a term, ascending."""
+        i = int(np.searchsorted(self.terms, np.uint64(term)))
+        if i == len(self.terms) or self.terms[i] != np.uint64(term):
+            return self.positions[:0]
+        return self.positions[self.starts[i] : self.ends[i]]
+
+    def inside(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """The starts from which n words stand in one text."""
+        starts = starts[(starts >= 0) & (starts + n <= self.first[-1])] if len(self.first) else starts[:0]
+        return starts[self.first[np.searchsorted(self.first, starts, "right")] >= starts + n]
+
+    def phrase(self, terms: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Starts of the whole phrase; order: its offsets from the rarest term on; places: where that one is."""
+        found = self.inside(places - order[0], len(terms))
+        for offset in order[1:]:
+            if not len(found):
                 break
-            offset = order[which, step]
-            hit = self.code[start + offset] == queries[which, offset]
-            which, start = which[hit], start[hit]
-        doc = np.searchsorted(doc_end, start, "right")
-        fits = np.searchsorted(doc_end, start + n - 1, "right") == doc
-        return which[fits], start[fits]
-
-    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest term with every other term within ``span`` words in its document."""
-        if not len(terms) or self.frequency[terms].min() == 0:
-            return np.zeros(0, np.int64)
-        terms = terms[np.argsort(self.frequency[terms], kind="stable")]
-        found = self.of(terms[0])
-        doc = np.searchsorted(self.words.first[1:], found, "right")
-        low, high = np.maximum(found - span, self.words.first[doc]), np.minimum(found + span, self.words.first[doc + 1] - 1)
-        keep = np.ones(len(found), bool)
-        for t in terms[1:]:
-            at = self.of(t)
+            at = self.of(terms[offset])
+            i = np.searchsorted(at, found + offset)
+            fits = i < len(at)
+            fits[fits] = at[i[fits]] == found[fits] + offset
+            found = found[fits]
+        return found
+
+    def near(self, terms: np.ndarray, order: np.ndarray, places: np.ndarray, span: int) -> np.ndarray:
+        """Places of the rarest term that have every other term within ``span`` words in the same text."""
+        doc = np.searchsorted(self.first, places, "right") - 1
+        low, high = np.maximum(places - span, self.first[doc]), np.minimum(places + span, self.first[doc + 1] - 1)
+        for offset in order[1:]:
+            if not len(places):
+                break
+            at = self.of(terms[offset])
             left = np.searchsorted(at, low)
-            keep &= (left < len(at)) & (at[np.minimum(left, len(at) - 1)] <= high)
-        return found[keep]
+            fits = left < len(at)
+            fits[fits] = at[left[fits]] <= high[fits]
+            places, low, high = places[fits], low[fits], high[fits]
+        return places
 
 
-def windows(texts: list[str | None], n: int) -> list[list[tuple[int, ...]]]:
-    """Per item, the different hash sequences of its windows; an item of fewer words is one window."""
-    words = kernel(pa.array(texts, pa.string()), NON_ALNUM, True)
-    out = []
-    for i in range(len(texts)):
-        h = words.hash[words.first[i] : words.first[i + 1]].tolist()
-        out.append(list(dict.fromkeys(tuple(h[j : j + n]) for j in range(max(1, len(h) - n + 1)))) if h else [])
-    return out
+def _lookup(batches, with_positions: bool):
+    """How often, or where, the wanted terms of a block stand in a segment."""
+    for b in batches:
+        for row in b.to_pylist():
+            terms, wanted = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["wanted"], np.uint64)
+            counts = np.frombuffer(row["counts"], np.uint32)
+            at = np.flatnonzero(np.isin(terms, wanted, assume_unique=True))
+            cols = [pa.array(terms[at].view(np.int64)), pa.array(counts[at].astype(np.int64))]
+            if with_positions:
+                ends = np.cumsum(counts, dtype=np.int64)
+                raw = row["positions"]
+                places = [raw[4 * (ends[i] - int(counts[i])) : 4 * ends[i]] for i in at.tolist()]
+                cols = [pa.array([row["segment"]] * len(at), pa.binary()), cols[0], pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["segment", "term", "places"] if with_positions else ["term", "n"])
+    release()
+
+
+def _match(batches, span: int | None):
+    """Per text with a match: its key, the spans of its words hit, the windows in it and the near ones."""
+    for b in batches:
+        for row in b.to_pylist():
+            s = Segment(row)
+            doc_of = lambda at: np.searchsorted(s.first, at, "right") - 1
+            spans: dict[int, list[dict]] = {}
+            exact: dict[int, dict] = {}
+            close: dict[int, dict] = {}
+            for c in row["candidates"]:
+                terms, order, places = np.frombuffer(c["words"], np.uint64), np.array(c["order"]), np.frombuffer(c["places"], np.uint32).astype(np.int64)
+                starts = s.phrase(terms, order, places)
+                for d, at in zip(doc_of(starts).tolist(), starts.tolist()):
+                    exact.setdefault(d, {})[c["wid"]] = None
+                    spans.setdefault(d, []).append({"a": at - int(s.first[d]), "z": at - int(s.first[d]) + len(terms)})
+                if span is not None:
+                    for d in np.unique(doc_of(s.near(terms, order, places, span))).tolist():
+                        close.setdefault(d, {})[c["wid"]] = None
+            docs = sorted({*exact, *close})
+            keys = [row["keys"][16 * d : 16 * d + 16] for d in docs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array([spans.get(d, []) for d in docs], _SPANS), *(pa.array([list(x.get(d, ())) for d in docs], pa.list_(pa.binary())) for x in (exact, close))],
+                names=["key", "spans", "exact", "close"],
+            )
+    release()
 
 
-def _blocks(items: list[tuple[str, list[tuple[int, ...]]]]):
-    block, size = [], 0
-    for item, found in items:
-        for at in range(0, len(found), BLOCK):
-            part = found[at : at + BLOCK]
-            if size + len(part) > BLOCK and block:
-                yield block
-                block, size = [], 0
-            block.append((item, part))
-            size += len(part)
-    if block:
-        yield block
-
-
-class Queries:
-    def __init__(self, items: list[tuple[str, list[tuple[int, ...]]]]):
-        self.items = [i for i, _ in items]
-        every = sorted({h for _, found in items for q in found for h in q})
-        self.terms = np.array(every, np.uint64)
-        by_length: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-        for k, (_, found) in enumerate(items):
-            for q in found:
-                by_length.setdefault(len(q), []).append((q, k))
-        self.by_length = [(np.searchsorted(self.terms, np.array([q for q, _ in qs], np.uint64)), np.array([k for _, k in qs])) for qs in by_length.values()]
-
-    def match(self, words: Words):
-        """Per word whether it is hit, and (document, item) pairs."""
-        cover = np.zeros(len(words.hash) + 1, np.int32)
-        postings = Postings(words, self.terms)
-        docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for queries, owner in self.by_length:
-            which, start = postings.phrases(queries)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + queries.shape[1], -1)
-            docs.append(np.searchsorted(words.first[1:], start, "right"))
-            items.append(owner[which])
-        pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)], 1), axis=0)
-        return np.cumsum(cover[:-1]) > 0, pairs
-
-
-def _search(batches, blocks: list[Queries]):
+def _windows(batches, n: int):
+    """(item, none, wid, words): the different windows of each item; an item of fewer words is one."""
     for b in slices(batches):
         words = kernel(b.column("text"), NON_ALNUM, True)
-        hit = np.zeros(len(words.hash), bool)
-        found: list[set[str]] = [set() for _ in range(b.num_rows)]
-        for queries in blocks:
-            h, pairs = queries.match(words)
-            hit |= h
-            for d, k in pairs.tolist():
-                found[d].add(queries.items[k])
-        before = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = before[words.first[1:]] - before[words.first[:-1]]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("row"), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
-            names=["row", "n_words", "n_hit", "items"],
-        )
-
-
-def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
-    """(row, n_words, n_hit, items) per row of df: words inside occurrences of item windows, and the
-    items, sorted as strings, that have one. The benchmark streams to the driver item by item and
-    goes out in blocks of at most ``BLOCK`` phrases, each broadcast on its own."""
-    spark = df.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    merged: dict[str, dict] = {}
-    for r in items.toLocalIterator():
-        merged.setdefault(r["item"] or "", {}).update(dict.fromkeys(windows([r["text"]], n)[0]))
-    blocks = [spark.sparkContext.broadcast(Queries(b)) for b in _blocks([(k, list(v)) for k, v in merged.items()])]
-    src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = src.schema["row"].dataType.simpleString()
+        rows, found = [], []
+        for i in range(b.num_rows):
+            raw = words.hash[words.first[i] : words.first[i + 1]].tobytes()
+            if raw:
+                own = {raw[8 * j : 8 * (j + n)] for j in range(max(1, len(raw) // 8 - n + 1))}
+                rows += [i] * len(own)
+                found += sorted(own)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("item").take(at), b.column("none").take(at), pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], names=["item", "none", "wid", "words"])
+
+
+def _terms(batches):
+    """(wid, words, term, offsets): a window's different terms with the offsets where they stand."""
+    for b in batches:
+        rows: list[list] = [[], [], [], []]
+        for wid, raw in zip(b.column("wid").to_pylist(), b.column("words").to_pylist()):
+            at: dict[int, list[int]] = {}
+            for j, t in enumerate(np.frombuffer(raw, np.int64).tolist()):
+                at.setdefault(t, []).append(j)
+            for t, offsets in at.items():
+                for col, v in zip(rows, (wid, raw, t, offsets)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())))], names=["wid", "words", "term", "offsets"])
+
 
-    def search(batches):
-        return _search(batches, [b.value for b in blocks])
+def _packed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in b.column("terms").to_pylist()], pa.binary())], names=["wanted"])
 
-    return src.mapInArrow(search, f"row {kind}, n_words bigint, n_hit bigint, items array<string>")
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """df with a broadcast hint if its bytes, measured, are at most ``BROADCAST``."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST else df
+
+
+def _blocks(terms: DataFrame) -> DataFrame:
+    """Different terms packed in rows of about ``BLOCK``: the query set that every segment looks up."""
+    n = max(1, -(-terms.count() // BLOCK))
+    packed = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("block")).agg(F.collect_list("term").alias("terms"))
+    return _small(packed.select("terms").mapInArrow(_packed, "wanted binary"), F.octet_length("wanted"))
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def index(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The stored segments (``SEGMENT``) of df's texts."""
+    bounded_batches(df.sparkSession)
+    text = F.col(text_col).cast("string")
+    return keep(df.select(text_key(text).alias("key"), text.alias("text")).where("text <> ''").mapInArrow(_index, SEGMENT))
+
+
+def windows(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
+    """The stored windows (item, none, wid, words) of the benchmark's items."""
+    bounded_batches(benchmark.sparkSession)
+    item = F.col(item_col).cast("string")
+    rows = benchmark.select(F.coalesce(item, F.lit("")).alias("item"), item.isNull().alias("none"), F.col(item_text_col).cast("string").alias("text"))
+    return keep(rows.where("text is not null").mapInArrow(partial(_windows, n=n), "item string, none boolean, wid binary, words binary").distinct())
+
+
+def search(segments: DataFrame, queries: DataFrame, span: int | None = None) -> DataFrame:
+    """(key, n_hit, exact, close) per text of the index in which a window stands exactly, or has all its terms
+    within ``span`` words of its rarest one: the words in exact matches, and the windows' ids."""
+    different = queries.select("wid", "words").distinct()
+    each = keep(different.mapInArrow(_terms, "wid binary, words binary, term bigint, offsets array<int>"))
+    asked = segments.select("terms", "counts").crossJoin(_blocks(each.select("term").distinct()))
+    known = keep(asked.mapInArrow(partial(_lookup, with_positions=False), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
+    # every term with its offsets, from the rarest on; a window with a term that isn't there is out
+    ranked = each.join(known, "term").groupBy("wid", "words").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offsets"))).alias("r"))
+    order = F.flatten(F.transform("r", lambda x: x["offsets"]))
+    ranked = keep(ranked.select("wid", "words", F.col("r")[0]["term"].alias("term"), order.alias("order")).where(F.size("order") * 8 == F.octet_length("words")))
+    pivots = segments.select("segment", "terms", "counts", "positions").crossJoin(_blocks(ranked.select("term").distinct()))
+    places = keep(pivots.mapInArrow(partial(_lookup, with_positions=True), "segment binary, term bigint, places binary"))
+    shards = max(1, -(-ranked.count() // WINDOWS))
+    met = places.join(_small(ranked, F.octet_length("words") * 2), "term").withColumn("shard", F.pmod(F.xxhash64("wid"), F.lit(shards)))
+    candidates = keep(met.groupBy("segment", "shard").agg(F.collect_list(F.struct("wid", "words", "order", "places")).alias("candidates")))
+    held = F.aggregate("candidates", F.lit(0).cast("bigint"), lambda a, x: a + 2 * F.octet_length(x["words"]) + F.octet_length(x["places"]))
+    full = segments.join(_small(candidates, held), "segment")
+    found = full.mapInArrow(partial(_match, span=span), "key binary, spans array<struct<a:int,z:int>>, exact array<binary>, close array<binary>")
+    # a text that stands in several segments, or meets several shards of windows, has a row for each
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    whole = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), every("exact"), every("close"))
+    grow = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["z"] - F.greatest(x["a"], acc["to"]))).alias("n"), F.greatest(acc["to"], x["z"]).alias("to"))
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("to")), grow, lambda acc: acc["n"])
+    out = keep(whole.select("key", n_hit.alias("n_hit"), "exact", "close"))
+    drop(each, known, ranked, places, candidates)
+    return out
+
+
+def _count(batches):
+    for b in slices(batches):
+        data, offsets = buffers(b.column("text"))
+        word = ~NON_ALNUM[LOWER[data]]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        begins[inner] = word[inner]
+        sums = np.concatenate([[0], np.cumsum(begins)])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64())], names=["row", "key", "n_words"])
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, span: int | None = None) -> DataFrame:
+    """(row, n_words, n_hit, items, near_items) per row of df: words inside occurrences of item windows,
+    the items, sorted as strings, that have one, and with ``span`` those with a proximity match."""
+    segments, queries = index(df, text_col), windows(benchmark, item_col, item_text_col, n)
+    found = search(segments, queries, span)
+    named = queries.select("wid", F.struct(F.col("item"), F.col("none")).alias("item"))
+    kinds = F.explode(F.concat(F.transform("exact", lambda w: F.struct(F.lit("items").alias("kind"), w.alias("wid"))), F.transform("close", lambda w: F.struct(F.lit("near_items").alias("kind"), w.alias("wid")))))
+    pairs = found.select("key", "n_hit", kinds.alias("w")).select("key", "n_hit", "w.kind", "w.wid").join(named, "wid")
+    names = lambda kind: F.transform(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item")))), lambda x: x["item"])
+    hits = keep(pairs.groupBy("key").agg(F.first("n_hit").alias("n_hit"), names("items").alias("items"), names("near_items").alias("near_items")).withColumnRenamed("key", "hit_key"))
+    drop(segments, queries, found)
+    text = F.col(text_col).cast("string")
+    src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text_key(text).alias("key"), text.alias("text"))
+    kind = src.schema["row"].dataType.simpleString()
+    counted = src.mapInArrow(_count, f"row {kind}, key binary, n_words bigint")
+    size = F.lit(64) + 24 * (F.size("items") + F.size("near_items"))
+    none = F.array().cast("array<string>")
+    joined = counted.join(_small(hits, size), F.col("key") == F.col("hit_key"), "left")
+    return joined.select("row", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
 
 
-def report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = contamination(df.select(id_col, text_col), benchmark, text_col)
+def report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 26) -> DataFrame:
+    """The contract's columns, and n_near: items of which a window's words all stand, in any order, within
+    ``span`` words of its rarest one."""
+    found = contamination(df.select(id_col, text_col), benchmark, text_col, span=span)
     return found.select(
         F.col(f"row.{id_col}").alias(id_col),
         "n_words",
@@ -178,4 +288,5 @@ def report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near"),
     )

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import bounded_batches
 from folioflow.llm.textkit import LOWER, SPACE, Words, buffers, prefix_hash, slices, span_hash, word_hash
 
 CHUNK, LONGEST, KEPT_TYPES = 32, 16, 600_000
@@ -184,6 +185,7 @@ def learn(texts: DataFrame, vocabulary: str | None = None, max_langs: int = 512)
     """(languages, piece probabilities) from rows (text, lang). What returns to the driver is one count
     per language and piece of the fixed vocabulary; over ``max_langs`` languages are an error."""
     vocabulary = vocabulary or default_vocabulary()
+    bounded_batches(texts.sparkSession)
     texts = texts.where("lang is not null and text is not null")
     langs = sorted(r[0] for r in texts.select("lang").distinct().limit(max_langs + 1).collect())
     if len(langs) > max_langs:
@@ -239,6 +241,7 @@ def _predict(batches, vocabulary: str, langs: list[str], probs: np.ndarray):
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(row, lang_pred, score) of every row of df."""
+    bounded_batches(df.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     langs, shared = model[0], df.sparkSession.sparkContext.broadcast(model[1])
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import bounded_batches
 from folioflow.llm.textkit import slices
 
 #: fixed values: public license notices, a name and its clauses; <...> stands for any words
@@ -190,6 +191,7 @@ def _scan(batches, tries: int | None, least: float):
 
 def scan_licenses(df: DataFrame, text_col: str = "text", tries: int | None = None, least: float = 0.9) -> DataFrame:
     """(row, found) per row of df."""
+    bounded_batches(df.sparkSession)
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()
     return src.mapInArrow(partial(_scan, tries=tries, least=least), f"row {kind}, found {FOUND}")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import bounded_batches
 from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, release, slices
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -97,6 +98,7 @@ def _train(batches, bits: int, **options):
 
 def fit(texts: DataFrame, bits: int = 18, epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, max_rows: int = 20_000) -> np.ndarray:
     """Weights from rows (order, text, label); of more than ``max_rows`` the first by ``order``."""
+    bounded_batches(texts.sparkSession)
 
     def vectors(batches):
         return _vectors(batches, bits)
@@ -124,6 +126,7 @@ def score_batch(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """(row, score): the probability of label 1 for every row of df, its columns in ``row``."""
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(weights)
     src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))

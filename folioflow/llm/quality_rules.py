@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import keep
+from folioflow.llm.shared import bounded_batches, keep
 from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, slices, span_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -156,6 +156,7 @@ def _measure(batches):
 def measured(df: DataFrame, text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """(row, stratum, counts, base_failed, values) per row of df: ``row`` has the columns ``carry`` (all
     by default), values the rules' numbers in the order of ``GRIDS``."""
+    bounded_batches(df.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in (df.columns if carry is None else carry))).alias("row")
     src = df.select(row, F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
     counts = ", ".join(f"{k} bigint" for k in COUNTS)

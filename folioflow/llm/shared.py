@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: bytes of one batch between the JVM and a Python worker, which both hold it several times over
+BATCH_BYTES = 4_000_000
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: by rows alone, 10,000 long texts are one batch. A session that sets the
+    bound itself keeps its own."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor
     costs the tasks that it ran, not the work before. ``drop`` removes such a table."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import keep
+from folioflow.llm.shared import bounded_batches, keep
 from folioflow.llm.textkit import SPACE, Words, buffers, sequence_hash, slices
 
 _CLOSE = "(?:[\"')\\]]|»|”|’|」|』|）|】)".encode()
@@ -132,6 +132,7 @@ def _rest(batches, long: int):
 def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 20, long: int = 40) -> DataFrame:
     """(id, n_sentences, gone, kept_text): per row of df the positions of the sentences removed and the
     text without them."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
     every = keep(docs.mapInArrow(partial(_runs, run=run, min_words=min_words, long=long), f"id {kind}, th bigint, pos int, n int, h1 bigint, h2 bigint"))

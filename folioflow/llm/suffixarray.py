@@ -13,8 +13,9 @@ and the string of names is sorted recursively. On bytes the buckets are filled w
 for each run of the bucket's own byte; the recursion, at most half as long, runs on lists.
 
 Scale: all texts equal to another are settled by one hash aggregate. An anchor with very many different
-contexts (a passage that a share of all texts holds) is split: its windows are counted by their own
-128-bit hashes instead, which spread over all tasks and are combined before the shuffle.
+contexts (a passage that a share of all texts holds) or with more than ``crowd_bytes`` under them (periodic
+texts) is split: its windows are counted by their own 128-bit hashes instead, which spread over all tasks
+and are combined before the shuffle. So a shard holds ``shard_bytes`` and one anchor's contexts at most.
 Null texts are empty. Rows with equal ids are different rows. Matches never cross texts.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep
 from folioflow.llm.textkit import buffers, prefix_hash, release, slices, span_hash
 
 # --- induced sorting -------------------------------------------------------------------------
@@ -463,20 +464,21 @@ def _cut(batches, length: int, min_words: int):
         )
 
 
-def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 1_000_000, crowd: int = 2_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 300_000, crowd: int = 2_000, crowd_bytes: int = 1_000_000) -> DataFrame:
     """(key, copies, found) for texts (key, text): found lists (at, spans) of covered bytes per context.
 
     Texts that are there more than once have their copies counted and no spans: all of them repeats."""
+    bounded_batches(texts.sparkSession)
     per_text = texts.where(F.octet_length("text") >= length).mapInArrow(partial(_anchors, length=length, gram=gram), "key binary, anchors array<struct<g:bigint,c:bigint,at:bigint,m:bigint,again:boolean,off:bigint>>")
     distinct = keep(per_text.groupBy("key").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors")))
     each = distinct.select("key", "copies", F.explode("anchors").alias("x")).select("key", "copies", "x.*")
     crowded = each.groupBy("g").agg(F.sum("copies").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again").select("g")
     shared = keep(each.join(crowded, "g"))
     contexts = keep(shared.groupBy("g", "c").agg(F.sum("copies").alias("copies"), F.bool_or("again").alias("again"), F.min(F.struct("key", "at", "m", "off")).alias("src")))
-    kinds = contexts.groupBy("g").agg(F.count("*").alias("k"))
+    kinds = contexts.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.col("src.m") + (length - 1)).alias("held"))
     known = contexts.join(kinds, "g")
     alone = known.where("k = 1 and copies > 1").select("g", "c", F.array(F.lit(0).cast("bigint"), F.col("src.m") + (length - 1)).alias("spans"))
-    wanted = known.where("k > 1 or (copies = 1 and again)").groupBy(F.col("src.key").alias("key")).agg(F.collect_list(F.struct("g", "c", "copies", "k", F.col("src.at").alias("at"), F.col("src.m").alias("m"), F.col("src.off").alias("off"))).alias("wanted"))
+    wanted = known.where("k > 1 or (copies = 1 and again)").groupBy(F.col("src.key").alias("key")).agg(F.collect_list(F.struct("g", "c", "copies", F.when(F.col("held") > crowd_bytes, F.lit(1 << 40)).otherwise(F.col("k")).alias("k"), F.col("src.at").alias("at"), F.col("src.m").alias("m"), F.col("src.off").alias("off"))).alias("wanted"))
     pieces = keep(texts.join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(partial(_contexts, length=length), "g bigint, c bigint, copies bigint, k bigint, off bigint, bytes binary"))
     few = pieces.where(F.col("k") <= crowd).repartition("g").sortWithinPartitions("g")
     solved = few.mapInArrow(partial(_shards, length=length, gram=gram, shard_bytes=shard_bytes), "g bigint, c bigint, spans array<bigint>")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep
 from folioflow.llm.textkit import SPACE, buffers, kernel, mix, release, shingles, slices
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -240,6 +240,7 @@ def near_duplicates(
 
     Links join sets with 100 * intersection >= percent * union, confirmed on the full sets.
     With 252 slots in 42 bands of 6, a pair at a similarity of 0.8 shares no band once in 350,000."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     sketch = keep(docs.mapInArrow(partial(_sketch, shingle=shingle, m=slots, rows=band_rows), f"id {kind}, n bigint, key binary, bands array<bigint>"))
