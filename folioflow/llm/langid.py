@@ -7,8 +7,9 @@ probabilities are learned from all training texts: one expectation step (forward
 Zipf prior over the vocabulary's order gives each language's expected piece counts, which are summed.
 
 Words are treated by type: a slice's different words are scored once, in numpy, all words of one
-length together; scores of types are kept per task up to a bound. A word of over ``CHUNK`` bytes is
-cut every ``CHUNK`` bytes. Texts are scored whole. The prediction maximises the likelihood; the score is
+length together; scores of types are kept per task up to a bound. Probabilities are rescaled on the way, so a
+word may have any length; words of many bytes are treated one by one, in logarithms where counts are
+learned, with the same sums. Texts are scored whole. The prediction maximises the likelihood; the score is
 its posterior under equal priors. Null texts and texts without a letter are ``und`` with score 0, and so
 is every text if nothing was learned.
 """
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from folioflow.llm.shared import bounded_batches
 from folioflow.llm.textkit import LOWER, SPACE, Words, buffers, prefix_hash, slices, span_hash, word_hash
 
-CHUNK, LONGEST, KEPT_TYPES = 32, 16, 600_000
+#: words of at most so many bytes are scored, or learned from, together with others of their length
+SCORED, LEARNED, KEPT_TYPES = 64, 24, 600_000
+#: positions between two rescalings, and the most words in one group
+RESCALE, GROUP = 8, 20_000
 MARK = "▁".encode()
 
 
@@ -40,7 +44,9 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 raw.setdefault(sp.id_to_piece(i).encode())
-        self.raw = [p for p in raw if len(p) <= LONGEST]
+        self.raw = list(raw)
+        self.lengths = sorted({len(r) for r in self.raw})
+        self.longest = self.lengths[-1]
         n = len(self.raw)
         prior = 1.0 / (np.arange(n) + 100.0)
         prior[:256] = 1e-7  # byte fallback
@@ -68,69 +74,118 @@ def pieces(vocabulary: str) -> Pieces:
     return Pieces(vocabulary)
 
 
-def lattice(words: np.ndarray, p: Pieces) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """(from, to) to (rows, piece numbers) for equally long words, a row of bytes each."""
+def forward(words: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
+    """Log probability of each word (rows, equally long) in each language (columns), summed over
+    segmentations."""
     n, size = words.shape
     prefix = prefix_hash(words.reshape(-1))
     base = np.arange(n) * size
-    out = {}
-    for i in range(size):
-        for j in range(i + 1, min(size, i + LONGEST) + 1):
+    alpha = [np.ones((n, probs.shape[1]))]
+    log = np.zeros_like(alpha[0])
+    for j in range(1, size + 1):
+        now = np.zeros_like(log)
+        for i in (j - d for d in p.lengths if d <= j):
             ids = p.find(span_hash(prefix, base + i, base + j))
             rows = np.flatnonzero(ids >= 0)
             if len(rows):
-                out[i, j] = rows, ids[rows]
+                now[rows] += alpha[i][rows] * probs[ids[rows]]
+        alpha.append(now)
+        if j % RESCALE == 0 or j == size:
+            live = range(max(0, j + 1 - p.longest), j + 1)
+            top = np.max([alpha[i] for i in live], axis=0) if j < size else now
+            log += np.log(top)
+            for i in live:
+                alpha[i] = alpha[i] / top
+            alpha[: live[0]] = [None] * live[0]
+    return log
+
+
+def spans(word: np.ndarray, p: Pieces) -> np.ndarray:
+    """Piece numbers (end, length - 1) of all spans of one word, -1 where there is none."""
+    prefix = prefix_hash(word)
+    out = np.full((len(word) + 1, min(p.longest, len(word))), -1, np.int32)
+    for d in (x for x in p.lengths if x <= len(word)):
+        at = np.arange(len(word) - d + 1)
+        out[d:, d - 1] = p.find(span_hash(prefix, at, at + d))
     return out
 
 
-def forward(words: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
-    """Log probability of each word (rows) in each language (columns), summed over segmentations."""
-    n, size = words.shape
-    alpha = np.zeros((size + 1, n, probs.shape[1]))
+def forward_long(word: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
+    """``forward`` of one word of any length, holding as many positions as the longest piece has bytes."""
+    pieces_of = spans(word, p)
+    width = pieces_of.shape[1]
+    alpha, log = np.zeros((width, probs.shape[1])), np.zeros(probs.shape[1])  # row d: d + 1 bytes back
     alpha[0] = 1
-    for (i, j), (rows, ids) in sorted(lattice(words, p).items(), key=lambda x: x[0][1]):
-        alpha[j, rows] += alpha[i, rows] * probs[ids]
-    return np.log(np.maximum(alpha[size], 1e-300))
+    for j in range(1, len(word) + 1):
+        d = np.flatnonzero(pieces_of[j] >= 0)
+        now = (alpha[d] * probs[pieces_of[j, d]]).sum(axis=0)
+        alpha[1:] = alpha[:-1]
+        alpha[0] = now
+        if j % RESCALE == 0 or j == len(word):
+            top = alpha.max(axis=0) if j < len(word) else now
+            log += np.log(top)
+            alpha /= top
+    return log
 
 
 def expected(words: np.ndarray, weights: np.ndarray, p: Pieces, out: np.ndarray) -> None:
-    """Add each word's expected piece counts under the prior, times its weight per language, to out."""
+    """Add equally long words' expected piece counts under the prior, times their weights per language, to out."""
     n, size = words.shape
-    edges = lattice(words, p)
+    prefix = prefix_hash(words.reshape(-1))
+    base = np.arange(n) * size
+    edges = {}
+    for j in range(1, size + 1):
+        for i in (j - d for d in p.lengths if d <= j):
+            ids = p.find(span_hash(prefix, base + i, base + j))
+            rows = np.flatnonzero(ids >= 0)
+            if len(rows):
+                edges[i, j] = rows, ids[rows]
     alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
     alpha[0] = beta[size] = 1
-    for (i, j), (rows, ids) in sorted(edges.items(), key=lambda x: x[0][1]):
+    for (i, j), (rows, ids) in edges.items():  # by j
         alpha[j, rows] += alpha[i, rows] * p.prior[ids]
     for (i, j), (rows, ids) in sorted(edges.items(), key=lambda x: -x[0][0]):
         beta[i, rows] += p.prior[ids] * beta[j, rows]
-    total = np.maximum(alpha[size], 1e-300)
     for (i, j), (rows, ids) in edges.items():
-        share = alpha[i, rows] * p.prior[ids] * beta[j, rows] / total[rows]
+        share = alpha[i, rows] * p.prior[ids] * beta[j, rows] / alpha[size, rows]
         for k in range(weights.shape[1]):
             out[k] += np.bincount(ids, share * weights[rows, k], len(p.prior))
 
 
-def _chunks(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Equally long pieces of work: (indices of words, their bytes) behind a word mark, cut at CHUNK."""
+def expected_long(word: np.ndarray, weight: np.ndarray, p: Pieces, out: np.ndarray) -> None:
+    """``expected`` of one word of any length, in logarithms."""
+    pieces_of = spans(word, p)
+    n, width = len(word), pieces_of.shape[1]
+    prior = np.append(np.log(p.prior), -np.inf)[pieces_of]  # -1 is the last, no probability
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    back = np.arange(1, width + 1)
+    for j in range(1, n + 1):
+        d = back[: min(j, width)]
+        alpha[j] = np.logaddexp.reduce(alpha[j - d] + prior[j, d - 1])
+    for i in range(n - 1, -1, -1):
+        d = back[: min(n - i, width)]
+        beta[i] = np.logaddexp.reduce(beta[i + d] + prior[i + d, d - 1])
+    for d in range(1, width + 1):
+        j = d + np.flatnonzero(pieces_of[d:, d - 1] >= 0)
+        ids = pieces_of[j, d - 1]
+        share = np.exp(alpha[j - d] + prior[j, d - 1] + beta[j] - alpha[n])
+        for k in np.flatnonzero(weight):
+            out[k] += np.bincount(ids, share * weight[k], len(p.prior))
+
+
+def _groups(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int):
+    """Words behind a word mark, lower-cased: (indices, their bytes in rows) of equally long ones together, and
+    those of over ``most`` bytes one by one."""
     mark = np.frombuffer(MARK, np.uint8)
     size = end - start
-    for lead in (True, False):
-        # the first CHUNK bytes stand behind the mark; what follows of longer words does not
-        which = np.arange(len(start)) if lead else np.flatnonzero(size > CHUNK)
-        at = start[which] if lead else start[which] + CHUNK
-        while len(which):
-            take = np.minimum(CHUNK, end[which] - at)
-            for s in np.unique(take):
-                group = np.flatnonzero(take == s)
-                for lo in range(0, len(group), 20_000):
-                    g = group[lo : lo + 20_000]
-                    body = LOWER[data[at[g][:, None] + np.arange(s)]]
-                    yield which[g], np.concatenate([np.tile(mark, (len(g), 1)), body], 1) if lead else body
-            if lead:
-                break
-            at = at + take
-            more = at < end[which]
-            which, at = which[more], at[more]
+    for s in np.unique(size[size <= most]):
+        group = np.flatnonzero(size == s)
+        for lo in range(0, len(group), GROUP):
+            g = group[lo : lo + GROUP]
+            yield g, np.concatenate([np.tile(mark, (len(g), 1)), LOWER[data[start[g][:, None] + np.arange(s)]]], 1)
+    for g in np.flatnonzero(size > most):
+        yield np.array([g]), np.concatenate([mark, LOWER[data[start[g] : end[g]]]])[None, :]
 
 
 def _types(b: pa.RecordBatch):
@@ -151,8 +206,11 @@ def _learn(batches, vocabulary: str, langs: list[str]):
         sizes = np.array([len(w) for w in blob])
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(blob), np.uint8)
-        for which, words in _chunks(data, ends - sizes, ends):
-            expected(words, counts[which], p, out)
+        for which, words in _groups(data, ends - sizes, ends, LEARNED):
+            if words.shape[1] > LEARNED + len(MARK):
+                expected_long(words[0], counts[which[0]], p, out)
+            else:
+                expected(words, counts[which], p, out)
 
     for b in slices(batches):
         data, words, own, sample, inverse = _types(b)
@@ -219,8 +277,8 @@ def _predict(batches, vocabulary: str, langs: list[str], probs: np.ndarray):
         at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
         new = known[at] != own if len(known) else np.ones(len(own), bool)
         fresh = np.zeros((int(new.sum()), len(langs)))
-        for which, rows in _chunks(data, words.start[sample[new]], words.end[sample[new]]):
-            np.add.at(fresh, which, forward(rows, p, table))
+        for which, rows in _groups(data, words.start[sample[new]], words.end[sample[new]], SCORED):
+            fresh[which] = forward_long(rows[0], p, table) if rows.shape[1] > SCORED + len(MARK) else forward(rows, p, table)
         mine = np.empty((len(own), len(langs)))
         mine[~new], mine[new] = scores[at[~new]] if len(known) else fresh[:0], fresh
         merged = np.concatenate([known, own[new]])

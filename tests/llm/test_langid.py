@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from folioflow.llm.langid import CHUNK, MARK, default_vocabulary, forward, identify, pieces
+from folioflow.llm.langid import LEARNED, MARK, SCORED, default_vocabulary, expected, expected_long, forward, forward_long, identify, pieces
 
 
 def test_forward_sums_all_segmentations():
@@ -14,18 +14,45 @@ def test_forward_sums_all_segmentations():
     def total(w, k):
         if not w:
             return 1.0
-        return sum(probs[number[w[:j]], k] * total(w[j:], k) for j in range(1, min(16, len(w)) + 1) if w[:j] in number)
+        return sum(probs[number[w[:j]], k] * total(w[j:], k) for j in range(1, len(w) + 1) if w[:j] in number)
 
     for w in (b"the", "été".encode(), MARK + b"hello", b"\xff\x00z"):
         got = forward(np.frombuffer(w, np.uint8)[None], p, probs)[0]
         assert np.allclose(got, [np.log(total(w, 0)), np.log(total(w, 1))])
+        assert np.allclose(forward_long(np.frombuffer(w, np.uint8), p, probs), got)
+
+
+def test_words_of_any_length_are_summed_whole():
+    p = pieces(default_vocabulary())
+    rng = np.random.default_rng(1)
+    probs = rng.dirichlet(np.ones(len(p.prior)), 3).T
+    number = {r: i for i, r in enumerate(p.raw)}
+    for text in ("responsibility", "representation" * 4, "日本語のとても長い文です" * 30, "─" * 40, "x" * 3000):
+        w = MARK + text.encode()
+        log = [np.zeros(3)]  # exact sums with every piece, in logarithms
+        for j in range(1, len(w) + 1):
+            log.append(np.logaddexp.reduce([log[i] + np.log(probs[number[w[i:j]]]) for i in range(max(0, j - p.longest), j) if w[i:j] in number]))
+        row = np.frombuffer(w, np.uint8)
+        assert np.allclose(forward_long(row, p, probs), log[-1])
+        if len(w) <= SCORED + len(MARK):
+            assert np.allclose(forward(row[None], p, probs)[0], log[-1])
+
+
+def test_counts_of_long_words_are_those_of_short_ones():
+    p = pieces(default_vocabulary())
+    for text in ("internationalität", "x", "été" * 5):
+        row, weight = np.frombuffer(MARK + text.encode(), np.uint8), np.array([2.0, 0.0, 0.5])
+        a, b = np.zeros((3, len(p.prior))), np.zeros((3, len(p.prior)))
+        expected(row[None], weight[None], p, a)
+        expected_long(row, weight, p, b)
+        assert np.allclose(a, b) and a[0].sum() > 0 and not a[1].any()
 
 
 def test_held_out_accuracy_and_edges(spark):
     rnd = random.Random(1)
     lists = {"en": "the of and with ship harbour water", "de": "und der ist nicht schiff hafen wasser", "fr": "le des est pas bateau port eau été"}
     docs = [(i, " ".join(rnd.choice(lists[x].split()) for _ in range(8)), x) for i in range(150) for x in [rnd.choice(list(lists))]]
-    edge = [(500, None, "en"), (501, "", "en"), (502, "123 ...", "de"), (503, "Und " * 9000, None), (504, "x" * (3 * CHUNK + 5), None), (None, "und der", None), (1, docs[1][1], docs[1][2])]
+    edge = [(500, None, "en"), (501, "", "en"), (502, "123 ...", "de"), (503, "Und " * 9000, None), (504, "x" * (3 * SCORED + 5), "de"), (505, "ab" * LEARNED, "de"), (None, "und der", None), (1, docs[1][1], docs[1][2])]
     df = spark.createDataFrame([(*d, "clash") for d in docs + edge], "doc_id bigint, text string, lang string, score string")
     got = identify(df).collect()
     assert len(got) == len(docs) + len(edge)

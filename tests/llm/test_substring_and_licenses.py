@@ -1,6 +1,6 @@
 import random
 
-from folioflow.llm.licenses import TEMPLATES, blocks, ranking, scan, scan_licenses
+from folioflow.llm.licenses import TEMPLATES, ranking, scan, scan_licenses
 from folioflow.llm.substring_dedup import repeated_sentences
 
 
@@ -55,7 +55,6 @@ def test_licenses():
     assert name == "MIT" and 0.9 < cover < 1 and saved > 0.5 and {"free", "charge", "publish"} <= set(missing) and {"small", "fee"} <= set(added)
     assert ranking(TEMPLATES["MPL-2.0"][0])[0][0] == "MPL-2.0"
     assert scan("My driving license expired and the copyright of the song is old.") == [] == scan(None) == scan("")
-    assert len(blocks("license\n" * 100)) == 3
     long = "word " * 20_000 + TEMPLATES["Apache-2.0"][0] + " word" * 20_000
     assert [x[0] for x in scan(long)] == ["Apache-2.0"]
 
@@ -129,3 +128,46 @@ def test_runs_of_one_word_sentences_and_inside_a_long_sentence(spark):
     assert len(got[2].gone) == 80 and got[6].kept_text == "新しい文。"
     left = set(got[4].kept_text.split()) & set(plain.split())
     assert len(left) < 40, len(left)
+
+
+def test_scan_against_brute_force(spark):
+    """The clause with the longest common subsequence of words at or over 0.9 in each text is the one found."""
+    import re
+
+    rnd = random.Random(12)
+    words = lambda t: re.findall(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*", t.lower())
+    clauses = [(n, c) for n, cs in TEMPLATES.items() for c in cs]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    rows, want = [], {}
+    for i in range(90):
+        name, clause = rnd.choice(clauses)
+        parts = clause.split()
+        lose = rnd.choice([0, 0, int(0.1 * len(words(clause))), max(1, int(0.4 * len(parts)))])
+        for _ in range(lose):
+            parts.pop(rnd.randrange(len(parts)))
+        for _ in range(rnd.randrange(4)):
+            parts.insert(rnd.randrange(1, len(parts) + 1), "zz%d" % rnd.randrange(99))
+        filler = lambda: rnd.choice([" ", "\n", "\n\n"]).join("the q%d" % rnd.randrange(9999) for _ in range(rnd.randrange(60)))
+        text = f"{filler()}\n{' '.join(parts)}\n{filler()}"
+        share = {(n, c): lcs(words(c), words(text)) / len(words(c)) for n, c in clauses}
+        best = max(share, key=lambda k: share[k] * len(words(k[1])) if share[k] >= 0.9 else 0)
+        want[i] = best[0] if share[best] >= 0.9 else None
+        rows.append((i, text))
+    got = {r.row.doc_id: sorted(r.found, key=lambda x: -len(x.clause)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: (f[0].license if f else None) for i, f in got.items()} == want and 20 < sum(v is None for v in want.values()) < 60
+
+
+def test_notices_without_usual_words_or_lines(spark):
+    clause = TEMPLATES["MIT"][1]
+    bare = clause.replace("Permission is hereby granted", "Right is now given").replace("sublicense,", "")
+    assert [x[0] for x in scan("prose " * 500 + bare + " prose" * 500)] == ["MIT"]
+    assert [x[0] for x in scan(clause.replace(" ", "\n\n"))] == ["MIT"]
+    assert scan("the of and to in the license the software " * 3000) == []
