@@ -66,3 +66,38 @@ def test_query(spark):
 def test_few_labels_give_no_cutoffs(spark):
     rows = [("en", "bad ### " * 9 + str(i), i % 2) for i in range(40)]
     assert cutoffs(spark.createDataFrame(rows, "stratum string, text string, label int")) == {}
+
+
+def test_cutoffs_against_brute_force():
+    """Of all cutoffs whose exact bound holds, the one that catches most bad texts, the loosest of equals."""
+    import numpy as np
+
+    from folioflow.llm.quality_rules import GRIDS, choose
+
+    rng = np.random.default_rng(5)
+    for alpha, delta in ((0.02, 0.01), (0.1, 0.05)):
+        values = {r: (rng.choice(g, 900) * rng.choice([0.5, 1, 1.5], 900, p=[0.96, 0.02, 0.02]), rng.choice(g, 300) * 1.5) for r, g in GRIDS.items()}
+        bucket = lambda v, g: np.bincount([sum(x > c for c in g) for x in v], minlength=len(g) + 1)
+        got = choose({r: bucket(values[r][0], g) for r, g in GRIDS.items()}, {r: bucket(values[r][1], g) for r, g in GRIDS.items()}, alpha, delta)
+        want = {}
+        for r, g in GRIDS.items():
+            best = 0
+            for c in sorted(g):
+                k, caught = int((values[r][0] > c).sum()), int((values[r][1] > c).sum())
+                # the bound is at most alpha exactly if so few rejections are that unlikely at alpha
+                unlikely = sum(comb(900, i) * alpha**i * (1 - alpha) ** (900 - i) for i in range(k + 1)) <= delta
+                if unlikely and caught and caught >= best:
+                    best, want[r] = caught, c
+        assert got == want
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    good, bad = "The old ship sails on to the far harbour and word%d rests in the calm bay", "Buy*** now### cheap$$$ word%d %%%%%% offers*** from&&& us|| today### or*** never$$$ again"
+    df = spark.createDataFrame([(i, (good if i % 4 else bad) % i, "en") for i in range(6000)], "doc_id bigint, text string, lang string")
+    rows = [(i, 1 if i % 4 else 0) for i in range(6000)]
+    once = spark.createDataFrame(rows, "doc_id bigint, quality int")
+    twice = spark.createDataFrame(rows * 3 + [(7000, 1), (7000, 0)], "doc_id bigint, quality int")
+    want = sorted((r.doc_id, r.kept) for r in quality_rules(df, once).collect())
+    assert sorted((r.doc_id, r.kept) for r in quality_rules(df, twice).collect()) == want
+    few = spark.createDataFrame(rows[:40] * 100, "doc_id bigint, quality int")  # 40 labels are few, however often repeated
+    assert quality_rules(df, few).where("kept = base_failed").count() == 0
