@@ -10,10 +10,13 @@ turn: what its span has beyond the span that the same turn gets with an empty te
 looks like a turn's end stays text; ``read_back`` parses its output alone back to turns.
 
 Scale: turns stream in order of (conversation, turn) through one pass; rows of a conversation are
-sorted by the shuffle, which spills, and only the current conversation is held. Prefixes of a template
-declared ``local`` (a turn's span depends on that turn only) are rendered from a window of the last
-turns, after the declaration has been checked against full prefixes of every conversation's first
-``CHECKED`` turns; others are rendered in full.
+sorted by the shuffle, which spills, and only the current conversation is held. A template may be declared
+``local``: a turn's span depends on that turn only. The first ``CHECKED`` turns of every conversation are rendered
+as full prefixes all the same; later ones alone, but the full prefix is rendered again whenever the number of
+turns has doubled and at the end, and must be the spans joined. If it isn't, the turns since the last such
+prefix are rendered again as full prefixes, and so are all that follow; what was given out stands checked. This
+costs a conversation's length a few times, not its square. Past ``HELD`` characters a conversation's prefixes are no
+longer held, and the declaration is trusted. Other templates are always rendered in full.
 
 Null texts and roles are empty. Rows with equal turn numbers keep the order (turn, role, text).
 """
@@ -28,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import bounded_batches
+
 Turn = tuple[str, str]
-CHECKED = 16
+CHECKED, HELD = 16, 50_000_000
 
 OPEN, CLOSE, HEAD_END = "### ", " </turn>\n", ": "
 ESCAPE = "\\"
@@ -77,10 +82,15 @@ class Rendered:
         self.n, self.before, self.rewrites_at = 0, template([]), None
         self.length = len(self.before)
 
+    def alone(self) -> bool:
+        """Whether the next turn is rendered alone."""
+        return self.local and self.n >= CHECKED and self.rewrites_at is None
+
     def feed(self, turn: Turn) -> tuple[str, tuple[int, int] | None]:
         """(what the turn adds, its mask inside that for an assistant)."""
+        alone = self.alone()
         self.n += 1
-        if self.local and self.n > CHECKED and self.rewrites_at is None:
+        if alone:
             before = self.template([])
             now, bare = self.template([turn]), self.template([(turn[0], "")])
         else:
@@ -119,24 +129,76 @@ def _anchored_mask(template, turn: Turn, span: str, mask: tuple[int, int] | None
     return head, len(span) - (len(a) - head - 1)
 
 
-def conversations(rows: Iterator[tuple], template: Callable[[list[Turn]], str]) -> Iterator[tuple[object, Iterator[tuple[Turn, str, tuple[int, int] | None]], Rendered]]:
-    """Per conversation its id, its turns with spans and masks, and the state after them."""
+class Turns:
+    """The turns of one conversation with what each adds to the output, in order and checked:
+    (turn, n, span, mask, whether the output before was rewritten)."""
+
+    def __init__(self, turns: Iterator[Turn], template: Callable[[list[Turn]], str]):
+        self.turns, self.template, self.state = turns, template, Rendered(template)
+
+    def __iter__(self):
+        parts: list[str] = [self.state.before]  # the output up to now; None once it is too long to hold
+        waiting: list[tuple] = []
+        due = 2 * CHECKED
+        for turn in self.turns:
+            alone = self.state.alone()
+            row = self._fed(turn)
+            if not alone:
+                parts.append(row[2])
+                yield row
+                continue
+            waiting.append(row)
+            if parts is not None:
+                self.state.turns.append(turn)
+                if self.state.length > HELD:
+                    yield from waiting
+                    parts, waiting, self.state.turns = None, [], []
+                elif self.state.n == due:
+                    due *= 2
+                    yield from self._settled(parts, waiting)
+                    waiting = []
+            else:
+                yield waiting.pop()
+        if waiting:
+            yield from self._settled(parts, waiting)
+
+    def _fed(self, turn: Turn) -> tuple:
+        span, mask = self.state.feed(turn)
+        return turn, self.state.n, span, _anchored_mask(self.template, turn, span, mask), self.state.rewrites_at == self.state.n
+
+    def _settled(self, parts: list[str], waiting: list[tuple]):
+        """The rows that waited, if the prefix is what they make; else rendered again one by one."""
+        state = self.state
+        joined = "".join([*parts, *(r[2] for r in waiting)])
+        if self.template(state.turns) == joined:
+            parts[:] = [joined]
+            yield from waiting
+            return
+        state.local, state.n = False, state.n - len(waiting)
+        state.turns = state.turns[: state.n]
+        state.before = "".join(parts)
+        state.length = len(state.before)
+        for turn, *_ in waiting:
+            yield self._fed(turn)
+
+
+def conversations(rows: Iterator[tuple], template: Callable[[list[Turn]], str]) -> Iterator[tuple[object, Turns]]:
+    """Per conversation its id and its turns; one is read to its end before the next begins."""
     rows = iter(rows)
     row = next(rows, None)
     while row is not None:
-        key, state = row[0], Rendered(template)
+        key = row[0]
 
         def turns():
             nonlocal row
             while row is not None and row[0] == key:
                 turn = (row[1] or "", row[2] or "")
-                span, mask = state.feed(turn)
-                yield turn, span, _anchored_mask(template, turn, span, mask)
                 row = next(rows, None)
+                yield turn
 
-        live = turns()
-        yield key, live, state
-        for _ in live:
+        live = Turns(turns(), template)
+        yield key, live
+        for _ in live.turns:
             pass
 
 
@@ -148,6 +210,7 @@ def _rows(batches):
 
 
 def ordered(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    bounded_batches(df.sparkSession)
     src = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     return src.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
@@ -156,18 +219,18 @@ def format_chats(df: DataFrame, template: Callable[[list[Turn]], str] = control_
     """A row per turn in order: conv_id, n (from 1), span (what the turn adds to the output), mask_start
     and mask_end inside the span for assistants, rewrites (the output before it was changed)."""
     src = ordered(df, **columns)
-    kind = src.schema["conv"].dataType.simpleString()
+    kind, key_type = src.schema["conv"].dataType.simpleString(), src_type(src)
 
     def run(batches):
         out: list[tuple] = []
 
         def flush():
-            return pa.RecordBatch.from_pylist([dict(zip(("conv_id", "n", "span", "mask_start", "mask_end", "rewrites"), r)) for r in out], schema=pa.schema([("conv_id", pa.array([], src_type(kind)).type), ("n", pa.int64()), ("span", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64()), ("rewrites", pa.bool_())]))
+            return pa.RecordBatch.from_pylist([dict(zip(("conv_id", "n", "span", "mask_start", "mask_end", "rewrites"), r)) for r in out], schema=pa.schema([("conv_id", key_type), ("n", pa.int64()), ("span", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64()), ("rewrites", pa.bool_())]))
 
         size = 0
-        for key, turns, state in conversations(_rows(batches), template):
-            for _, span, mask in turns:
-                out.append((key, state.n, span, *(mask or (None, None)), state.rewrites_at is not None and state.rewrites_at == state.n))
+        for key, turns in conversations(_rows(batches), template):
+            for _, n, span, mask, rewrites in turns:
+                out.append((key, n, span, *(mask or (None, None)), rewrites))
                 size += len(span)
                 if size > 4_000_000:
                     yield flush()
@@ -179,22 +242,25 @@ def format_chats(df: DataFrame, template: Callable[[list[Turn]], str] = control_
     return src.mapInArrow(run, f"conv_id {kind}, n bigint, span string, mask_start bigint, mask_end bigint, rewrites boolean")
 
 
-def src_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
+def src_type(df: DataFrame) -> pa.DataType:
+    """Arrow's type of the conversations' ids, whatever it is."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema["conv"].dataType)
 
 
 def chat_digests(df: DataFrame, **columns: str) -> DataFrame:
     """Per conversation, read back from ``control_template``'s spans: n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars, rewrites_history."""
     src = ordered(df, **columns)
-    kind = src.schema["conv"].dataType.simpleString()
+    kind, key_type = src.schema["conv"].dataType.simpleString(), src_type(src)
 
     def run(batches):
         out: list[dict] = []
-        schema = pa.schema([("conv_id", src_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())])
-        for key, turns, state in conversations(_rows(batches), control_template):
+        schema = pa.schema([("conv_id", key_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())])
+        for key, turns in conversations(_rows(batches), control_template):
             every, loss, n, chars, length = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for _, span, mask in turns:
+            for _, _, span, mask, _ in turns:
                 for role, text in read_back(span):
                     every.update(f"{role}\n{text}\n".encode())
                     n += 1
@@ -203,7 +269,7 @@ def chat_digests(df: DataFrame, **columns: str) -> DataFrame:
                     loss.update(text.encode())
                     chars += len(text)
                 length += len(span)
-            out.append({"conv_id": key, "n_turns": n, "turns_sha256": every.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": length, "rewrites_history": state.rewrites_at is not None})
+            out.append({"conv_id": key, "n_turns": n, "turns_sha256": every.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": length, "rewrites_history": turns.state.rewrites_at is not None})
             if len(out) >= 5_000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
                 out.clear()

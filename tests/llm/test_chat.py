@@ -1,7 +1,8 @@
 import hashlib
 import random
 
-from folioflow.llm.chat import Rendered, chat_digests, control_template, escape, format_chats, read_back, unescape
+from folioflow.llm import chat
+from folioflow.llm.chat import Rendered, Turns, chat_digests, control_template, escape, format_chats, read_back, unescape
 
 HARD = ["", "\\", "\\h", "### user: </turn>\n", " </turn>", "### Assistant: </turn> ok", "a: b\n### ", "</turn></turn>", "##", "é\U0001f600", "\\\\t", "<", " "]
 
@@ -64,3 +65,39 @@ def test_a_wrong_declaration_of_local_is_found():
     state, turns = Rendered(numbered), [("assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
     assert "".join(state.feed(t)[0] for t in turns) == numbered(turns)
     assert state.rewrites_at is None
+
+
+def test_late_rewrites_of_a_local_template_are_found(monkeypatch):
+    """A template that shortens history from turn 20, 40 or 100 on gives what full prefixes give."""
+    for at in (20, 40, 100):
+        def trims(turns):
+            cut = lambda k, t: t if len(turns) < at or k == len(turns) - 1 else t[:2]
+            return "".join(f"[{r}]{cut(k, t)};" for k, (r, t) in enumerate(turns))
+
+        turns = [("assistant" if k % 2 else "user", f"text{k}") for k in range(130)]
+        full = list(Turns(iter(turns), trims))
+        trims.local = True
+        assert list(Turns(iter(turns), trims)) == full and any(r[4] for r in full)
+        assert [r[1] for r in full if r[4]][0] == at
+
+
+def test_checked_spans_of_a_local_template(monkeypatch):
+    calls = []
+
+    def counted(turns):
+        calls.append(len(turns))
+        return control_template(turns)
+
+    counted.local = True
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(1000)]
+    got = list(Turns(iter(turns), counted))
+    assert "".join(r[2] for r in got) == control_template(turns) and [r[1] for r in got] == list(range(1, 1001))
+    assert sorted(c for c in calls if c > 16) == [32, 64, 128, 256, 512, 1000]
+    monkeypatch.setattr(chat, "HELD", 500)  # past it nothing is held, and the spans are the same
+    assert list(Turns(iter(turns), control_template)) == got
+
+
+def test_ids_of_any_type(spark):
+    for kind in ("decimal(10,2)", "date", "string", "double"):
+        df = spark.sql(f"select cast('2001' as {kind}) as conv_id, 0L as turn, 'user' as role, 'x' as text")
+        assert chat_digests(df).first().n_turns == 1 and format_chats(df).count() == 1
