@@ -14,6 +14,12 @@ PUBLISH = "Η παρούσα Πράξη να δημοσιευθεί"
 _STYLE = "<style>.diff-added { color: #00703c; background-color: #d7f1e6; } .diff-removed { color: #d4351c; background-color: #f9d6d2; } .fek-diff { font-family: monospace; white-space: pre-wrap; background-color: #f3f2f1; padding: 10px; border: 1px solid #b1b4b6; }</style>"
 
 
+def once(value: Column, made) -> Column:
+    """made(value) with value computed once per row, however often ``made`` reads it: a variable of a higher-order
+    function, which the optimizer doesn't copy into every use."""
+    return F.transform(F.array(value), made)[0]
+
+
 def _text(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -164,7 +170,10 @@ def queue_row(title: Column, doc_id: Column, questions: Column) -> Column:
 
 def act(raw: Column) -> Column:
     """struct of the gazette's header, act, reasoning and decision, from its raw text alone."""
-    t = T.normalize_ws(raw)
+    return once(T.normalize_ws(raw), _act)
+
+
+def _act(t: Column) -> Column:
     none = F.lit("")
     p = r"(?iusU)Πράξη\s+(\d+)\s+της\s+(\d{2}-\d{2}-\d{4})\s*(.*?)\s+ΤΟ\s+ΥΠΟΥΡΓΙΚΟ\s+ΣΥΜΒΟΥΛΙΟ"
     got = lambda g: T.strip(F.regexp_extract(t, p, g))
@@ -195,6 +204,10 @@ def gate(document_type: Column, title: Column, raw: Column, sections: Column) ->
 
 def act_xml(a: Column, fallback_title: Column, document_type: Column, chapter_in_text: Column) -> Column:
     """XML of ``act``'s struct."""
+    return once(a, lambda x: _act_xml(x, fallback_title, document_type, chapter_in_text))
+
+
+def _act_xml(a: Column, fallback_title: Column, document_type: Column, chapter_in_text: Column) -> Column:
     has = lambda c: F.coalesce(c, F.lit("")) != ""
 
     def item(x: Column) -> Column:

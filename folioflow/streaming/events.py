@@ -67,19 +67,30 @@ def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", width:
 
 
 def law_state(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, law: str = "law_id", order: list[str] | None = None):
-    """A query that folds each micro-batch's amendments into the laws under ``path``. A batch writes
-    ``path/batch=<n>`` once (a repeat overwrites it), so a restart gives the same texts."""
+    """A query that folds each micro-batch's amendments into the laws under ``path``. A batch writes the state
+    of all laws as ``path/batch=<n>``, from the batch before alone: laws that it doesn't touch go over as they
+    are. A repeat overwrites its own folder, so a restart gives the same texts; the two last states stay."""
     order = order or ["ts", "event_id"]
 
     def fold(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        try:
-            known = session.read.parquet(path).where(F.col("batch") < number)
-            laws = known.groupBy(law).agg(F.max_by("text", "batch").alias("current_text"))
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            laws = None
-        amend.fold_laws(batch, law, order, laws).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        folder = session._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(session._jsc.hadoopConfiguration())
+        at = lambda n: f"{path}/batch={n}"
+        written = lambda n: files.exists(session._jvm.org.apache.hadoop.fs.Path(f"{at(n)}/_SUCCESS"))
+        before = session.read.parquet(at(number - 1)) if number and written(number - 1) else None
+        laws = before.select(law, F.col("text").alias("current_text")) if before is not None else None
+        now = amend.fold_laws(batch, law, order, laws)
+        if before is not None:
+            now = now.unionByName(before.join(batch.select(law).distinct(), law, "left_anti"))
+        now.write.mode("overwrite").parquet(at(number))
+        if number > 1:
+            files.delete(session._jvm.org.apache.hadoop.fs.Path(at(number - 2)), True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def laws_now(spark: SparkSession, path: str) -> DataFrame:
+    """The state that the last batch left."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
