@@ -16,7 +16,7 @@ which no space parts, count as words beside the words that white space parts.
 Sentences are found and hashed in numpy; counting, the first places and the join back are DataFrame
 operations. The first place of a hash is a minimum, combined before the shuffle, so a run that a third of
 all texts hold costs one row per task; the join back is an equi-join that the engine splits when a key is
-hot. Only hashes met twice or more are joined.
+hot. Only hashes met twice or more are joined; their table stays in the shared folder, since the result reads it.
 
 Null or empty texts have no sentences, lose nothing and are kept as ''. Null ids sort before all. Rows
 with equal ids and equal texts are one place: none of them repeats another. Texts of equal ids that differ are
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, keep
-from folioflow.llm.textkit import SPACE, Words, buffers, sequence_hash, slices
+from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.textkit import SPACE, Words, buffers, sequence_hash, slices, span_hash
 
 _CLOSE = "(?:[\"')\\]]|»|”|’|」|』|）|】)".encode()
 _GAP = rb"[ \t\x0B\f\r\n]"
@@ -42,6 +42,32 @@ ENDS = re.compile("(?:[.!?]|…)".encode() + _CLOSE + rb"{0,3}" + _GAP + rb"+|"
 CLAUSES = re.compile(rb"[,;:]" + _CLOSE + rb"{0,3}" + _GAP + rb"+|" + "(?:，|；|：|、)".encode())
 
 
+#: bytes that a sentence's end may begin with, by what must follow them
+_ENDER, _AFTER = np.zeros(256, bool), np.ones(256, bool)
+_ENDER[list(b".!?")] = True
+_AFTER[[x for x in range(128) if x not in b" \t\x0B\f\r\n\"')]"]] = False
+_WIDE = [np.frombuffer(c.encode(), np.uint8) for c in "…。！？｡"]
+
+
+def ends_of(data: np.ndarray, raw: bytes, offsets: np.ndarray) -> list[int]:
+    """Where ``ENDS`` ends in each text: tried only at bytes that can begin it."""
+    room = len(data)
+    may = data == 10
+    may[:-1] |= _ENDER[data[:-1]] & _AFTER[data[1:]]
+    lead = np.flatnonzero((data == 0xE2) | (data == 0xE3) | (data == 0xEF))
+    lead = lead[lead + 2 < room]
+    for c in _WIDE:
+        may[lead[(data[lead] == c[0]) & (data[lead + 1] == c[1]) & (data[lead + 2] == c[2])]] = True
+    at = np.flatnonzero(may)
+    stop = offsets[np.searchsorted(offsets, at, "right")] if len(at) else at
+    out, done, match = [], 0, ENDS.match
+    for q, hi in zip(at.tolist(), stop.tolist()):
+        if q >= done and (m := match(raw, q, hi)):
+            done = m.end()
+            out.append(done)
+    return out
+
+
 class Sentences:
     """The sentences with words of a slice: ``start`` (byte), ``n_words``, ``words`` (first and last,
     exclusive), ``first`` (index of each document's first sentence, one more entry than documents)."""
@@ -49,7 +75,7 @@ class Sentences:
     def __init__(self, texts: pa.Array, long: int):
         data, offsets = buffers(texts)
         raw = data.tobytes()
-        cuts = [m.end() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in ENDS.finditer(raw, lo, hi)]
+        cuts = ends_of(data, raw, offsets)
         lead = (data >= 0xE4) & (data <= 0xE9)
         lead[:-1] |= (data[:-1] == 0xE3) & (data[1:] >= 0x81)
         unspaced = np.concatenate([[0], np.cumsum(lead)])
@@ -59,21 +85,27 @@ class Sentences:
             more = [m.end() for lo, hi in zip(self.bounds[which].tolist(), self.bounds[which + 1].tolist()) for m in CLAUSES.finditer(raw, lo, hi)]
             self._cut(data, np.concatenate([self.bounds, more]).astype(np.int64), unspaced)
         if (self.n_words > long).any():
-            which = np.flatnonzero(self.n_words > long)
             w = self._words
-            inside = np.repeat(self.n_words > long, w.counts)
-            self._cut(data, np.concatenate([self.bounds, w.start[inside & (w.hash % np.uint64(8) == 0)]]), unspaced)
+            inside = np.flatnonzero(np.repeat(self.n_words > long, w.counts))
+            hashes = span_hash(w.prefix, w.start[inside], w.end[inside])
+            self._cut(data, np.concatenate([self.bounds, w.start[inside[hashes % np.uint64(8) == 0]]]), unspaced)
         worded = np.flatnonzero(self._words.counts > 0)
-        self.hash = self._words.hash
         self.start, self.n_words = self.bounds[worded], self.n_words[worded]
         self.words = self._words.first[worded], self._words.first[worded + 1]
         self.first = np.searchsorted(self.start, offsets)
 
+    @property
+    def hash(self) -> np.ndarray:
+        return self._words.hash
+
     def _cut(self, data: np.ndarray, bounds: np.ndarray, unspaced: np.ndarray) -> None:
         self.bounds = np.unique(np.append(bounds, len(data)))
         if len(self.bounds) < 2:
             self.bounds = np.zeros(2, np.int64)
+        known = getattr(self, "_words", None)
         self._words = Words(data, self.bounds, SPACE, True)
+        if known is not None and "prefix" in vars(known):  # the bytes are the same
+            self._words.prefix = known.prefix
         self.n_words = self._words.counts + unspaced[self.bounds[1:]] - unspaced[self.bounds[:-1]]
 
 
@@ -136,8 +168,12 @@ def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
     every = keep(docs.mapInArrow(partial(_runs, run=run, min_words=min_words, long=long), f"id {kind}, th bigint, pos int, n int, h1 bigint, h2 bigint"))
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n_places")).where("n_places > 1").drop("n_places")
-    later = every.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
+    # most runs stand in one place only: counts of one hash alone, the least that can tell, leave them out first
+    often = every.groupBy("h1").agg(F.count("*").alias("n_places")).where("n_places > 1").select("h1")
+    again = keep(every.join(often, "h1"))
+    drop(every)
+    first = again.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"))
+    later = again.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
     places = later.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
     found = places.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "places")
     out = docs.join(found, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").select("id", "text", "places")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -153,8 +154,15 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.prefix = prefix_hash(data, lower)
-        self.hash = span_hash(self.prefix, self.start, self.end)
+        self._text = data, lower
+
+    @cached_property
+    def prefix(self) -> Prefix:
+        return prefix_hash(*self._text)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.prefix, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:

@@ -62,3 +62,23 @@ def test_against_brute_force(spark, crowd):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_structured_texts_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide in any polynomial modulo a power of two; their windows do recur."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    word = lambda flip: "".join("ab"[b ^ flip] for b in bits)
+    for length in (64, 1100):
+        rows = [(1, word(0)), (2, word(1)), (3, "x" + word(0)[:1200] + "y")]
+        seen = {}
+        for _, t in rows:
+            for i in range(len(t) - length + 1):
+                seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+        want = {}
+        for k, t in rows:
+            hit = {j for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1 for j in range(i, i + length)}
+            want[k] = len(hit)
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=length, gram=16)
+        assert {r.row.doc_id: r.n_removed for r in got.collect()} == want

@@ -96,3 +96,13 @@ def test_group_of_borderline_copies(spark):
     rows = [(i, " ".join(f"e{rnd.randrange(30)}" if rnd.random() < 0.02 + 0.08 * (i % 4) / 3 else w for w in base)) for i in range(80)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2, block_rows=30)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_structured_words_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide in any polynomial modulo a power of two."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    word = lambda flip: "".join("ab"[b ^ flip] for b in bits)
+    df = spark.createDataFrame([(1, word(0)), (2, word(1)), (3, word(0))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 2), (3, 1)]
