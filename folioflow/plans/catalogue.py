@@ -434,7 +434,7 @@ def column_detect(spark, d):
     whites = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.least(F.lit(10), F.floor(F.abs(F.get(e, x % F.size(e))) * 40).cast("int")))
     line = lambda y: F.concat(F.lit("00" * 40), F.array_join(F.transform(whites, lambda n: F.when(n > y, "FF").otherwise("00")), ""), F.lit("00" * 40))
     raster = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), line), ""))
-    got = _t(spark, d, "embeddings").select("vec_id", F.lit(100).alias("width"), raster.alias("raster")).select("vec_id", src.column_divider("width", "raster").alias("c"))
+    got = _t(spark, d, "embeddings").select("vec_id", F.lit(100).alias("width"), F.explode(F.array(raster)).alias("raster")).select("vec_id", src.column_divider("width", "raster").alias("c"))
     return got.select("vec_id", F.col("c.two_columns").alias("two_columns"), F.coalesce("c.column_x", F.lit(-1)).cast("bigint").alias("column_x"))
 
 
