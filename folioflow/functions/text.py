@@ -119,3 +119,14 @@ def strip_fence(c: Column) -> Column:
 
 def basename(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
+
+
+def relative(c: Column, root: str) -> Column:
+    """A path below ``root`` without it; others as they are."""
+    head = root.rstrip("/") + "/"
+    return F.when(c.startswith(head), F.substring(c, len(head) + 1, 1_000_000)).otherwise(c)
+
+
+def extension(c: Column) -> Column:
+    """What follows the last dot of a path's base name, in lower case; '' where there is none."""
+    return F.lower(F.regexp_extract(basename(c), r"[^.]\.([^.]*)$", 1))

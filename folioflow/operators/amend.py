@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -58,15 +59,67 @@ def apply_amendments(text: Column, amendments: Column, one_by_one: bool = True)
     return F.aggregate(numbered, start, lambda acc, x: step(acc, x["a"], x["i"]))
 
 
+def amended(text: str, operation: str | None, old: str | None, new: str | None, confidence: float, number: int = 1) -> tuple[str, bool, bool, list[str]]:
+    """``step`` on plain values: (text, changed, low, notes)."""
+    op, old, new, at = (operation or "unknown").lower(), old or "", new or "", f"amendment #{number}"
+    notes = [f"{at} low confidence ({confidence:.2f})"] if confidence < LOW else []
+    if op == "insert":
+        anchor = old.strip()
+        there = anchor and anchor in text
+        return (text.replace(anchor, f"{anchor}\n{new}", 1) if there else f"{text}\n\n{new}"), True, bool(notes), notes
+    if op in ("replace", "delete"):
+        if old and old in text:
+            return text.replace(old, new if op == "replace" else "", 1), True, bool(notes), notes
+        return text, False, bool(notes), [*notes, f"{op} failed in {at}: old_text not found"]
+    return text, False, True, [*notes, f"unknown operation in {at}"]
+
+
+def _folded(batches):
+    """Rows sorted by law, a law's current text (kind 0) first: one row per law with its last state."""
+    law, state, out = None, None, []
+
+    def done():
+        cols = list(zip(*out)) or [[]] * 5
+        types = (law_type, pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["law", "text", "changed", "low", "notes"])
+
+    law_type, held = None, 0
+    for b in batches:
+        law_type = b.column("law").type
+        for row in b.to_pylist():
+            if state is None or row["law"] != law:
+                if state is not None:
+                    out.append((law, *state))
+                    held += len(state[0])
+                    if held > 2_000_000:
+                        yield done()
+                        out, held = [], 0
+                law, state = row["law"], ["", False, False, []]
+            if row["kind"] == 0:
+                state[0] = row["new_text"] or ""
+                continue
+            text, changed, low, notes = amended(state[0], row["operation"], row["old_text"], row["new_text"], row["confidence"])
+            state[0], state[1], state[2] = text, state[1] or changed, state[2] or low
+            state[3] += notes
+    if state is not None:
+        out.append((law, *state))
+    if out:
+        yield done()
+
+
 def fold_laws(events: DataFrame, law: str, order: list[str], laws: DataFrame | None = None) -> DataFrame:
-    """(law, text, changed, low, notes): each law's amendments in order, from its current text. A fold
-    is sequential within a law by nature; laws are independent."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, "operation", "old_text", "new_text", "confidence")))
-    by_law = events.groupBy(law).agg(listed.alias("am"))
+    """(law, text, changed, low, notes): each law's amendments in order, from its current text. A fold is
+    sequential within a law by nature: its rows stream by in the sort's order, which spills, and only the
+    text and the notes are held. Laws are independent. Ties in ``order`` go by the amendment's fields."""
+    conf = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).alias("confidence")
+    src = events.select(F.col(law).alias("law"), F.lit(1).alias("kind"), F.struct(*order).alias("o"), *(F.col(c).cast("string").alias(c) for c in ("operation", "old_text", "new_text")), conf)
     if laws is not None:
-        by_law = by_law.join(laws, law, "left")
-    text = F.col("current_text") if laws is not None else F.lit("")
-    return by_law.select(law, apply_amendments(text, F.col("am")).alias("r")).select(law, "r.*")
+        none = F.lit(None).cast("string")
+        known = laws.select(F.col(law).alias("law"), F.lit(0).alias("kind"), F.lit(None).cast(src.schema["o"].dataType).alias("o"), none.alias("operation"), none.alias("old_text"), F.col("current_text").alias("new_text"), F.lit(0.0).alias("confidence"))
+        src = src.unionByName(known.join(src.select("law").distinct(), "law", "left_semi"))
+    ready = src.repartition("law").sortWithinPartitions("law", "kind", "o", "operation", "old_text", "new_text", "confidence").drop("o")
+    kind = src.schema["law"].dataType.simpleString()
+    return ready.mapInArrow(_folded, f"law {kind}, text string, changed boolean, low boolean, notes array<string>").withColumnRenamed("law", law)
 
 
 @F.pandas_udf(StringType())

@@ -260,3 +260,25 @@ def test_images_and_versions_are_written(spark, tmp_path):
     change = spark.createDataFrame([("l", "new", "old", None, 1)], "law string, new string, old string, date string, seq int")
     rows = amend.snapshot(change, "law", "seq", "old", "new", "date").collect()
     assert {r.kind for r in rows} == {"version", "current", "previous"} and all(r.date_label == "" or len(r.date_label) == 10 for r in rows)
+
+
+def test_paths(spark):
+    assert [one(spark, v, lambda c: T.relative(c, "/data")) for v in ("/data/a/b.png", "/other/x")] == ["a/b.png", "/other/x"]
+    assert [one(spark, v, T.extension) for v in ("/a.b/c.PDF", "/a.b/c", ".x")] == ["pdf", "", ""]
+
+
+def test_output_lookup(spark):
+    kept = spark.createDataFrame([("a", "<x/>"), ("b", "<y/>")], "id string, text string")
+    assert [[r.text for r in src.output(kept, n, ".html").collect()] for n in ("a.html", "a.xml", "c.html")] == [["<x/>"], [], []]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["replace", "insert", "delete", "odd", None, "DELETE"]), st.sampled_from(["", "a", " b ", "zz", None]), st.sampled_from(["", "ab", "b\n", None]), st.sampled_from([0.9, 0.74999, 0.0])), max_size=6))
+@settings(max_examples=15, deadline=None)
+def test_streamed_fold_equals_the_expression(spark, steps):
+    rows = [(i, 1, *x) for i, x in enumerate(steps)] or [(0, 1, "insert", "", "x", 0.9)]
+    df = spark.createDataFrame(rows, "i int, law int, operation string, old_text string, new_text string, confidence double")
+    laws = spark.createDataFrame([(1, "a b a"), (2, "x")], "law int, current_text string")
+    got = amend.fold_laws(df, "law", ["i"], laws).collect()
+    am = F.array_sort(F.collect_list(F.struct("i", "operation", "old_text", "new_text", "confidence")))
+    want = df.groupBy("law").agg(am.alias("am")).select(amend.apply_amendments(F.lit("a b a"), F.col("am")).alias("r")).select("r.*").collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(r) for r in want]
