@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep, tidy
 from folioflow.llm.textkit import LOWER, NON_ALNUM, buffers, kernel, release, slices
 
 #: terms in one block of lookups, 0.5 MB
@@ -215,6 +215,7 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str
     return keep(rows.where("text is not null").mapInArrow(partial(_windows, n=n), "item string, none boolean, wid binary, words binary").distinct())
 
 
+@tidy
 def search(segments: DataFrame, queries: DataFrame, span: int | None = None) -> DataFrame:
     """(key, n_hit, exact, close) per text of the index in which a window stands exactly, or has all its terms
     within ``span`` words of its rarest one: the words in exact matches, and the windows' ids."""
@@ -256,6 +257,7 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64())], names=["row", "key", "n_words"])
 
 
+@tidy
 def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, span: int | None = None) -> DataFrame:
     """(row, n_words, n_hit, items, near_items) per row of df: words inside occurrences of item windows,
     the items, sorted as strings, that have one, and with ``span`` those with a proximity match."""

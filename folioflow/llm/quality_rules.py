@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, keep
+from folioflow.llm.shared import bounded_batches, keep, tidy
 from folioflow.llm.textkit import SPACE, Words, buffers, mix, ngrams, slices, span_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -227,6 +227,7 @@ def judge(df: DataFrame, rules: dict[str, dict[str, float]], text_col: str = "te
     return verdicts(measured(df, text_col, stratum_col), rules)
 
 
+@tidy
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Thresholds from all labelled documents, applied to all documents. Texts are measured once, where
     they are read; only their numbers meet the labels. The labelled documents are the holdout: nothing is

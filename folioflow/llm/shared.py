@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +36,36 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, BATCH_BYTES)
 
 
+_scope = threading.local()
+
+
+def tidy(f):
+    """A function whose kept tables all go if it fails; if it doesn't, it drops them itself."""
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        outer, mine = getattr(_scope, "tables", None), []
+        _scope.tables = mine
+        try:
+            return f(*args, **options)
+        except BaseException:
+            drop(*mine)
+            raise
+        finally:
+            _scope.tables = outer
+            if outer is not None:
+                outer += mine
+
+    return run
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor
     costs the tasks that it ran, not the work before. ``drop`` removes such a table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if getattr(_scope, "tables", None) is not None:  # before the write, which may fail half-way
+        _scope.tables.append(SimpleNamespace(kept_at=path, sparkSession=spark))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path

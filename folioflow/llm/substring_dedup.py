@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep, tidy
 from folioflow.llm.textkit import SPACE, Words, buffers, sequence_hash, slices, span_hash
 
 _CLOSE = "(?:[\"')\\]]|»|”|’|」|』|）|】)".encode()
@@ -161,6 +161,7 @@ def _rest(batches, long: int):
         )
 
 
+@tidy
 def repeated_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, min_words: int = 20, long: int = 40) -> DataFrame:
     """(id, n_sentences, gone, kept_text): per row of df the positions of the sentences removed and the
     text without them."""

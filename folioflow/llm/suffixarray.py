@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep, tidy
 from folioflow.llm.textkit import buffers, prefix_hash, release, slices, span_hash
 
 # --- induced sorting -------------------------------------------------------------------------
@@ -464,6 +464,7 @@ def _cut(batches, length: int, min_words: int):
         )
 
 
+@tidy
 def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 300_000, crowd: int = 2_000, crowd_bytes: int = 1_000_000) -> DataFrame:
     """(key, copies, found) for texts (key, text): found lists (at, spans) of covered bytes per context.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import bounded_batches, drop, keep
+from folioflow.llm.shared import bounded_batches, drop, keep, tidy
 from folioflow.llm.textkit import SPACE, buffers, kernel, mix, release, shingles, slices
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -225,6 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+@tidy
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
