@@ -2,7 +2,8 @@
 
 How the corpus becomes shards: every ``length``-byte window of every text is assigned to one anchor,
 the leftmost least hash among the ``gram``-byte strings inside it, so equal windows have equal anchors.
-The windows of one anchor occurrence are consecutive; the bytes under them are its context. Only
+The windows of one anchor occurrence are consecutive; the bytes under them are its context, which can go on for
+longer strings that start at the same places. Only
 contexts whose anchor occurs at least twice can repeat; equal contexts are one row with a count.
 Contexts of one anchor hash share a shard, where a suffix array is built by induced sorting and
 permuted common prefixes (PLCP) tell which windows occur elsewhere.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import bounded_batches, drop, keep, tidy
-from folioflow.llm.textkit import buffers, prefix_hash, release, slices, span_hash
+from folioflow.llm.textkit import buffers, mix, prefix_hash, release, slices, span_hash
 
 # --- induced sorting -------------------------------------------------------------------------
 
@@ -230,22 +231,32 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return base[last] - (at - last)
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """Per piece, the starts of strings of ``length`` bytes that start elsewhere in the pieces too."""
+def repeated_starts(pieces: list[bytes], own: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """Per length and piece, which of the piece's first ``own`` positions start a string of that length that
+    starts at another piece's own position too, or at another of the same piece. What follows a piece's own
+    positions only shows how far their strings go."""
     sizes = np.array([len(p) for p in pieces])
     joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
     joined[ends] = 0
+    begins = ends - sizes
+    mine = np.zeros(len(joined) + 1, np.int32)
+    np.add.at(mine, begins, 1)
+    np.add.at(mine, begins + np.minimum(own, sizes), -1)
+    mine = np.cumsum(mine[:-1]) > 0
     sa = suffix_array(joined)
-    plcp = common_prefixes(joined, sa)
-    shared = np.zeros(len(joined), bool)
-    long = plcp[sa] >= length
-    shared[sa[long]] = True
-    shared[sa[np.flatnonzero(long) - 1]] = True
-    out, start = [], 0
-    for size in sizes:
-        out.append(np.flatnonzero(shared[start : start + max(0, size - length + 1)]))
-        start += size + 1
+    prefix = common_prefixes(joined, sa)[sa]
+    rank = np.flatnonzero(mine[sa])
+    # between neighbours in order among the own positions, the least prefix of the steps between them
+    shared = np.minimum.reduceat(prefix[: rank[-1] + 1], rank[:-1] + 1) if len(rank) > 1 else np.zeros(0, np.int64)
+    place = sa[rank]
+    out = []
+    for length in lengths:
+        hit = np.zeros(len(joined), bool)
+        long = shared >= length
+        hit[place[1:][long]] = True
+        hit[place[:-1][long]] = True
+        out.append([np.flatnonzero(hit[x : x + max(0, min(n, size - length + 1))]) for x, n, size in zip(begins.tolist(), own, sizes.tolist())])
     return out
 
 
@@ -266,8 +277,9 @@ def _least_in_windows(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def _anchors(batches, length: int, gram: int):
-    """Per text: the anchors of its windows: hash, first start, number of starts, context hash."""
+def _anchors(batches, length: int, gram: int, reach: int):
+    """Per text: the anchors of its windows: hash, first start, number of starts, hash and size of the context,
+    which goes on for strings of ``reach`` bytes as far as the text does."""
     for b in slices(batches):
         data, offsets = buffers(b.column("text"))
         prefix = prefix_hash(data)
@@ -286,7 +298,8 @@ def _anchors(batches, length: int, gram: int):
             run = np.cumsum(room & new)[room] - 1
             many = np.bincount(run, minlength=len(starts))
             hashes = least[starts]
-            context = span_hash(prefix, starts, starts + many + length - 1)
+            size = np.minimum(starts + many + reach - 1, offsets[np.searchsorted(offsets, starts, "right")]) - starts
+            context = mix(span_hash(prefix, starts, starts + size) + many.astype(np.uint64))
             pad = np.zeros(w - 1, np.uint64)
             spot = np.flatnonzero(grams == ~_least_in_windows(~np.concatenate([pad, least, pad]), w))
             # each run's first anchor place, and whether another of the same hash stands near it
@@ -304,30 +317,33 @@ def _anchors(batches, length: int, gram: int):
             again = (rank + 1 < len(spots)) & (v[after] == hashes) & (q[after] < starts + many + length - gram)
             off = np.where(again, -1, q[first] - starts)
         else:
-            many = np.zeros(0, np.int64)
+            many = size = np.zeros(0, np.int64)
             hashes = context = np.zeros(0, np.uint64)
             again, off = np.zeros(0, bool), np.zeros(0, np.int64)
         cut = np.searchsorted(starts, offsets)
         doc = np.repeat(np.arange(b.num_rows), np.diff(cut))
         struct = pa.StructArray.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(context.view(np.int64)), pa.array(starts - offsets[doc], pa.int64()), pa.array(many, pa.int64()), pa.array(again), pa.array(off, pa.int64())],
-            names=["g", "c", "at", "m", "again", "off"],
+            [pa.array(hashes.view(np.int64)), pa.array(context.view(np.int64)), pa.array(starts - offsets[doc], pa.int64()), pa.array(many, pa.int64()), pa.array(again), pa.array(off, pa.int64()), pa.array(size, pa.int64())],
+            names=["g", "c", "at", "m", "again", "off", "z"],
         )
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), struct)], names=["key", "anchors"])
 
 
-def _contexts(batches, length: int):
+_KEPT = ("g", "c", "copies", "k", "off", "m")
+
+
+def _contexts(batches):
     """Texts with the anchors wanted of them: a row per context, with its bytes."""
     for b in slices(batches):
         texts, wanted = b.column("text"), b.column("wanted").to_pylist()
-        rows: dict[str, list] = {k: [] for k in ("g", "c", "copies", "k", "off", "bytes")}
+        rows: dict[str, list] = {k: [] for k in (*_KEPT, "bytes")}
         for i, anchors in enumerate(wanted):
             raw = texts[i].as_buffer()
             for x in anchors:
-                for k in ("g", "c", "copies", "k", "off"):
+                for k in _KEPT:
                     rows[k].append(x[k])
-                rows["bytes"].append(raw[x["at"] : x["at"] + x["m"] + length - 1].to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows[k], pa.int64()) for k in ("g", "c", "copies", "k", "off")] + [pa.array(rows["bytes"], pa.binary())], names=list(rows))
+                rows["bytes"].append(raw[x["at"] : x["at"] + x["z"]].to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows[k], pa.int64()) for k in _KEPT] + [pa.array(rows["bytes"], pa.binary())], names=list(rows))
 
 
 def _covered(starts: np.ndarray, length: int) -> list[int]:
@@ -349,7 +365,7 @@ def _narrow(rows: list[tuple], length: int, gram: int, parts: int = 4) -> list[t
     off = np.array([r[3] for r in rows])
     g = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     off[np.isin(g, g[off < 0])] = -1
-    m = sizes - length + 1
+    m = np.array([r[5] for r in rows])
     w = length - gram + 1
     low, high = np.where(off < 0, 0, m), np.where(off < 0, m, 0)
     edges = [w * i // parts for i in range(parts + 1)]
@@ -366,23 +382,33 @@ def _narrow(rows: list[tuple], length: int, gram: int, parts: int = 4) -> list[t
     return list(zip(low.tolist(), high.tolist()))
 
 
-def _shards(batches, length: int, gram: int, shard_bytes: int):
+_SPANS = "g bigint, c bigint, spans array<bigint>, far array<bigint>"
+
+
+def _span_batch(g: list, c: list, spans: list, far: list) -> pa.RecordBatch:
+    lists = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(spans, lists), pa.array(far, lists)], names=["g", "c", "spans", "far"])
+
+
+def _shards(batches, length: int, gram: int, reach: int, shard_bytes: int):
     """Rows arrive sorted by anchor; whole anchors are gathered to shards of about shard_bytes."""
     rows: list[tuple] = []
     held = 0
 
     def solve():
-        spans: list[list[int]] = [[0, len(r[4])] if r[2] > 1 else [] for r in rows]
+        spans: list[list[int]] = [[0, r[5] + length - 1] if r[2] > 1 else [] for r in rows]
+        far: list[list[int]] = [[0, len(r[4])] if r[2] > 1 and len(r[4]) >= reach else [] for r in rows]
         cut = [(i, lo, hi) for i, (lo, hi) in enumerate(_narrow(rows, length, gram)) if hi > lo]
         if cut:
-            found = repeated_starts([rows[i][4][lo : hi + length - 1] for i, lo, hi in cut], length)
-            for (i, lo, _), x in zip(cut, found):
+            both = repeated_starts([rows[i][4][lo : hi + reach - 1] for i, lo, hi in cut], [hi - lo for _, lo, hi in cut], (length, reach))
+            for (i, lo, _), x, y in zip(cut, *both):
                 spans[i] = spans[i] or _covered(x + lo, length)
+                far[i] = far[i] or _covered(y + lo, reach)
         hit = [i for i, x in enumerate(spans) if x]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in hit], pa.int64()), pa.array([rows[i][1] for i in hit], pa.int64()), pa.array([spans[i] for i in hit], pa.list_(pa.int64()))], names=["g", "c", "spans"])
+        return _span_batch([rows[i][0] for i in hit], [rows[i][1] for i in hit], [spans[i] for i in hit], [far[i] for i in hit])
 
     for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in ("g", "c", "copies", "off", "bytes"))):
+        for r in zip(*(b.column(k).to_pylist() for k in ("g", "c", "copies", "off", "bytes", "m"))):
             if held >= shard_bytes and r[0] != rows[-1][0]:
                 yield solve()
                 rows, held = [], 0
@@ -394,25 +420,25 @@ def _shards(batches, length: int, gram: int, shard_bytes: int):
     release()
 
 
-def _window_rows(batches, length: int):
-    """Every window of the contexts of a crowded anchor, by a hash of 128 bits."""
+def _window_rows(batches, length: int, reach: int):
+    """Every window of the contexts of a crowded anchor, of either length, by a hash of 128 bits."""
     for b in batches:
-        for g, c, copies, raw in zip(*(b.column(k).to_pylist() for k in ("g", "c", "copies", "bytes"))):
+        for g, c, copies, m, raw in zip(*(b.column(k).to_pylist() for k in ("g", "c", "copies", "m", "bytes"))):
             data = np.frombuffer(raw, np.uint8)
-            at = np.arange(len(data) - length + 1)
-            w1 = span_hash(prefix_hash(data), at, at + length)
-            w2 = span_hash(prefix_hash(data ^ np.uint8(0xA5)), at, at + length)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, g, np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.full(n, copies, np.int64)), pa.array(at), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
-                names=["g", "c", "copies", "at", "w1", "w2"],
-            )
+            one, two = prefix_hash(data), prefix_hash(data ^ np.uint8(0xA5))
+            for size in dict.fromkeys((length, reach)):
+                at = np.arange(min(m, len(data) - size + 1))
+                if not len(at):
+                    continue
+                w1, w2, n = span_hash(one, at, at + size), span_hash(two, at, at + size), len(at)
+                fixed = [pa.array(np.full(n, x, np.int64)) for x in (g, c, copies, size)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(at), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["g", "c", "copies", "size", "at", "w1", "w2"])
 
 
-def _window_spans(batches, length: int):
+def _window_spans(batches, length: int, reach: int):
     for b in batches:
-        spans = [_covered(np.unique(np.array(x, np.int64)), length) for x in b.column("starts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("c"), pa.array(spans, pa.list_(pa.int64()))], names=["g", "c", "spans"])
+        near, far = ([_covered(np.unique(np.array(x or [], np.int64)), size) for x in b.column(k).to_pylist()] for k, size in (("near", length), ("far", reach)))
+        yield _span_batch(b.column("g").to_pylist(), b.column("c").to_pylist(), near, far)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -440,69 +466,88 @@ def _n_words(raw: bytes, a: int, z: int) -> int:
     return len(words) - cut - (cut_end and len(words) > cut) + len(part) - len(part.translate(None, _UNSPACED))
 
 
-def _cut(batches, length: int, min_words: int):
+def _cut(batches, length: int, reach: int, min_words: int, passage_words: int):
     for b in batches:
         texts, found, copies = b.column("text"), b.column("found").to_pylist(), b.column("copies").to_pylist()
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for i in range(b.num_rows):
             raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
-            if (copies[i] or 0) > 1 and len(raw) >= length:
-                spans = [[0, len(raw)]]
-            else:
-                spans = _merge([(x["at"] + a, x["at"] + z) for x in found[i] or () for a, z in zip(x["spans"][::2], x["spans"][1::2])])
-            if min_words:
-                spans = [x for x in spans if _n_words(raw, *x) >= min_words]
+
+            def covered(kind: str, size: int, words: int) -> list[list[int]]:
+                if (copies[i] or 0) > 1 and len(raw) >= size:
+                    spans = [[0, len(raw)]]
+                else:
+                    spans = _merge([(x["at"] + a, x["at"] + z) for x in found[i] or () for a, z in zip(x[kind][::2], x[kind][1::2])])
+                return [x for x in spans if _n_words(raw, *x) >= words] if words else spans
+
+            spans = covered("far", reach, min_words)
+            passages = covered("spans", length, passage_words) if length < reach else []
             at, left = 0, []
             for a, z in spans:
                 left.append(raw[at:a])
                 at = z
-            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join([*left, raw[at:]]), "".join([x.decode("utf-8", "ignore") for x in (*left, raw[at:])]) if texts[i].is_valid else None)):
+            left.append(raw[at:])
+            text = "".join([x.decode("utf-8", "ignore") for x in left]) if texts[i].is_valid else None
+            for col, v in zip(cols, (len(raw), sum(z - a for a, z in spans), [y for x in spans for y in x], b"".join(left), text, [y for x in passages for y in x])):
                 col.append(v)
         yield pa.RecordBatch.from_arrays(
-            [b.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())))],
-            names=["row", "n_bytes", "n_removed", "spans", "kept_bytes", "kept_text"],
+            [b.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.list_(pa.int64()))))],
+            names=["row", "n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "passages"],
         )
 
 
 @tidy
-def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 300_000, crowd: int = 2_000, crowd_bytes: int = 1_000_000) -> DataFrame:
-    """(key, copies, found) for texts (key, text): found lists (at, spans) of covered bytes per context.
+def repeated_spans(texts: DataFrame, length: int = 400, gram: int = 128, reach: int | None = None, shard_bytes: int = 300_000, crowd: int = 2_000, crowd_bytes: int = 1_000_000) -> DataFrame:
+    """(key, copies, found) for texts (key, text): found lists (at, spans, far) of covered bytes per context,
+    spans under strings of ``length`` bytes, far under those of ``reach`` bytes (``length`` by default).
 
     Texts that are there more than once have their copies counted and no spans: all of them repeats."""
     bounded_batches(texts.sparkSession)
-    per_text = texts.where(F.octet_length("text") >= length).mapInArrow(partial(_anchors, length=length, gram=gram), "key binary, anchors array<struct<g:bigint,c:bigint,at:bigint,m:bigint,again:boolean,off:bigint>>")
+    reach = reach or length
+    sizes = {"length": length, "reach": reach}
+    per_text = texts.where(F.octet_length("text") >= length).mapInArrow(partial(_anchors, gram=gram, **sizes), "key binary, anchors array<struct<g:bigint,c:bigint,at:bigint,m:bigint,again:boolean,off:bigint,z:bigint>>")
     distinct = keep(per_text.groupBy("key").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors")))
     each = distinct.select("key", "copies", F.explode("anchors").alias("x")).select("key", "copies", "x.*")
     crowded = each.groupBy("g").agg(F.sum("copies").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again").select("g")
     shared = keep(each.join(crowded, "g"))
-    contexts = keep(shared.groupBy("g", "c").agg(F.sum("copies").alias("copies"), F.bool_or("again").alias("again"), F.min(F.struct("key", "at", "m", "off")).alias("src")))
-    kinds = contexts.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.col("src.m") + (length - 1)).alias("held"))
+    contexts = keep(shared.groupBy("g", "c").agg(F.sum("copies").alias("copies"), F.bool_or("again").alias("again"), F.min(F.struct("key", "at", "m", "off", "z")).alias("src")))
+    kinds = contexts.groupBy("g").agg(F.count("*").alias("k"), F.sum("src.z").alias("held"))
     known = contexts.join(kinds, "g")
-    alone = known.where("k = 1 and copies > 1").select("g", "c", F.array(F.lit(0).cast("bigint"), F.col("src.m") + (length - 1)).alias("spans"))
-    wanted = known.where("k > 1 or (copies = 1 and again)").groupBy(F.col("src.key").alias("key")).agg(F.collect_list(F.struct("g", "c", "copies", F.when(F.col("held") > crowd_bytes, F.lit(1 << 40)).otherwise(F.col("k")).alias("k"), F.col("src.at").alias("at"), F.col("src.m").alias("m"), F.col("src.off").alias("off"))).alias("wanted"))
-    pieces = keep(texts.join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(partial(_contexts, length=length), "g bigint, c bigint, copies bigint, k bigint, off bigint, bytes binary"))
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    whole = F.when(F.col("src.z") >= reach, F.array(zero, F.col("src.z"))).otherwise(none)
+    alone = known.where("k = 1 and copies > 1").select("g", "c", F.array(zero, F.col("src.m") + (length - 1)).alias("spans"), whole.alias("far"))
+    crowd_of = F.when(F.col("held") > crowd_bytes, F.lit(1 << 40)).otherwise(F.col("k")).alias("k")
+    of_src = [F.col(f"src.{c}").alias(c) for c in ("at", "m", "off", "z")]
+    wanted = known.where("k > 1 or (copies = 1 and again)").groupBy(F.col("src.key").alias("key")).agg(F.collect_list(F.struct("g", "c", "copies", crowd_of, *of_src)).alias("wanted"))
+    pieces = keep(texts.join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(_contexts, "g bigint, c bigint, copies bigint, k bigint, off bigint, m bigint, bytes binary"))
     few = pieces.where(F.col("k") <= crowd).repartition("g").sortWithinPartitions("g")
-    solved = few.mapInArrow(partial(_shards, length=length, gram=gram, shard_bytes=shard_bytes), "g bigint, c bigint, spans array<bigint>")
-    windows = pieces.where(F.col("k") > crowd).mapInArrow(partial(_window_rows, length=length), "g bigint, c bigint, copies bigint, at bigint, w1 bigint, w2 bigint")
-    often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    counted = windows.join(often, ["w1", "w2"]).groupBy("g", "c").agg(F.collect_list("at").alias("starts")).mapInArrow(partial(_window_spans, length=length), "g bigint, c bigint, spans array<bigint>")
+    solved = few.mapInArrow(partial(_shards, gram=gram, shard_bytes=shard_bytes, **sizes), _SPANS)
+    windows = pieces.where(F.col("k") > crowd).mapInArrow(partial(_window_rows, **sizes), "g bigint, c bigint, copies bigint, size bigint, at bigint, w1 bigint, w2 bigint")
+    often = windows.groupBy("size", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("size", "w1", "w2")
+    at = lambda size: F.collect_list(F.when(F.col("size") == size, F.col("at")))
+    counted = windows.join(often, ["size", "w1", "w2"]).groupBy("g", "c").agg(at(length).alias("near"), at(reach).alias("far")).mapInArrow(partial(_window_spans, **sizes), _SPANS)
     results = keep(alone.unionByName(solved).unionByName(counted))
-    spans = shared.where("copies = 1").join(results, ["g", "c"]).groupBy("key").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
-    several = distinct.where("copies > 1").select("key", "copies", F.lit(None).cast("array<struct<at:bigint,spans:array<bigint>>>").alias("found"))
+    spans = shared.where("copies = 1").join(results, ["g", "c"]).groupBy("key").agg(F.collect_list(F.struct("at", "spans", "far")).alias("found"))
+    several = distinct.where("copies > 1").select("key", "copies", F.lit(None).cast("array<struct<at:bigint,spans:array<bigint>,far:array<bigint>>>").alias("found"))
     out = keep(spans.select("key", F.lit(1).cast("bigint").alias("copies"), "found").unionByName(several))
     drop(distinct, shared, contexts, pieces, results)
     return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 400, min_words: int = 0, **options) -> DataFrame:
-    """df with n_bytes, n_removed, spans (from, to pairs), kept_bytes and kept_text (without characters
-    that lost a byte; null for a null text) beside a struct ``row`` of its own columns, the text left out. Every byte under a
-    ``length``-byte string that also starts elsewhere goes; with ``min_words``, only whole runs of such
-    bytes that hold as many words."""
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = 400, min_words: int = 0, passages: int | None = None, passage_words: int = 50, **options) -> DataFrame:
+    """df with n_bytes, n_removed, spans (from, to pairs), kept_bytes, kept_text (without characters
+    that lost a byte; null for a null text) and passages beside a struct ``row`` of its own columns, the text left
+    out. Every byte under a ``length``-byte string that also starts elsewhere goes; with ``min_words``, only whole
+    runs of such bytes that hold as many words.
+
+    With ``passages``, a shorter length, the same pass also finds the runs under strings of that many bytes that
+    hold ``passage_words`` words (from, to pairs); nothing of them goes for that."""
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    found = repeated_spans(keyed.select("key", "text"), length, **options)
+    short = min(passages or length, length)
+    found = repeated_spans(keyed.select("key", "text"), short, reach=length, **options)
     slim = keyed.withColumn("row", F.col("row").dropFields(text_col)) if len(df.columns) > 1 else keyed
     joined = slim.join(found, "key", "left").select("row", "text", "copies", "found")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(partial(_cut, length=length, min_words=min_words), f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary, kept_text string")
+    cut = partial(_cut, length=short, reach=length, min_words=min_words, passage_words=passage_words)
+    return joined.mapInArrow(cut, f"row {kind}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_bytes binary, kept_text string, passages array<bigint>")

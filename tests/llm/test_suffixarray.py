@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -82,3 +83,26 @@ def test_structured_texts_are_told_apart(spark):
             want[k] = len(hit)
         got = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=length, gram=16)
         assert {r.row.doc_id: r.n_removed for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("crowd, crowd_bytes", [(1, 1_000_000), (2_000, 1_000_000), (2_000, 300)])
+def test_both_lengths_against_brute_force(spark, crowd, crowd_bytes):
+    """One pass finds what strings of 60 bytes cover and, in runs of 5 words and more, what strings of 25 do."""
+    texts = made(8) + made(9)[:30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(remove_repeats(df, length=60, passages=25, passage_words=5, gram=9, shard_bytes=2_000, crowd=crowd, crowd_bytes=crowd_bytes).collect(), key=lambda r: r.row.doc_id)
+    assert [(r.n_bytes, r.n_removed, len(r.spans) // 2, bytes(r.kept_bytes)) for r in got] == brute(texts, 60)
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + 25] for r in raws for i in range(len(r) - 24))
+    for r, raw in zip(got, raws):
+        hit = np.zeros(len(raw) + 2, int)
+        for i in range(len(raw) - 24):
+            if seen[raw[i : i + 25]] > 1:
+                hit[i + 1 : i + 26] = 1
+        want = []
+        for a, z in np.flatnonzero(np.diff(hit)).reshape(-1, 2).tolist():
+            inside = [m for m in re.finditer(rb"\S+", raw) if m.start() >= a and m.end() <= z]
+            if len(inside) >= 5:
+                want += [a, z]
+        assert list(r.passages) == want
+    assert any(r.passages for r in got)
