@@ -7,8 +7,8 @@ meet in joins, so neither the corpus nor the benchmark is ever on one machine:
 1. the benchmark's items become windows of ``n`` words, equal ones one row;
 2. the segments count the windows' terms, which ranks each window's terms from the rarest on; a window
    with a term that no text has is out;
-3. the segments give the positions of the rarest terms alone; joined with the windows on the term they
-   are the candidates, by segment;
+3. the segments give the positions of the windows' rarest and second rarest terms alone; places of the rarest term
+   that have the second one near in the same segment are the candidates;
 4. each segment takes its candidates' other terms from the rarest on and intersects their position lists,
    adjusted by their offsets, with the starts still alive: what stays is an exact match. A proximity match
    is a place of the rarest term with every other term within ``span`` words in the same text.
@@ -123,6 +123,26 @@ def _lookup(batches, with_positions: bool):
     release()
 
 
+def _near_second(batches, width: int):
+    """Candidates with the places that have one of the second term's within ``width`` words, if there is one."""
+    for b in batches:
+        out: list[list] = [[], [], []]
+        for segment, wid, second, one, two in zip(*(b.column(k).to_pylist() for k in ("segment", "wid", "second", "places", "others"))):
+            if second is not None:
+                if two is None:
+                    continue
+                at, others = np.frombuffer(one, np.uint32).astype(np.int64), np.frombuffer(two, np.uint32)
+                left = np.searchsorted(others, at - width)
+                fits = left < len(others)
+                fits[fits] = others[left[fits]] <= at[fits] + width
+                if not fits.any():
+                    continue
+                one = at[fits].astype(np.uint32).tobytes()
+            for col, v in zip(out, (segment, wid, one)):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["segment", "wid", "places"])
+
+
 def _match(batches, span: int | None):
     """Per text with a match: its key, the spans of its words hit, the windows in it and the near ones."""
     for b in batches:
@@ -226,11 +246,18 @@ def search(segments: DataFrame, queries: DataFrame, span: int | None = None) ->
     # every term with its offsets, from the rarest on; a window with a term that isn't there is out
     ranked = each.join(known, "term").groupBy("wid", "words").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offsets"))).alias("r"))
     order = F.flatten(F.transform("r", lambda x: x["offsets"]))
-    ranked = keep(ranked.select("wid", "words", F.col("r")[0]["term"].alias("term"), order.alias("order")).where(F.size("order") * 8 == F.octet_length("words")))
-    pivots = segments.select("segment", "terms", "counts", "positions").crossJoin(_blocks(ranked.select("term").distinct()))
+    second = F.when(F.size("r") > 1, F.get("r", F.lit(1))["term"]).alias("second")
+    ranked = keep(ranked.select("wid", "words", F.col("r")[0]["term"].alias("term"), second, order.alias("order")).where(F.size("order") * 8 == F.octet_length("words")))
+    wanted = ranked.select("term").union(ranked.where("second is not null").select("second")).distinct()
+    pivots = segments.select("segment", "terms", "counts", "positions").crossJoin(_blocks(wanted))
     places = keep(pivots.mapInArrow(partial(_lookup, with_positions=True), "segment binary, term bigint, places binary"))
+    first = places.join(_small(ranked.select("wid", "term", "second"), F.lit(32)), "term").select("segment", "wid", "second", "places")
+    others = places.select("segment", F.col("term").alias("second"), F.col("places").alias("others"))
+    both = first.join(others, ["segment", "second"], "left").select("segment", "wid", "second", "places", "others")
+    longest = different.agg(F.max(F.octet_length("words")) / 8).first()[0] or 0
+    close = both.mapInArrow(partial(_near_second, width=max(int(longest), span or 0)), "segment binary, wid binary, places binary")
     shards = max(1, -(-ranked.count() // WINDOWS))
-    met = places.join(_small(ranked, F.octet_length("words") * 2), "term").withColumn("shard", F.pmod(F.xxhash64("wid"), F.lit(shards)))
+    met = close.join(_small(ranked.select("wid", "words", "order"), F.octet_length("words") * 2), "wid").withColumn("shard", F.pmod(F.xxhash64("wid"), F.lit(shards)))
     candidates = keep(met.groupBy("segment", "shard").agg(F.collect_list(F.struct("wid", "words", "order", "places")).alias("candidates")))
     held = F.aggregate("candidates", F.lit(0).cast("bigint"), lambda a, x: a + 2 * F.octet_length(x["words"]) + F.octet_length(x["places"]))
     full = segments.join(_small(candidates, held), "segment")
