@@ -8,8 +8,9 @@ stops once all of its slots hold ranks of finished levels, since later ranks are
 Scale: identical sets are one node. A bucket (equal band) compares its members with a leader only,
 the member that meets most others. Verified links become components. Where a bucket still holds
 several components, the components that share buckets form a group, which is cut into blocks of a bounded
-number of elements; each pair of blocks is one cell, whose inverted index compares every set outside the
-cell's most frequent component with all others and gives back the links that join components. So no
+number of elements, those of its most frequent component apart; each pair of blocks, but for two of that
+component, is one cell, whose inverted index compares every set outside the cell's most frequent component with
+all others and gives back the links that join components. So no
 candidate is capped, no pair is a row unless it is compared with a leader or is a link, and no task
 holds a group. All joins are equi-joins that the engine can split; counts are combined before shuffles.
 
@@ -191,7 +192,7 @@ def _cells(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
-        for *at, key, label, raw in zip(*(b.column(k).to_pylist() for k in ("g", "lo", "hi", "key", "label", "elements"))):
+        for *at, key, label, raw in zip(*(b.column(k).to_pylist() for k in ("g", "side", "lo", "hi", "key", "label", "elements"))):
             if at != cell:
                 if keys:
                     yield solve()
@@ -273,11 +274,19 @@ def near_duplicates(
         # groups of components that share mixed buckets: far fewer edges than members
         groups = components(left.where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
         member = left.select("key", "label", "n").distinct().join(groups.select(F.col("key").alias("label"), F.col("label").alias("g")), "label")
-        size = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).alias("blocks"))
-        placed = member.join(size, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
-        cells = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("key", "label", "g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-        filled = cells.join(sets, "key").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "key")
-        more = keep(filled.select("g", "lo", "hi", "key", "label", "elements").mapInArrow(partial(_cells, percent=percent), "a binary, b binary"))
+        # the group's most frequent component needs no comparing with itself: its blocks meet the others' alone
+        main = member.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        member = member.join(main, "g").withColumn("rest", F.col("label") != F.col("main"))
+        blocks = lambda side: F.greatest(F.ceil(F.count(F.when(side, 1)) / block_rows), F.ceil(F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)) / block_elements))
+        size = member.groupBy("g").agg(blocks(~F.col("rest")).alias("mains"), blocks(F.col("rest")).alias("rests"))
+        placed = member.join(size, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))))
+        cell = lambda kind, lo, hi: F.struct(F.lit(kind).alias("side"), lo.alias("lo"), hi.alias("hi"))
+        each = lambda n, made: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), made)
+        with_main, among = each("mains", lambda j: cell(0, j, F.col("i"))), each("rests", lambda j: cell(1, F.least("i", j), F.greatest("i", j)))
+        own = F.when(F.col("rest"), F.concat(with_main, among)).otherwise(each("rests", lambda j: cell(0, F.col("i"), j)))
+        cells = placed.select("key", "label", "g", F.explode(own).alias("x")).select("key", "label", "g", "x.*")
+        filled = cells.join(sets, "key").repartition("g", "side", "lo", "hi").sortWithinPartitions("g", "side", "lo", "hi", "key")
+        more = keep(filled.select("g", "side", "lo", "hi", "key", "label", "elements").mapInArrow(partial(_cells, percent=percent), "a binary, b binary"))
         tables += [groups, more, labels]
         labels = components(links.union(more))
     named = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(labels.select("key", "label"), "key")
