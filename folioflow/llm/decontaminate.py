@@ -13,8 +13,8 @@ meet in joins, so neither the corpus nor the benchmark is ever on one machine:
    adjusted by their offsets, with the starts still alive: what stays is an exact match. A proximity match
    is a place of the rarest term with every other term within ``span`` words in the same text.
 
-Postings are never shuffled while what they meet is small: a side is broadcast only if its measured bytes are
-at most ``BROADCAST``, and else both sides are shuffled by their key. Terms that all segments must look up
+Segments are stored compressed and meet their candidates in one shuffle by segment. Sides that don't grow with the
+corpus are broadcast if their measured bytes are at most ``BROADCAST``, and else both sides are shuffled. Terms that all segments must look up
 travel in blocks of at most ``BLOCK`` terms.
 
 Null and empty texts have no words; texts are told apart by their content, so rows with equal texts have equal
@@ -46,13 +46,29 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 SEGMENT = "segment binary, keys binary, first binary, terms binary, counts binary, positions binary"
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array's bytes, all first bytes before all second ones and so on, compressed."""
+    import zstandard
+
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).reshape(-1)
+
+
 def _index(batches):
     for b in slices(batches):
         words = kernel(b.column("text"), NON_ALNUM, True)
         order = np.argsort(words.hash, kind="stable").astype(np.uint32)
         terms, counts = np.unique(words.hash, return_counts=True)
         keys = b"".join(b.column("key").to_pylist())
-        row = [hashlib.md5(keys).digest(), keys, words.first.astype(np.uint32).tobytes(), terms.tobytes(), counts.astype(np.uint32).tobytes(), order.tobytes()]
+        row = [hashlib.md5(keys).digest(), keys, *map(pack, (words.first.astype(np.uint32), terms, counts.astype(np.uint32), order))]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["segment", "keys", "first", "terms", "counts", "positions"])
 
 
@@ -60,7 +76,7 @@ class Segment:
     """Postings of one stored row."""
 
     def __init__(self, row: dict):
-        get = lambda k, kind: np.frombuffer(row[k], kind)
+        get = lambda k, kind: unpack(row[k], kind)
         self.terms, counts = get("terms", np.uint64), get("counts", np.uint32)
         self.ends = np.cumsum(counts, dtype=np.int64)
         self.starts = self.ends - counts
@@ -110,13 +126,12 @@ def _lookup(batches, with_positions: bool):
     """How often, or where, the wanted terms of a block stand in a segment."""
     for b in batches:
         for row in b.to_pylist():
-            terms, wanted = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["wanted"], np.uint64)
-            counts = np.frombuffer(row["counts"], np.uint32)
+            terms, counts, wanted = unpack(row["terms"], np.uint64), unpack(row["counts"], np.uint32), np.frombuffer(row["wanted"], np.uint64)
             at = np.flatnonzero(np.isin(terms, wanted, assume_unique=True))
             cols = [pa.array(terms[at].view(np.int64)), pa.array(counts[at].astype(np.int64))]
             if with_positions:
                 ends = np.cumsum(counts, dtype=np.int64)
-                raw = row["positions"]
+                raw = unpack(row["positions"], np.uint32).tobytes()
                 places = [raw[4 * (ends[i] - int(counts[i])) : 4 * ends[i]] for i in at.tolist()]
                 cols = [pa.array([row["segment"]] * len(at), pa.binary()), cols[0], pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["segment", "term", "places"] if with_positions else ["term", "n"])
@@ -259,8 +274,7 @@ def search(segments: DataFrame, queries: DataFrame, span: int | None = None) ->
     shards = max(1, -(-ranked.count() // WINDOWS))
     met = close.join(_small(ranked.select("wid", "words", "order"), F.octet_length("words") * 2), "wid").withColumn("shard", F.pmod(F.xxhash64("wid"), F.lit(shards)))
     candidates = keep(met.groupBy("segment", "shard").agg(F.collect_list(F.struct("wid", "words", "order", "places")).alias("candidates")))
-    held = F.aggregate("candidates", F.lit(0).cast("bigint"), lambda a, x: a + 2 * F.octet_length(x["words"]) + F.octet_length(x["places"]))
-    full = segments.join(_small(candidates, held), "segment")
+    full = segments.join(candidates, "segment")  # true matches grow with the corpus: no broadcast hint
     found = full.mapInArrow(partial(_match, span=span), "key binary, spans array<struct<a:int,z:int>>, exact array<binary>, close array<binary>")
     # a text that stands in several segments, or meets several shards of windows, has a row for each
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
