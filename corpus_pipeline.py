@@ -14,18 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, decontaminate, quality_model, suffixarray, superminhash
-from folioflow.llm.shared import keep
+from folioflow.llm.shared import drop, keep, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones, doesn't reject."""
+    """Documents that the classifier, learned from the labelled ones, doesn't reject: a score of 0.3 or more.
+    Null and empty texts score the bias alone; without labels of both kinds every score is 0.5 and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality_model.fit(quality_model.labelled(docs, labels))
     return quality_model.score(docs, weights).where("score >= 0.3").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, of equal ids the one
+    with the least hash of its text, of equal rows one. Documents without words all stay."""
     return superminhash.keep_one(docs, shingle=5, percent=80)
 
 
@@ -41,13 +43,14 @@ def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than one in twenty stands in a passage of the benchmark."""
+    """Documents of whose words less than one in twenty stands in a passage of the benchmark. Null items hit
+    nothing; documents without words stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, benchmark).where("not (n_hit > 0 and 20 * n_hit >= n_words)").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it; a null text has no ids and decodes to ''."""
     got = bpe.encode(docs)
     return got.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decodes")
 
@@ -58,10 +61,13 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("string_dedup", str
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = keep(docs)
-    return docs
+    """The stages one after another; each one's rows are written, and those before them dropped."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
