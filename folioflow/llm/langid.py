@@ -7,9 +7,9 @@ probabilities are learned from all training texts: one expectation step (forward
 Zipf prior over the vocabulary's order gives each language's expected piece counts, which are summed.
 
 Words are treated by type: a slice's different words are scored once, in numpy, all words of one
-length together; scores of types are kept per task up to a bound. Probabilities are rescaled on the way, so a
-word may have any length; words of many bytes are treated one by one, in logarithms where counts are
-learned, with the same sums. Texts are scored whole. The prediction maximises the likelihood; the score is
+length together; scores of types are kept per task up to a bound. Probabilities are rescaled on the way; words
+of many bytes, or of probabilities too small for that, are treated one by one in logarithms, with the same
+sums. Texts are scored whole. The prediction maximises the likelihood; the score is
 its posterior under equal priors. Null texts and texts without a letter are ``und`` with score 0, and so
 is every text if nothing was learned.
 """
@@ -93,10 +93,14 @@ def forward(words: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
         if j % RESCALE == 0 or j == size:
             live = range(max(0, j + 1 - p.longest), j + 1)
             top = np.max([alpha[i] for i in live], axis=0) if j < size else now
-            log += np.log(top)
-            for i in live:
-                alpha[i] = alpha[i] / top
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log += np.log(top)
+                for i in live:
+                    alpha[i] = alpha[i] / top
             alpha[: live[0]] = [None] * live[0]
+    # where all that a window holds is too small beside its first position
+    for k in np.flatnonzero(~np.isfinite(log).all(axis=1)):
+        log[k] = forward_long(words[k], p, probs)
     return log
 
 
@@ -111,21 +115,18 @@ def spans(word: np.ndarray, p: Pieces) -> np.ndarray:
 
 
 def forward_long(word: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
-    """``forward`` of one word of any length, holding as many positions as the longest piece has bytes."""
+    """``forward`` of one word of any length and any small probabilities, in logarithms, holding as many
+    positions as the longest piece has bytes."""
     pieces_of = spans(word, p)
     width = pieces_of.shape[1]
-    alpha, log = np.zeros((width, probs.shape[1])), np.zeros(probs.shape[1])  # row d: d + 1 bytes back
-    alpha[0] = 1
+    alpha = np.full((width, probs.shape[1]), -np.inf)  # row d: d + 1 bytes back
+    alpha[0] = 0
     for j in range(1, len(word) + 1):
         d = np.flatnonzero(pieces_of[j] >= 0)
-        now = (alpha[d] * probs[pieces_of[j, d]]).sum(axis=0)
+        now = np.logaddexp.reduce(alpha[d] + np.log(probs[pieces_of[j, d]]), axis=0)
         alpha[1:] = alpha[:-1]
         alpha[0] = now
-        if j % RESCALE == 0 or j == len(word):
-            top = alpha.max(axis=0) if j < len(word) else now
-            log += np.log(top)
-            alpha /= top
-    return log
+    return alpha[0]
 
 
 def expected(words: np.ndarray, weights: np.ndarray, p: Pieces, out: np.ndarray) -> None:

@@ -38,6 +38,20 @@ def test_words_of_any_length_are_summed_whole():
             assert np.allclose(forward(row[None], p, probs)[0], log[-1])
 
 
+def test_tiny_probabilities_are_summed_too():
+    p = pieces(default_vocabulary())
+    probs = np.full((len(p.prior), 2), 1e-14)
+    probs[300:, 0] = 1 / len(p.prior)
+    for w in (MARK + b"\xf0\x9f\x99\x82" * 15, MARK + bytes(range(128, 190)), MARK + b"\xff" * 500):
+        row = np.frombuffer(w, np.uint8)
+        log = [np.zeros(2)]
+        number = {r: i for i, r in enumerate(p.raw)}
+        for j in range(1, len(w) + 1):
+            log.append(np.logaddexp.reduce([log[i] + np.log(probs[number[w[i:j]]]) for i in range(max(0, j - p.longest), j) if w[i:j] in number]))
+        got = [forward_long(row, p, probs)] + ([forward(row[None], p, probs)[0]] if len(w) <= SCORED + len(MARK) else [])
+        assert all(np.allclose(g, log[-1]) and np.isfinite(g).all() for g in got)
+
+
 def test_counts_of_long_words_are_those_of_short_ones():
     p = pieces(default_vocabulary())
     for text in ("internationalität", "x", "été" * 5):
