@@ -25,7 +25,7 @@ from folioflow.llm.textkit import slices
 
 LONG = 256
 #: some 300 bytes each
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 
 #: The usual pattern, and the same one with its classes written out for texts below U+0100, which the
 #: standard library matches faster.
@@ -88,6 +88,7 @@ class Codec:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
         self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.unlike: dict[str, bytes] = {}
 
     def split(self, text: str | None) -> list[str]:
@@ -165,9 +166,11 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words not met before. What a word's ids decode to is kept only where it is
         not the word itself."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        if len(self.known) > CACHE_WORDS // 2:  # the last half stays, and of the half before what is met again
+            self.known, self.before = {}, self.known
+        unmet = [w for w in words if w not in self.known]
+        new = [w for w in unmet if w not in self.before]
+        self.known.update((w, self.before[w]) for w in unmet if w in self.before)
         if new:
             raws = [w.encode() for w in new]
             for w, raw, (ids, back) in zip(new, raws, self.encode_words(raws)):
