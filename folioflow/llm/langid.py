@@ -24,13 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import bounded_batches
-from folioflow.llm.textkit import LOWER, SPACE, Words, buffers, prefix_hash, slices, span_hash, word_hash
+from folioflow.llm.textkit import LOWER, SPACE, Words, buffers, mix, powers, slices
 
 #: words of at most so many bytes are scored, or learned from, together with others of their length
 SCORED, LEARNED, KEPT_TYPES = 64, 24, 600_000
 #: positions between two rescalings, and the most words in one group
-RESCALE, GROUP = 8, 20_000
+RESCALE, GROUP = 16, 20_000
 MARK = "▁".encode()
+_CODES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def light_prefix(data: np.ndarray) -> np.ndarray:
+    """Running sums of one polynomial: pieces are so short that one tells them from each other."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * powers(len(data)).up[: len(data)], out=sums[1:])
+    return sums
+
+
+def light_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix) - 1).down[start] + (end - start).astype(np.uint64))
 
 
 class Pieces:
@@ -51,7 +63,8 @@ class Pieces:
         prior = 1.0 / (np.arange(n) + 100.0)
         prior[:256] = 1e-7  # byte fallback
         self.prior = prior / prior.sum()
-        self.hash = word_hash(self.raw)
+        ends = np.cumsum([len(r) for r in self.raw])
+        self.hash = light_hash(light_prefix(np.frombuffer(b"".join(self.raw), np.uint8)), np.append(0, ends[:-1]), ends)
         self.one = np.full(1 << 20, -1, np.int32)
         self.two = np.full(1 << 20, -1, np.int32)
         for i, h in enumerate(self.hash.tolist()):
@@ -78,26 +91,28 @@ def forward(words: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log probability of each word (rows, equally long) in each language (columns), summed over
     segmentations."""
     n, size = words.shape
-    prefix = prefix_hash(words.reshape(-1))
+    prefix = light_prefix(words.reshape(-1))
     base = np.arange(n) * size
     alpha = [np.ones((n, probs.shape[1]))]
     log = np.zeros_like(alpha[0])
     for j in range(1, size + 1):
         now = np.zeros_like(log)
         for i in (j - d for d in p.lengths if d <= j):
-            ids = p.find(span_hash(prefix, base + i, base + j))
+            ids = p.find(light_hash(prefix, base + i, base + j))
             rows = np.flatnonzero(ids >= 0)
             if len(rows):
                 now[rows] += alpha[i][rows] * probs[ids[rows]]
         alpha.append(now)
-        if j % RESCALE == 0 or j == size:
+        if j % RESCALE == 0 and j < size:
             live = range(max(0, j + 1 - p.longest), j + 1)
-            top = np.max([alpha[i] for i in live], axis=0) if j < size else now
+            top = np.max([alpha[i] for i in live], axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 log += np.log(top)
                 for i in live:
                     alpha[i] = alpha[i] / top
             alpha[: live[0]] = [None] * live[0]
+    with np.errstate(divide="ignore"):
+        log += np.log(alpha[size])
     # where all that a window holds is too small beside its first position
     for k in np.flatnonzero(~np.isfinite(log).all(axis=1)):
         log[k] = forward_long(words[k], p, probs)
@@ -106,24 +121,24 @@ def forward(words: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
 
 def spans(word: np.ndarray, p: Pieces) -> np.ndarray:
     """Piece numbers (end, length - 1) of all spans of one word, -1 where there is none."""
-    prefix = prefix_hash(word)
+    prefix = light_prefix(word)
     out = np.full((len(word) + 1, min(p.longest, len(word))), -1, np.int32)
     for d in (x for x in p.lengths if x <= len(word)):
         at = np.arange(len(word) - d + 1)
-        out[d:, d - 1] = p.find(span_hash(prefix, at, at + d))
+        out[d:, d - 1] = p.find(light_hash(prefix, at, at + d))
     return out
 
 
-def forward_long(word: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
+def forward_long(word: np.ndarray, p: Pieces, probs: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
     """``forward`` of one word of any length and any small probabilities, in logarithms, holding as many
     positions as the longest piece has bytes."""
-    pieces_of = spans(word, p)
+    pieces_of, logs = spans(word, p), np.log(probs) if logs is None else logs
     width = pieces_of.shape[1]
     alpha = np.full((width, probs.shape[1]), -np.inf)  # row d: d + 1 bytes back
     alpha[0] = 0
     for j in range(1, len(word) + 1):
         d = np.flatnonzero(pieces_of[j] >= 0)
-        now = np.logaddexp.reduce(alpha[d] + np.log(probs[pieces_of[j, d]]), axis=0)
+        now = np.logaddexp.reduce(alpha[d] + logs[pieces_of[j, d]], axis=0)
         alpha[1:] = alpha[:-1]
         alpha[0] = now
     return alpha[0]
@@ -132,12 +147,12 @@ def forward_long(word: np.ndarray, p: Pieces, probs: np.ndarray) -> np.ndarray:
 def expected(words: np.ndarray, weights: np.ndarray, p: Pieces, out: np.ndarray) -> None:
     """Add equally long words' expected piece counts under the prior, times their weights per language, to out."""
     n, size = words.shape
-    prefix = prefix_hash(words.reshape(-1))
+    prefix = light_prefix(words.reshape(-1))
     base = np.arange(n) * size
     edges = {}
     for j in range(1, size + 1):
         for i in (j - d for d in p.lengths if d <= j):
-            ids = p.find(span_hash(prefix, base + i, base + j))
+            ids = p.find(light_hash(prefix, base + i, base + j))
             rows = np.flatnonzero(ids >= 0)
             if len(rows):
                 edges[i, j] = rows, ids[rows]
@@ -271,6 +286,7 @@ def _predict(batches, vocabulary: str, langs: list[str], probs: np.ndarray):
     p = pieces(vocabulary)
     known, scores = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
     table = np.ascontiguousarray(probs.T)
+    logs = np.log(table)
     for b in slices(batches):
         data, words, own, sample, inverse = _types(b)
         if len(known) > KEPT_TYPES:
@@ -279,7 +295,7 @@ def _predict(batches, vocabulary: str, langs: list[str], probs: np.ndarray):
         new = known[at] != own if len(known) else np.ones(len(own), bool)
         fresh = np.zeros((int(new.sum()), len(langs)))
         for which, rows in _groups(data, words.start[sample[new]], words.end[sample[new]], SCORED):
-            fresh[which] = forward_long(rows[0], p, table) if rows.shape[1] > SCORED + len(MARK) else forward(rows, p, table)
+            fresh[which] = forward_long(rows[0], p, table, logs) if rows.shape[1] > SCORED + len(MARK) else forward(rows, p, table)
         mine = np.empty((len(own), len(langs)))
         mine[~new], mine[new] = scores[at[~new]] if len(known) else fresh[:0], fresh
         merged = np.concatenate([known, own[new]])
