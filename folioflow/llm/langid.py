@@ -30,6 +30,8 @@ from folioflow.llm.textkit import LOWER, SPACE, Words, buffers, mix, powers, sli
 SCORED, LEARNED, KEPT_TYPES = 64, 24, 600_000
 #: positions between two rescalings, and the most words in one group
 RESCALE, GROUP = 16, 20_000
+#: text bytes whose words are looked up together: each length of words costs some hundred calls a slice
+SLICE = 2_000_000
 MARK = "▁".encode()
 _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -228,7 +230,7 @@ def _learn(batches, vocabulary: str, langs: list[str]):
             else:
                 expected(words, counts[which], p, out)
 
-    for b in slices(batches):
+    for b in slices(batches, limit=SLICE):
         data, words, own, sample, inverse = _types(b)
         lang = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
         tally = np.bincount(inverse * len(langs) + lang[words.doc], minlength=len(own) * len(langs)).reshape(len(own), len(langs))
@@ -287,7 +289,7 @@ def _predict(batches, vocabulary: str, langs: list[str], probs: np.ndarray):
     known, scores = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
     table = np.ascontiguousarray(probs.T)
     logs = np.log(table)
-    for b in slices(batches):
+    for b in slices(batches, limit=SLICE):
         data, words, own, sample, inverse = _types(b)
         if len(known) > KEPT_TYPES:
             known, scores = known[:0], scores[:0]
