@@ -15,8 +15,14 @@ sorted by the shuffle, which spills, and only the current conversation is held.
 as full prefixes all the same; later ones alone, but the full prefix is rendered again whenever the number of
 turns has doubled and at the end, and must be the spans joined. If it isn't, the turns since the last such
 prefix are rendered again as full prefixes, and so are all that follow; what was given out stands checked. This
-costs a conversation's length a few times, not its square. Past ``HELD`` characters a conversation's prefixes are no
-longer held, and the declaration is trusted. Other templates are always rendered in full.
+costs a conversation's length a few times, not its square, and is done whatever the length. A declared template that
+rewrites history between two such prefixes and restores it before the second is not found out. Other templates are
+always rendered in full.
+
+The turns and spans after the first ``CHECKED`` are held in memory up to ``HELD`` characters and in a temp file beyond;
+where they lie changes no result. A template with ``pieces``, a function from an iterator of turns to the
+strings that its output joins, is checked in one pass over them; one without takes its turns as a list and gives one
+string, so a conversation must fit in memory.
 
 Null texts and roles are empty. Rows with equal turn numbers keep the order (turn, role, text).
 """
@@ -24,8 +30,11 @@ Null texts and roles are empty. Rows with equal turn numbers keep the order (tur
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Callable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.shared import bounded_batches
 
 Turn = tuple[str, str]
-CHECKED, HELD = 16, 50_000_000
+CHECKED, HELD, BLOCK = 16, 50_000_000, 1_000_000
 
 OPEN, CLOSE, HEAD_END = "### ", " </turn>\n", ": "
 ESCAPE = "\\"
@@ -55,11 +64,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _FROM[m[1]], text)
 
 
+def control_pieces(turns: Iterable[Turn]) -> Iterator[str]:
+    return (f"{OPEN}{escape(role, True)}{HEAD_END}{escape(text)}{CLOSE}" for role, text in turns)
+
+
 def control_template(turns: list[Turn]) -> str:
-    return "".join(f"{OPEN}{escape(role, True)}{HEAD_END}{escape(text)}{CLOSE}" for role, text in turns)
+    return "".join(control_pieces(turns))
 
 
 control_template.local = True
+control_template.pieces = control_pieces
 
 
 def read_back(rendered: str) -> list[Turn]:
@@ -80,7 +94,6 @@ class Rendered:
         self.template, self.local = template, getattr(template, "local", False)
         self.turns: list[Turn] = []
         self.n, self.before, self.rewrites_at = 0, template([]), None
-        self.length = len(self.before)
 
     def alone(self) -> bool:
         """Whether the next turn is rendered alone."""
@@ -101,12 +114,10 @@ class Rendered:
         if not now.startswith(before):
             self.rewrites_at = self.rewrites_at or self.n
             same = next((i for i, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
-            self.length = len(now)
             return now[same:], None
         span = now[len(before) :]
         if self.local and self.n <= CHECKED and self.template([turn]) != self.template([]) + span:
             self.local = False  # declared wrongly: all turns are here still, so prefixes stay whole
-        self.length += len(span)
         if turn[0] != "assistant" or bare is None or not bare.startswith(before):
             return span, None
         empty = bare[len(before) :]
@@ -129,6 +140,83 @@ def _anchored_mask(template, turn: Turn, span: str, mask: tuple[int, int] | None
     return head, len(span) - (len(a) - head - 1)
 
 
+class Output:
+    """Digest of an output that comes in parts, whatever the parts are."""
+
+    def __init__(self, parts: Iterable[str]):
+        self.hash = hashlib.blake2b()
+        for part in parts:
+            self.add(part)
+
+    def add(self, part: str) -> None:
+        self.hash.update(part.encode("utf-8", "surrogatepass"))
+
+    def __eq__(self, other: Output) -> bool:
+        return self.hash.digest() == other.hash.digest()
+
+
+class Waiting:
+    """Rows of ``Turns`` in order, of which the first ``settled`` are given out: the last ones in memory, up to ``HELD``
+    characters, those before in compressed blocks of a temp file."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.n, self.settled, self.chars = 0, 0, 0
+        self.file, self.blocks = None, []  # of a block: rows, offset, bytes in the file, bytes
+
+    def __enter__(self) -> Waiting:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    @staticmethod
+    def _size(row: tuple) -> int:
+        return len(row[0][0]) + len(row[0][1]) + len(row[2])
+
+    def append(self, row: tuple) -> None:
+        self.rows.append(row)
+        self.n += 1
+        self.chars += self._size(row)
+        if self.chars <= HELD:
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        block, size = [], 0
+        for r in self.rows:
+            block.append(r)
+            size += self._size(r)
+            if size >= BLOCK:
+                self._write(block)
+                block, size = [], 0
+        if block:
+            self._write(block)
+        self.rows, self.chars = [], 0
+
+    def _write(self, block: list[tuple]) -> None:
+        raw = pickle.dumps(block, pickle.HIGHEST_PROTOCOL)
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        self.blocks.append((len(block), self.file.seek(0, 2), len(small), len(raw)))
+        self.file.write(small)
+
+    def between(self, first: int, stop: int) -> Iterator[tuple]:
+        at = 0
+        for n, offset, small, raw in self.blocks:
+            if first < at + n and at < stop:
+                self.file.seek(offset)
+                block = pickle.loads(pa.decompress(self.file.read(small), raw, codec="zstd", asbytes=True))
+                yield from block[max(first - at, 0) : stop - at]
+            at += n
+        yield from self.rows[max(first - at, 0) : max(stop - at, 0)]
+
+    def open(self) -> Iterator[tuple]:
+        return self.between(self.settled, self.n)
+
+    def settle(self) -> None:
+        self.settled = self.n
+
+
 class Turns:
     """The turns of one conversation with what each adds to the output, in order and checked:
     (turn, n, span, mask, whether the output before was rewritten)."""
@@ -137,49 +225,47 @@ class Turns:
         self.turns, self.template, self.state = turns, template, Rendered(template)
 
     def __iter__(self):
-        parts: list[str] = [self.state.before]  # the output up to now; None once it is too long to hold
-        waiting: list[tuple] = []
-        due = 2 * CHECKED
-        for turn in self.turns:
-            alone = self.state.alone()
-            row = self._fed(turn)
-            if not alone:
-                parts.append(row[2])
-                yield row
-                continue
-            waiting.append(row)
-            if parts is not None:
-                self.state.turns.append(turn)
-                if self.state.length > HELD:
-                    yield from waiting
-                    parts, waiting, self.state.turns = None, [], []
-                elif self.state.n == due:
+        state, due, output = self.state, 2 * CHECKED, None
+        with Waiting() as waiting:
+            for turn in self.turns:
+                alone = state.alone()
+                row = self._fed(turn)
+                if not alone:
+                    yield row
+                    continue
+                output = output or Output([state.before])
+                waiting.append(row)
+                output.add(row[2])
+                if state.n == due or state.rewrites_at is not None:
                     due *= 2
-                    yield from self._settled(parts, waiting)
-                    waiting = []
-            else:
-                yield waiting.pop()
-        if waiting:
-            yield from self._settled(parts, waiting)
+                    yield from self._settled(waiting, output)
+            if waiting.settled < waiting.n:
+                yield from self._settled(waiting, output)
 
     def _fed(self, turn: Turn) -> tuple:
         span, mask = self.state.feed(turn)
         return turn, self.state.n, span, _anchored_mask(self.template, turn, span, mask), self.state.rewrites_at == self.state.n
 
-    def _settled(self, parts: list[str], waiting: list[tuple]):
-        """The rows that waited, if the prefix is what they make; else rendered again one by one."""
+    def _whole(self, waiting: Waiting) -> Output:
+        """The prefix of all turns up to now."""
+        turns = chain(self.state.turns, (r[0] for r in waiting.between(0, waiting.n)))
+        pieces = getattr(self.template, "pieces", None)
+        return Output(pieces(turns) if pieces else [self.template(list(turns))])
+
+    def _settled(self, waiting: Waiting, output: Output):
+        """The rows that waited, if the prefix is what they make; else rendered again one by one. A turn that alone
+        does not begin as no turns do (``rewrites_at``) speaks against the declaration too."""
         state = self.state
-        joined = "".join([*parts, *(r[2] for r in waiting)])
-        if self.template(state.turns) == joined:
-            parts[:] = [joined]
-            yield from waiting
+        if state.rewrites_at is None and self._whole(waiting) == output:
+            yield from waiting.open()
+            waiting.settle()
             return
-        state.local, state.n = False, state.n - len(waiting)
-        state.turns = state.turns[: state.n]
-        state.before = "".join(parts)
-        state.length = len(state.before)
-        for turn, *_ in waiting:
+        state.local, state.rewrites_at, state.n = False, None, state.n - (waiting.n - waiting.settled)
+        state.turns += [r[0] for r in waiting.between(0, waiting.settled)]
+        state.before = self.template(state.turns)
+        for turn, *_ in waiting.open():
             yield self._fed(turn)
+        waiting.settle()
 
 
 def conversations(rows: Iterator[tuple], template: Callable[[list[Turn]], str]) -> Iterator[tuple[object, Turns]]:

@@ -97,6 +97,60 @@ def test_checked_spans_of_a_local_template(monkeypatch):
     assert list(Turns(iter(turns), control_template)) == got
 
 
+def test_late_rewrites_are_found_at_any_length(monkeypatch):
+    """Rows past ``HELD`` characters are what full prefixes give, as before it."""
+    turns = [("assistant" if k % 2 else "user", f"text{k}\ud800") for k in range(130)]
+    for at in (20, 40, 100):
+        def trims(turns):
+            cut = lambda k, t: t if len(turns) < at or k == len(turns) - 1 else t[:2]
+            return "".join(f"[{r}]{cut(k, t)};" for k, (r, t) in enumerate(turns))
+
+        full = list(Turns(iter(turns), trims))
+        trims.local = True
+        for held in (0, 100, 700, 50_000_000):
+            monkeypatch.setattr(chat, "HELD", held)
+            monkeypatch.setattr(chat, "BLOCK", 150)
+            assert list(Turns(iter(turns), trims)) == full, (at, held)
+
+
+def test_a_late_turn_that_alone_begins_otherwise(monkeypatch):
+    def headed(turns):
+        return ("<S>" if turns and turns[0][0] == "system" else "<s>") + "".join(f"[{r}]{t};" for r, t in turns)
+
+    for at in (17, 18, 33, 50, 60):
+        turns = [("system" if k == at else "assistant" if k % 2 else "user", f"text{k}") for k in range(60)]
+        headed.local = False
+        full = list(Turns(iter(turns), headed))
+        headed.local = True
+        for held in (0, 50_000_000):
+            monkeypatch.setattr(chat, "HELD", held)
+            assert list(Turns(iter(turns), headed)) == full, (at, held)
+
+
+def test_pieces_are_checked_in_one_pass_at_any_length(monkeypatch):
+    passes = []
+
+    def pieces(turns):
+        assert not isinstance(turns, list)
+        passes.append(0)
+        for piece in control_template.pieces(turns):
+            passes[-1] += 1
+            yield piece
+
+    def templated(turns):
+        assert len(turns) <= 16
+        return control_template(turns)
+
+    templated.local, templated.pieces = True, pieces
+    turns = [("assistant" if k % 2 else "user", HARD[k % len(HARD)]) for k in range(1000)]
+    want = list(Turns(iter(turns), control_template))
+    for held in (0, 500, 50_000_000):
+        passes.clear()
+        monkeypatch.setattr(chat, "HELD", held)
+        assert list(Turns(iter(turns), templated)) == want
+        assert passes == [32, 64, 128, 256, 512, 1000]
+
+
 def test_ids_of_any_type(spark):
     for kind in ("decimal(10,2)", "date", "string", "double"):
         df = spark.sql(f"select cast('2001' as {kind}) as conv_id, 0L as turn, 'user' as role, 'x' as text")
