@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import bounded_batches, drop, keep, tidy
@@ -205,24 +205,42 @@ def _cells(batches, percent: int):
     release()
 
 
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """The different rows (x, y) with x's least y and the y before: one shuffle, sorted and read as a stream."""
+    by = Window.partitionBy("x").orderBy("y")
+    return rows.select("x", "y", F.first("y").over(by).alias("low"), F.lag("y").over(by).alias("before")).where("before is null or before <> y")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each vertex links its larger neighbours with the least of its neighbours and itself. A row (x, x) names
+    a vertex without smaller neighbours; moved is set somewhere unless the edges are stars already."""
+    way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    row = lambda a, b, moved: f"struct({a} as a, {b} as b, {moved} as moved)"
+    met = _neighbours(edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*"))
+    given = f"""case when y > x and before is null then array({row("y", "x", "false")}, {row("x", "x", "false")})
+        when y > x then array({row("y", "least(x, low)", "low < x")})
+        when before = low then array({row("x", "x", "true")}) end"""
+    return met.select(F.explode(F.expr(given)).alias("e")).select("e.*")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each vertex links its smaller neighbours and itself with the least of them; in edges a > b."""
+    met = _neighbours(edges.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return met.select(F.when(F.col("before").isNull(), F.col("x")).otherwise(F.col("y")).alias("a"), F.col("low").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(key, label) of every vertex of edges (a, b): union-find in rounds: each vertex and the
-    root it names hook to the least label around, then labels jump to their labels' labels. label is the
-    least key of the component; rounds grow with the log of its width."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")))
+    """(key, label) of every vertex of edges (a, b), a <> b, once; label is the least key of the component. Large and
+    small stars in turn until all components are stars, two turns a table; there are never more edges than at first,
+    and turns grow with the log of a component's width."""
+    stars = _large_star(edges)
     while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "key")
-        hooks = met.select("key", "near").union(met.select("label", "near")).groupBy("key").agg(F.min("near").alias("near"))
-        step = labels.join(hooks, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("key").alias("via"), F.col("label").alias("far"))
-        new = keep(step.join(jump, "via", "left").select("key", F.least("via", F.coalesce("far", "via")).alias("label"), "old"))
-        changed = new.where("label <> old").limit(1).count()
-        drop(labels)
-        labels = new
-        if not changed:
-            drop(both)
+        found = keep(_large_star(_small_star(_large_star(_small_star(stars)))))
+        drop(stars)
+        stars = found
+        if not found.where("moved").limit(1).count():
+            labels = found.select(F.col("a").alias("key"), F.col("b").alias("label"))
+            labels.kept_at = found.kept_at
             return labels
 
 
@@ -287,8 +305,10 @@ def near_duplicates(
         cells = placed.select("key", "label", "g", F.explode(own).alias("x")).select("key", "label", "g", "x.*")
         filled = cells.join(sets, "key").repartition("g", "side", "lo", "hi").sortWithinPartitions("g", "side", "lo", "hi", "key")
         more = keep(filled.select("g", "side", "lo", "hi", "key", "label", "elements").mapInArrow(partial(_cells, percent=percent), "a binary, b binary"))
-        tables += [groups, more, labels]
-        labels = components(links.union(more))
+        tables += [groups, more]
+        if more.limit(1).count():
+            tables.append(labels)
+            labels = components(labels.where("key <> label").select(F.col("key").alias("a"), F.col("label").alias("b")).union(more))
     named = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(labels.select("key", "label"), "key")
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = keep(named.join(heads, "label").select("key", "component_id"))
