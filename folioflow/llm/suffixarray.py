@@ -10,8 +10,8 @@ permuted common prefixes (PLCP) tell which windows occur elsewhere.
 
 Induced sorting: suffixes are classified as S or L from the right, the leftmost S of every run (LMS)
 seeds the order, L then S suffixes are induced bucket by bucket, equal LMS substrings get equal names
-and the string of names is sorted recursively. On bytes the buckets are filled with numpy, one wave
-for each run of the bucket's own byte; the recursion, at most half as long, runs on lists.
+and the string of names, at most half as long, is sorted by doubling the names compared. The buckets are
+filled with numpy, one wave for each run of the bucket's own byte.
 
 Scale: all texts equal to another are settled by one hash aggregate. An anchor with very many different
 contexts (a passage that a share of all texts holds) or with more than ``crowd_bytes`` under them (periodic
@@ -35,71 +35,31 @@ from folioflow.llm.textkit import buffers, mix, prefix_hash, release, slices, sp
 # --- induced sorting -------------------------------------------------------------------------
 
 
-def _induce_lists(s: list[int], sigma: int, is_s: bytearray, lms: list[int]) -> list[int]:
+def _sort_names(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names, an ending least: ranks by ever twice as many names, of the suffixes that
+    are not told apart yet alone."""
     n = len(s)
-    sizes = [0] * sigma
-    for c in s:
-        sizes[c] += 1
-    heads, tails, total = [0] * sigma, [0] * sigma, 0
-    for c in range(sigma):
-        heads[c] = total
-        total += sizes[c]
-        tails[c] = total
-    sa = [-1] * n
-    end = tails[:]
-    for i in reversed(lms):
-        c = s[i]
-        end[c] -= 1
-        sa[end[c]] = i
-    at = heads[:]
-    c = s[n - 1]  # the suffix before the end of the string is L
-    sa[at[c]] = n - 1
-    at[c] += 1
-    for r in range(n):
-        j = sa[r] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[at[c]] = j
-            at[c] += 1
-    end = tails[:]
-    for r in range(n - 1, -1, -1):
-        j = sa[r] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
-            end[c] -= 1
-            sa[end[c]] = j
+    live = np.argsort(s, kind="stable")
+    group, value = np.zeros(n, np.int64), s[live]
+    rank, width = np.zeros(n + 1, np.int64), 0
+    while len(live):
+        at = np.arange(len(live))
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        whole = np.concatenate([[True], group[1:] != group[:-1]])
+        # a place is its group's, and how many of the group are less
+        rank[live] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(whole, at, 0))
+        several = ~(new & np.concatenate([new[1:], [True]]))
+        live, width = live[several], max(1, 2 * width)
+        rank[n] = -1
+        group = rank[live]
+        value = group * (n + 1) + rank[np.minimum(live + width, n)] + 1
+        order = np.argsort(value, kind="stable")
+        live, group, value = live[order], group[order], value[order]
+    sa = np.empty(n, np.int64)
+    sa[rank[:n]] = np.arange(n)
     return sa
 
 
-def _sort_lists(s: list[int], sigma: int) -> list[int]:
-    n = len(s)
-    if n < 2:
-        return list(range(n))
-    is_s = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        is_s[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and is_s[i + 1])
-    lms = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-    if not lms:
-        return _induce_lists(s, sigma, is_s, [])
-    first = _induce_lists(s, sigma, is_s, lms)
-    following = dict(zip(lms, lms[1:]))
-    name_of, name, before = {}, -1, None
-    for i in first:
-        if i > 0 and is_s[i] and not is_s[i - 1]:
-            stop = following.get(i, n)
-            part = s[i : stop + 1]
-            if part != before or stop == n:
-                name += 1
-            before = part if stop < n else None
-            name_of[i] = name
-    if name + 1 < len(lms):
-        order = _sort_lists([name_of[i] for i in lms], name + 1)
-        lms = [lms[i] for i in order]
-    else:
-        lms.sort(key=name_of.__getitem__)
-    return _induce_lists(s, sigma, is_s, lms)
-
-
 def _induce_bytes(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """Bucket by bucket: what a bucket's suffixes induce is grouped by first byte, in order, at once."""
     n = len(s)
@@ -167,7 +127,7 @@ def suffix_array(s: np.ndarray, sigma: int = 257) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = s.astype(np.int64)
+    s = s.astype(np.uint16)  # numpy sorts these by radix
     # S where the next different value is larger; the last run is L
     change = np.flatnonzero(s[1:] != s[:-1])
     rises = s[change] < s[change + 1]
@@ -197,7 +157,7 @@ def suffix_array(s: np.ndarray, sigma: int = 257) -> np.ndarray:
     names[ordered] = np.concatenate([[0], np.cumsum(differs)])
     reduced = names[lms]
     count = int(reduced.max()) + 1
-    order = np.argsort(reduced) if count == len(lms) else np.array(_sort_lists(reduced.tolist(), count))
+    order = np.argsort(reduced) if count == len(lms) else _sort_names(reduced)
     return _induce_bytes(s, is_s, lms[order], sigma)
 
 
